@@ -23,6 +23,8 @@ DECIMAL = r"\d+(?:\.\d+)?"
 RANGE = rf"(?i)({DECIMAL})\s*(?:-|/|to|\.\.\.)\s*({DECIMAL})"
 # A minus sign counts only when no digit stands before it; fractions are numbers too.
 SIGNED = r"(?:^|[^0-9./])(-?(?:\d+-\d+/\d+|\d+/\d+|\d+(?:\.\d+)?|\.\d+))"
+# The same without fractions: "50/60 Hz" holds 50 and 60.
+COUNTED = r"(?:^|[^0-9.])(-?(?:\d+(?:\.\d+)?|\.\d+))"
 PLAIN_DECIMAL = r"\b\d+\.\d+\b"
 
 
@@ -73,6 +75,11 @@ def signed_numbers(s: Column) -> Column:
     return F.transform(F.regexp_extract_all(s, F.lit(SIGNED), F.lit(1)), parse_number)
 
 
+def plain_numbers(s: Column) -> Column:
+    """Numbers of a specification text, slashes and dashes read as separators."""
+    return F.transform(F.regexp_extract_all(s, F.lit(COUNTED), F.lit(1)), lambda t: t.try_cast("double"))
+
+
 def normalize_voltage(raw: Column) -> Column:
     s = strip(raw)
     kind = (F.when(s.rlike(r"(?i)vac|v\s*ac|\bac\b|\ba\.c\."), " AC")

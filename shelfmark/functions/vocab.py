@@ -232,7 +232,7 @@ VALUE_BOUNDS = {
     "voltage": (0.1, 100000.0, "V"),
     "current": (0.001, 10000.0, "A"),
     "frequency": (10.0, 1000.0, "Hz"),
-    "poles": (1.0, 12.0, "poles"),
+    "poles": (1, 12, "poles"),
 }
 
 CATEGORY_KEYWORDS = (

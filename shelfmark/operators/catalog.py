@@ -60,15 +60,16 @@ def facets(listed: DataFrame, phrase: str = "", status: str = "ALL", confidence:
 
 
 def summary(products: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """One row of catalog indicators; both sides reduce to one row before meeting."""
-    p = products.agg(
-        F.count("*").alias("total_products"),
-        F.count_if(F.col("status").isin("VERIFIED", "PUBLISHED", "REVIEWED")).alias("verified_count"),
-        F.count_if(F.col("status") == "REQUIRES_REVIEW").alias("needs_review_count"),
-        F.coalesce(score_round(F.avg(F.coalesce("overall_quality_score", F.lit(0.0))), 1), F.lit(0.0)).alias("average_quality_score"))
-    c = conflicts.agg(F.count_if(F.col("status") == "OPEN").alias("conflicts_count"))
-    one = F.lit(1).alias("one")
-    return p.select("*", one).join(c.select("*", one), "one").drop("one")
+    """One row of catalog indicators from one aggregate over both tables."""
+    p = products.select("status", F.coalesce("overall_quality_score", F.lit(0.0)).alias("quality"), F.lit(True).alias("is_product"))
+    c = conflicts.select("status", F.lit(None).cast("double").alias("quality"), F.lit(False).alias("is_product"))
+    own = F.col("is_product")
+    return p.unionByName(c).agg(
+        F.count_if(own).alias("total_products"),
+        F.count_if(own & F.col("status").isin("VERIFIED", "PUBLISHED", "REVIEWED")).alias("verified_count"),
+        F.count_if(own & (F.col("status") == "REQUIRES_REVIEW")).alias("needs_review_count"),
+        F.count_if(~own & (F.col("status") == "OPEN")).alias("conflicts_count"),
+        F.coalesce(score_round(F.avg("quality"), 1), F.lit(0.0)).alias("average_quality_score"))
 
 
 def delivery_indicators(products: DataFrame, conflicts: DataFrame) -> DataFrame:

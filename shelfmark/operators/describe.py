@@ -87,7 +87,7 @@ def short_text() -> Column:
     parts = F.array_compact(F.array(*[valid_or_null(F.col(c)) for c in ("d_brand", "d_mpn", "d_cat")]))
     for spec in ("spec1", "spec2"):
         s = F.col(spec)
-        repeated = F.exists(parts, lambda p, s=s: F.lower(p) == F.lower(s))
+        repeated = F.array_contains(F.transform(parts, F.lower), F.lower(s))
         parts = F.when(s.isNotNull() & ~repeated, F.concat(parts, F.array(s))).otherwise(parts)
     raw = F.when(is_valid_text(F.col("d_raw")), F.left("d_raw", F.lit(120))).otherwise("")
     return F.left(F.when(F.size(parts) > 0, strip(F.array_join(parts, " - "))).otherwise(raw), F.lit(120))

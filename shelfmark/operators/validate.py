@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import vocab
 from shelfmark.functions.text import contains_any, null_if_blank, strip
-from shelfmark.functions.units import signed_numbers
+from shelfmark.functions.units import plain_numbers
 
 RESULT = ["product_id", "attribute", "rule", "passed", "status", "severity", "message"]
 
@@ -31,7 +31,7 @@ def _quoted(c: Column) -> Column:
 
 
 def numeric_rule(name: Column, value: Column) -> Column:
-    numbers = signed_numbers(strip(value))
+    numbers = plain_numbers(strip(value))
     empty, negative = F.size(numbers) == 0, F.exists(numbers, lambda n: n < 0)
     message = (F.when(empty, F.concat(F.lit("Attribute "), _quoted(name), F.lit(" value "), _quoted(value), F.lit(" contains no valid numeric value.")))
                .when(negative, F.concat(F.lit("Attribute "), _quoted(name), F.lit(" value "), _quoted(value), F.lit(" contains negative numeric value.")))
@@ -58,14 +58,14 @@ def unit_rule(name: Column, value: Column, unit: Column) -> Column:
 
 
 def bounds_rule(name: Column, value: Column, normalized: Column) -> Column:
-    first = F.get(signed_numbers(F.coalesce(null_if_blank(normalized), value)), F.lit(0))
+    first = F.get(plain_numbers(F.coalesce(null_if_blank(normalized), value)), F.lit(0))
     out = None
     for kind, (low, high, unit) in vocab.VALUE_BOUNDS.items():
         inside = (first >= low) & (first <= high)
         text = first.cast("string")
         message = F.when(inside, F.concat(F.lit("Value "), text, F.lit(f" {unit} is within physical bounds for "), _quoted(name), F.lit("."))).otherwise(
             F.concat(F.lit("Impossible value detected: "), text,
-                     F.lit(f" {unit} is outside physical bounds ({low:g} - {high:g} {unit}) for "), _quoted(name), F.lit(".")))
+                     F.lit(f" {unit} is outside physical bounds ({low} - {high} {unit}) for "), _quoted(name), F.lit(".")))
         check = verdict("ImpossibleValueCheck", inside, "CRITICAL", message)
         here = F.lower(name).contains(kind)
         out = F.when(here, check) if out is None else out.when(here, check)
