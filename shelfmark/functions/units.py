@@ -1,24 +1,20 @@
 """Value and unit normalisation as Column expressions.
 
-``normalize(attribute, raw)`` gives one struct column, so a long attribute table
-is normalised in a single narrow projection.  Nothing here runs in Python.
+``with_norm`` adds one struct column to a long attribute table in a chain of narrow
+projections.  Nothing here runs in Python.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import vocab
 from shelfmark.functions.text import contains_any, format_number, null_if_blank, squeeze, strip
 
-NORM_TYPE = (
-    "struct<normalized_value:string,unit:string,numeric_value:double,"
-    "is_ambiguous:boolean,requires_review:boolean,message:string>"
-)
-
 DECIMAL = r"\d+(?:\.\d+)?"
 RANGE = rf"(?i)({DECIMAL})\s*(?:-|/|to|\.\.\.)\s*({DECIMAL})"
 # A minus sign counts only when no digit stands before it; fractions are numbers too.
@@ -28,22 +24,13 @@ COUNTED = r"(?:^|[^0-9.])(-?(?:\d+(?:\.\d+)?|\.\d+))"
 PLAIN_DECIMAL = r"\b\d+\.\d+\b"
 
 
-def _norm(value=None, unit=None, number=None, ambiguous=False, message=None) -> Column:
-    def as_col(v):
-        return v if isinstance(v, Column) else F.lit(v)
-
-    return F.struct(
-        as_col(value).cast("string").alias("normalized_value"),
-        as_col(unit).cast("string").alias("unit"),
-        as_col(number).cast("double").alias("numeric_value"),
-        F.lit(ambiguous).alias("is_ambiguous"),
-        F.lit(ambiguous).alias("requires_review"),
-        as_col(message).cast("string").alias("message"),
-    )
-
-
-def _nothing() -> Column:
-    return F.lit(None).cast(NORM_TYPE)
+HEDGED = "(?i)" + "|".join(re.escape(h) for h in vocab.HEDGES)
+VOLT_RANGE = rf"(?i)({DECIMAL})\s*(?:-|/|to)\s*({DECIMAL})"
+AMPS = r"(?i)(\d+(?:\.\d+)?)\s*(m?a(?:mps?|mperes?)?)\b"
+HERTZ = rf"(?i)({DECIMAL})\s*(?:hz|hertz)\b"
+DUAL_HERTZ = r"(?i)50\s*(?:/|-|to|or|,)\s*60\s*(?:hz|hertz)?"
+TRIP = r"(?i)(?:trip\s*class|class)?\s*(\d+[A-Za-z]?)\b"
+POWER = r"(?i)(\d+(?:\.\d+)?)\s*(kw|kilowatts?|hp|horsepower)\b"
 
 
 def _hit(s: Column, pattern: str, group: int = 1) -> Column:
@@ -51,14 +38,6 @@ def _hit(s: Column, pattern: str, group: int = 1) -> Column:
     return null_if_blank(F.regexp_extract(s, pattern, group))
 
 
-def _doubt(s: Column, what: str) -> Column:
-    return _norm(ambiguous=True, message=F.concat(F.lit(f"{what}: '"), s, F.lit("'")))
-
-
-def is_hedged(s: Column) -> Column:
-    return contains_any(F.lower(s), vocab.HEDGES)
-
-
 def parse_number(token: Column) -> Column:
     """``1-1/2``, ``3/4``, ``.045`` and plain decimals as double."""
     whole = F.when(token.rlike(r"^-?\d+-\d+/\d+$"), F.regexp_extract(token, r"^(-?\d+)-", 1).try_cast("double"))
@@ -80,118 +59,104 @@ def plain_numbers(s: Column) -> Column:
     return F.transform(F.regexp_extract_all(s, F.lit(COUNTED), F.lit(1)), lambda t: t.try_cast("double"))
 
 
-def normalize_voltage(raw: Column) -> Column:
-    s = strip(raw)
-    kind = (F.when(s.rlike(r"(?i)vac|v\s*ac|\bac\b|\ba\.c\."), " AC")
-            .when(s.rlike(r"(?i)vdc|v\s*dc|\bdc\b|\bd\.c\."), " DC").otherwise(""))
-    scale = F.when(F.lower(s).contains("kv"), 1000.0).otherwise(1.0)
-    kilo = F.lower(s).contains("kv")
-
-    def volts(text: Column) -> Column:
-        return F.when(kilo, format_number(F.round(text.try_cast("double") * scale, 9), text)).otherwise(text)
-
-    voltage_range = rf"(?i)({DECIMAL})\s*(?:-|/|to)\s*({DECIMAL})"
-    low, high = _hit(s, voltage_range, 1), _hit(s, voltage_range, 2)
-    single = _hit(s, rf"({DECIMAL})")
-    number = F.round(single.try_cast("double") * scale, 9)
-    return (
-        F.when(s == "", _norm())
-        .when(is_hedged(s), _doubt(s, "Ambiguous voltage value"))
-        .when(low.isNotNull(), _norm(F.concat(volts(low), F.lit("-"), volts(high), F.lit(" V"), kind), "V"))
-        .when(single.isNotNull(), _norm(F.concat(format_number(number, single), F.lit(" V"), kind), "V", number))
-        .otherwise(_doubt(s, "Could not parse voltage"))
-    )
-
-
-def normalize_current(raw: Column) -> Column:
-    s = strip(raw)
-    # Milliamps only when the unit is attached to a number ("16 A max" stays in A).
-    unit = F.when(s.rlike(r"(?i)\d\s*ma\b"), "mA").otherwise("A")
-    low, high = _hit(s, RANGE, 1), _hit(s, RANGE, 2)
-    one = r"(?i)(\d+(?:\.\d+)?)\s*(m?a(?:mps?|mperes?)?)\b"
-    single, named = _hit(s, one, 1), F.lower(_hit(s, one, 2))
-    single_unit = F.when(named.contains("ma"), "mA").otherwise("A")
-    number = single.try_cast("double")
-    bare = s.rlike(rf"^{DECIMAL}$")
-    amps = F.when(single_unit == "A", number).otherwise(number / 1000.0)
-    return (
-        F.when(s == "", _norm())
-        .when(is_hedged(s), _doubt(s, "Ambiguous current value"))
-        .when(low.isNotNull(), _norm(F.concat(low, F.lit("-"), high, F.lit(" "), unit), unit))
-        .when(single.isNotNull(), _norm(F.concat(format_number(number, single), F.lit(" "), single_unit), single_unit, amps))
-        .when(bare, _norm(F.concat(format_number(s.try_cast("double"), s), F.lit(" A")), "A", s.try_cast("double")))
-        .otherwise(_doubt(s, "Could not parse current"))
-    )
-
-
-def normalize_frequency(raw: Column) -> Column:
-    s = strip(raw)
-    single = _hit(s, rf"(?i)({DECIMAL})\s*(?:hz|hertz)\b")
-    number = single.try_cast("double")
-    return (
-        F.when(s == "", _norm())
-        .when(is_hedged(s), _doubt(s, "Ambiguous frequency value"))
-        .when(s.rlike(r"(?i)50\s*(?:/|-|to|or|,)\s*60\s*(?:hz|hertz)?"), _norm("50/60 Hz", "Hz"))
-        .when(single.isNotNull(), _norm(F.concat(format_number(number, single), F.lit(" Hz")), "Hz", number))
-        .when(s.isin("50", "60", "400"), _norm(F.concat(s, F.lit(" Hz")), "Hz", s.try_cast("double")))
-        .otherwise(_doubt(s, "Could not parse frequency"))
-    )
-
-
-def normalize_dimensions(raw: Column) -> Column:
-    s = strip(raw)
-    scale = (F.when(s.rlike("(?i)cm|centimeter"), 10.0)
-             .when(s.rlike(r'(?i)inch|inches|\bin\b|"'), 25.4).otherwise(1.0))
-    sizes = F.filter(signed_numbers(s), lambda n: n > 0)
-    texts = F.transform(sizes, lambda n: format_number(F.bround(n * scale, 1)))
-    return (
-        F.when(s == "", _norm())
-        .when(is_hedged(s), _doubt(s, "Ambiguous dimensions"))
-        .when(F.size(sizes).isin(2, 3), _norm(F.concat(F.array_join(texts, " x "), F.lit(" mm")), "mm"))
-        .otherwise(_norm(s, "mm", ambiguous=True, message="Unstandardized dimension format"))
-    )
-
-
-def normalize_poles(raw: Column) -> Column:
-    s = strip(raw)
-    digits = _hit(s, r"(\d+)")
-    number = digits.try_cast("int")
-    return (
-        F.when(s == "", _norm())
-        .when(number.isNotNull(), _norm(number, "poles", number))
-        .otherwise(_norm(s, ambiguous=True))
-    )
-
-
-def normalize_trip_class(raw: Column) -> Column:
-    s = strip(raw)
-    found = _hit(s, r"(?i)(?:trip\s*class|class)?\s*(\d+[A-Za-z]?)\b")
-    return (F.when(s == "", _norm())
-            .when(found.isNotNull(), _norm(F.concat(F.lit("Class "), F.upper(found))))
-            .otherwise(_norm(s)))
+# Attribute-name fragments in the order they are tried.
+FAMILIES = (
+    ("voltage", ("voltage",)), ("current", ("current",)), ("frequency", ("frequency",)),
+    ("dimensions", ("dimension", "size")), ("poles", ("pole",)), ("trip", ("trip",)),
+    ("power", ("power",)), ("mounting", ("mounting",)),
+)
 
 
-def normalize_power(raw: Column) -> Column:
-    s = strip(raw)
-    pattern = r"(?i)(\d+(?:\.\d+)?)\s*(kw|kilowatts?|hp|horsepower)\b"
-    digits, word = _hit(s, pattern, 1), F.lower(_hit(s, pattern, 2))
-    unit = F.when(word.startswith("h"), "HP").otherwise("kW")
-    number = digits.try_cast("double")
-    return (F.when(s == "", _norm())
-            .when(digits.isNotNull(), _norm(F.concat(format_number(number, digits), F.lit(" "), unit), unit, number))
-            .otherwise(_norm(s)))
+def family(attribute: Column) -> Column:
+    """Which normaliser an attribute name asks for."""
+    name = F.lower(attribute)
+    return F.coalesce(*[F.when(contains_any(name, words), kind) for kind, words in FAMILIES], F.lit("generic"))
+
+
+def _by_family(**cases: Column) -> Column:
+    out = None
+    for kind, value in cases.items():
+        out = F.when(F.col("n_fam") == kind, value) if out is None else out.when(F.col("n_fam") == kind, value)
+    return out
+
+
+def with_norm(df: DataFrame, attribute: str = "attribute", value: str = "value", out: str = "norm") -> DataFrame:
+    """Adds the normalised form of each value, chosen by attribute name, as a struct.
+
+    Every pattern is matched in its own column first, so it runs once per row and
+    only for the family it belongs to."""
+    s, low, fam = F.col("n_text"), F.col("n_low"), F.col("n_fam")
+    d = df.withColumn("n_text", strip(F.col(value))).withColumn("n_fam", family(F.col(attribute)))
+    d = d.withColumn("n_low", F.lower(s))
+    measured = fam.isin("voltage", "current", "frequency", "dimensions")
+    d = d.withColumn("n_hedge", measured & s.rlike(HEDGED))
+    d = d.withColumn("n_lo", F.when(~F.col("n_hedge"), _by_family(voltage=_hit(s, VOLT_RANGE, 1), current=_hit(s, RANGE, 1))))
+    d = d.withColumn("n_hi", F.when(F.col("n_lo").isNotNull(), _by_family(voltage=_hit(s, VOLT_RANGE, 2), current=_hit(s, RANGE, 2))))
+    d = d.withColumn("n_one", F.when(~F.col("n_hedge") & F.col("n_lo").isNull(), _by_family(
+        voltage=_hit(s, f"({DECIMAL})"),
+        current=F.coalesce(_hit(s, AMPS), _hit(s, f"^({DECIMAL})$")),
+        frequency=F.coalesce(F.when(s.rlike(DUAL_HERTZ), F.lit("50/60")), _hit(s, HERTZ), F.when(s.isin("50", "60", "400"), s)),
+        poles=_hit(s, r"(\d+)"), trip=F.upper(_hit(s, TRIP)), power=_hit(s, POWER))))
+    d = d.withColumn("n_word", F.when(F.col("n_one").isNotNull(), _by_family(
+        voltage=F.lit("kv"), current=F.lower(_hit(s, AMPS, 2)), power=F.lower(_hit(s, POWER, 2)))))
+    kilo = low.contains("kv")
+    d = d.withColumn("n_num", F.col("n_one").try_cast("double"))
+    d = d.withColumn("n_num", F.when((fam == "voltage") & kilo, F.round(F.col("n_num") * 1000.0, 9)).otherwise(F.col("n_num")))
+    scale = F.when(s.rlike("(?i)cm|centimeter"), 10.0).when(s.rlike(r'(?i)inch|inches|\bin\b|"'), 25.4).otherwise(1.0)
+    sizes = F.filter(signed_numbers(s), lambda n: n > 0)
+    d = d.withColumn("n_sizes", F.when((fam == "dimensions") & ~F.col("n_hedge"), sizes))
+    d = d.withColumn("n_scale", F.when(F.size("n_sizes").isin(2, 3), scale))
+    d = d.withColumn("n_unit", F.when(~F.col("n_hedge"), _by_family(
+        voltage=F.lit("V"),
+        # Milliamps only when the unit is attached to a number ("16 A max" stays in A).
+        current=F.when(F.col("n_lo").isNotNull(), F.when(s.rlike(r"(?i)\d\s*ma\b"), "mA").otherwise("A"))
+        .when(F.col("n_word").contains("ma"), "mA").otherwise("A"),
+        frequency=F.lit("Hz"), dimensions=F.lit("mm"),
+        poles=F.when(F.col("n_num").isNotNull(), "poles"),
+        power=F.when(F.col("n_word").startswith("h"), "HP").when(F.col("n_word").isNotNull(), "kW"))))
+    lo, hi, one, number, unit = (F.col(c) for c in ("n_lo", "n_hi", "n_one", "n_num", "n_unit"))
 
+    def volts(text: Column) -> Column:
+        return F.when(kilo, format_number(F.round(text.try_cast("double") * 1000.0, 9), text)).otherwise(text)
 
-def normalize_mounting(raw: Column) -> Column:
-    s = strip(raw)
-    low = F.lower(s)
+    kind = (F.when(s.rlike(r"(?i)vac|v\s*ac|\bac\b|\ba\.c\."), " AC")
+            .when(s.rlike(r"(?i)vdc|v\s*dc|\bdc\b|\bd\.c\."), " DC").otherwise(""))
     rail = low.contains("din") & low.contains("rail")
-    return (F.when(s == "", _norm())
-            .when(rail & low.contains("35"), _norm("DIN Rail (35mm)"))
-            .when(rail, _norm("DIN Rail"))
-            .when(low.contains("panel"), _norm("Panel Mount"))
-            .when(low.contains("screw"), _norm("Screw Mounting"))
-            .otherwise(_norm(s)))
+    shown = _by_family(
+        voltage=F.when(lo.isNotNull(), F.concat(volts(lo), F.lit("-"), volts(hi), F.lit(" V"), kind))
+        .when(one.isNotNull(), F.concat(format_number(number, one), F.lit(" V"), kind)),
+        current=F.when(lo.isNotNull(), F.concat(lo, F.lit("-"), hi, F.lit(" "), unit))
+        .when(one.isNotNull(), F.concat(format_number(number, one), F.lit(" "), unit)),
+        frequency=F.concat(F.coalesce(format_number(number, one), one), F.lit(" Hz")),
+        dimensions=F.when(F.col("n_scale").isNotNull(), F.concat(F.array_join(F.transform(
+            "n_sizes", lambda n: format_number(F.bround(n * F.col("n_scale"), 1))), " x "), F.lit(" mm")))
+        .when(~F.col("n_hedge"), s),
+        poles=F.coalesce(one.try_cast("int").cast("string"), s),
+        trip=F.coalesce(F.concat(F.lit("Class "), one), s),
+        power=F.coalesce(F.concat(format_number(number, one), F.lit(" "), unit), s),
+        mounting=F.when(rail & low.contains("35"), "DIN Rail (35mm)").when(rail, "DIN Rail")
+        .when(low.contains("panel"), "Panel Mount").when(low.contains("screw"), "Screw Mounting").otherwise(s),
+        generic=resolve_tokens(s))
+    given = F.col(value).isNotNull() & ((s != "") | (fam == "generic"))
+    d = d.withColumn("n_shown", F.when(given, shown))
+    open_ = F.col("n_hedge") | (fam.isin("voltage", "current", "frequency") & F.col("n_shown").isNull()) | (
+        (fam == "dimensions") & F.col("n_scale").isNull()) | ((fam == "poles") & number.isNull())
+    d = d.withColumn("n_open", given & F.coalesce(open_, F.lit(False)))
+    doubt = F.col("n_open")
+    fitted = F.col("n_shown").isNotNull()
+    kept = fam.isin("voltage", "current", "frequency", "poles", "power") & fitted & ~doubt
+    amps = F.when((fam == "current") & (unit == "mA"), number / 1000.0).otherwise(number)
+    label = F.when(fam == "dimensions", "Ambiguous dimensions").otherwise(F.concat(F.lit("Ambiguous "), fam, F.lit(" value")))
+    message = (F.when(F.col("n_hedge"), F.concat(label, F.lit(": '"), s, F.lit("'")))
+               .when(fam == "dimensions", "Unstandardized dimension format")
+               .when(fam != "poles", F.concat(F.lit("Could not parse "), fam, F.lit(": '"), s, F.lit("'"))))
+    norm = F.struct(
+        F.col("n_shown").alias("normalized_value"),
+        F.when(fitted & (~doubt | (fam == "dimensions")), unit).alias("unit"),
+        F.when(kept, amps).alias("numeric_value"),
+        doubt.alias("is_ambiguous"), doubt.alias("requires_review"),
+        F.when(doubt, message).alias("message"))
+    return d.withColumn(out, norm).drop(*[c for c in d.columns if c.startswith("n_") and c not in df.columns])
 
 
 def resolve_tokens(s: Column) -> Column:
@@ -202,32 +167,6 @@ def resolve_tokens(s: Column) -> Column:
     return F.regexp_replace(spelled, r'(\d(?:/\d+|\.\d+)?)"', "$1 in")
 
 
-def normalize_generic(raw: Column) -> Column:
-    return _norm(resolve_tokens(raw))
-
-
-# Attribute-name fragments in the order they are tried.
-DISPATCH = (
-    (("voltage",), normalize_voltage),
-    (("current",), normalize_current),
-    (("frequency",), normalize_frequency),
-    (("dimension", "size"), normalize_dimensions),
-    (("pole",), normalize_poles),
-    (("trip",), normalize_trip_class),
-    (("power",), normalize_power),
-    (("mounting",), normalize_mounting),
-)
-
-
-def normalize(attribute: Column, raw: Column) -> Column:
-    """Normaliser chosen by attribute name; null value gives a struct of nulls."""
-    name = F.lower(strip(attribute))
-    out = F.when(raw.isNull(), _norm())
-    for fragments, rule in DISPATCH:
-        out = out.when(contains_any(name, fragments), rule(raw))
-    return out.otherwise(normalize_generic(raw))
-
-
 def fraction_text(token: Column) -> Column:
     """``0.5`` -> ``1/2`` for halves to thirty-seconds; other decimals unchanged.
 
@@ -272,9 +211,9 @@ def normalize_measure(raw: Column, default_unit: str = "in") -> Column:
     return F.when(bare == "", raw).otherwise(spaced_unit(fractions(named)))
 
 
-def refine(attribute: Column, raw: Column) -> Column:
-    """Normalise, then fractions, then unit spelling; keeps the struct shape."""
-    norm = normalize(attribute, raw)
-    return F.when(raw.isNotNull(), norm.withField(
-        "normalized_value",
-        spaced_unit(fractions(F.coalesce(norm["normalized_value"], raw)))))
+def with_refined(df: DataFrame, attribute: str = "attribute", value: str = "value", out: str = "norm") -> DataFrame:
+    """As :func:`with_norm`, followed by fractions and unit spelling."""
+    d = with_norm(df, attribute, value, out)
+    d = d.withColumn("f_text", F.coalesce(F.col(f"{out}.normalized_value"), F.col(value)))
+    d = d.withColumn("f_text", fractions(F.col("f_text"))).withColumn("f_text", spaced_unit(F.col("f_text")))
+    return d.withColumn(out, F.col(out).withField("normalized_value", F.col("f_text"))).drop("f_text")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import vocab
 from shelfmark.functions.text import format_number, null_if_blank, strip
-from shelfmark.functions.units import normalize
+from shelfmark.functions.units import with_norm
 
 INLINE = 1000
 KEYS = ["product_id", "attribute"]
@@ -57,7 +57,7 @@ def canonical(norm: Column, raw: Column, fold_milliamps: bool = True) -> Column:
 
 
 def with_canonical(claims: DataFrame, fold_milliamps: bool = True) -> DataFrame:
-    d = claims.withColumn("norm", normalize(F.col("attribute"), F.col("value")))
+    d = with_norm(claims)
     return d.withColumn("canonical", canonical(F.col("norm"), F.col("value"), fold_milliamps))
 
 

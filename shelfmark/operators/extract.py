@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import vocab
 from shelfmark.functions.text import null_if_blank, strip
-from shelfmark.functions.units import normalize, normalize_measure
+from shelfmark.functions.units import normalize_measure, with_norm
 from shelfmark.operators.classify import detect_type
 
 FROM_TEXT = "INPUT_DESCRIPTION"
@@ -213,7 +213,7 @@ def keyword_specs(df: DataFrame, key: str, text: str, specs=KEYWORD_SPECS) -> Da
             cell = F.when(seen, row) if cell is None else cell.when(seen, row)
         cells.append(cell)
     long = df.select(key, F.explode(F.array_compact(F.array(*cells))).alias("s")).select(key, "s.*")
-    return long.withColumn("norm", normalize(F.col("attribute"), F.col("value")))
+    return with_norm(long)
 
 
 def ground(extracted: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def ground(extracted: DataFrame, retrieved: DataFrame) -> DataFrame:
                .agg(F.avg("similarity").alias("avg_sim"), F.count("*").alias("n_valid")))
     top = retrieved.groupBy("product_id").agg(F.min_by("evidence_id", "rank").alias("top_id"))
     d = extracted.join(support, ["product_id", "attribute"], "left").join(top, "product_id", "left")
-    d = d.withColumn("norm", normalize(F.col("attribute"), F.col("value")))
+    d = with_norm(d)
     status = F.upper("status")
     taken = (status == "EXTRACTED") & F.col("value").isNotNull()
     backed = taken & (F.col("n_valid") > 0)

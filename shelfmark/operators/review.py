@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import vocab
-from shelfmark.functions.units import normalize
+from shelfmark.functions.units import with_norm
 from shelfmark.operators.score import needs_review, verified_ratio
 
 KEYS = ["product_id", "attribute"]
@@ -47,7 +47,7 @@ def apply_decisions(attributes: DataFrame, decisions: DataFrame) -> DataFrame:
     d = attributes.join(f, ["product_id", "name"], "left")
     chosen = F.col("set.action") == "SELECT_ALTERNATIVE"
     voided = F.col("set.action") == "MARK_UNKNOWN"
-    d = d.withColumn("norm", F.when(chosen, normalize(F.col("name"), F.col("set.selected_value"))))
+    d = with_norm(d.withColumn("picked", F.when(chosen, F.col("set.selected_value"))), "name", "picked")
     unknown = F.col("last_move") == "MARK_UNKNOWN"
     moved = F.col("last_move").isNotNull()
     rest = [c for c in attributes.columns if c not in ("value", "normalized_value", "unit", "confidence", "status")]
@@ -134,7 +134,7 @@ def resolve_conflicts(conflicts: DataFrame, attributes: DataFrame, products: Dat
     picked = c.filter(F.col("r").isNotNull() & ~dismissed & F.col("r.selected_value").isNotNull()).select(
         "product_id", F.col("attribute").alias("name"), F.col("r.selected_value").alias("picked"))
     a = attributes.join(picked, ["product_id", "name"], "left")
-    a = a.withColumn("norm", F.when(F.col("picked").isNotNull(), normalize(F.col("name"), F.col("picked"))))
+    a = with_norm(a, "name", "picked")
     hit = F.col("picked").isNotNull()
     new_attributes = a.select(
         *[c_ for c_ in attributes.columns if c_ not in ("value", "normalized_value", "unit", "status")],

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import vocab
-from shelfmark.functions.units import normalize
+from shelfmark.functions.units import with_norm
 from shelfmark.operators import claims as cl
 from shelfmark.operators import classify, describe, extract, resolve, retrieve, score, validate
 from shelfmark.sources import defaults
@@ -83,7 +83,7 @@ def gather_claims(products: DataFrame, rules: Rules, documents: DataFrame | None
 def best_attributes(canonical_claims: DataFrame) -> DataFrame:
     """Best claim per attribute with its normalised form."""
     best = cl.best_claims(canonical_claims)
-    d = best.withColumn("norm", normalize(F.col("attribute"), F.col("value")))
+    d = with_norm(best)
     return d.select("product_id", F.col("attribute").alias("name"), "value",
                     F.col("norm.normalized_value").alias("normalized_value"), F.col("norm.unit").alias("unit"),
                     F.coalesce("norm.is_ambiguous", F.lit(False)).alias("is_ambiguous"), "attr_ord", "n_claims", "similarity")

@@ -12,8 +12,19 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.localRelationThreshold": "48MB",
     "spark.sql.autoBroadcastJoinThreshold": "10MB",
+    # generated methods above 8000 bytes are never JIT-compiled; let Spark split them instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+RUNTIME = ("spark.sql.codegen.hugeMethodLimit", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """The settings that can still be changed on a session made elsewhere."""
+    for k in RUNTIME:
+        spark.conf.set(k, SETTINGS[k])
+    return spark
+
 
 def local_session(cores: int = 8, memory: str = "8g", name: str = "shelfmark") -> SparkSession:
     b = SparkSession.builder.master(f"local[{cores}]").appName(name)

@@ -501,3 +501,397 @@ def _(spark, sf):
     WHEN status = 'HEURISTIC' THEN 'heuristic' ELSE 'unresolved' END AS outcome FROM tax""")
 def _(spark, sf):
     return _taxed(spark, sf).select("product_id", classify.taxonomy_outcome(c("tax.status"), c("tax.class_name")).alias("outcome"))
+
+
+# ---------------------------------------------------------------- extraction
+
+
+def _facts(spark, sf, build):
+    d = _mined(spark, sf)
+    return extract.dedupe_facts(extract.explode_facts(d, "product_id", build(c("text")))).select("product_id", "attribute", "value")
+
+
+def _dedup(parts: list[str]) -> str:
+    """First spelling per attribute and lower-cased value over unions of (product_id, ord, attribute, value)."""
+    rows = " UNION ALL ".join(parts)
+    return (f"SELECT product_id, attribute, arg_min(value, ord) AS value FROM (SELECT product_id, ord, attribute, {sv.strip('value')} AS value FROM ({rows})) "
+            "WHERE value <> '' GROUP BY product_id, attribute, lower(value)")
+
+
+def _all_hits(i: int, name: str, pattern: str, group: int = 0) -> str:
+    return (f"SELECT product_id, {i * 1000000} + u.i AS ord, {sv.lit(name)} AS attribute, u.v AS value FROM (SELECT product_id, unnest(list_transform("
+            f"regexp_extract_all(text, {sv.lit(pattern)}, {group}), lambda v, i: {{'v': v, 'i': i}})) AS u FROM mined)")
+
+
+def _flags(i: int, rows) -> str:
+    return " UNION ALL ".join(f"SELECT product_id, {i * 1000000 + j} AS ord, {sv.lit(a)} AS attribute, {sv.lit(v)} AS value FROM mined WHERE {sv.has('text', p)}"
+                              for j, (p, v, a) in enumerate(rows))
+
+
+@query("ext_dimension")
+def _(spark, sf):
+    d = _mined(spark, sf)
+    long = extract.explode_facts(d, "product_id", extract.dimension_facts(c("text"), c("part_number")))
+    return extract.with_measures(extract.dedupe_facts(long)).select("product_id", "attribute", "value", "measure")
+
+
+@query("ext_measure_norm", f"SELECT doc_id, word, {sv.measure('word')} AS measure FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9][0-9./-]*[a-z\"]*'))) AS word FROM documents)")
+def _(spark, sf):
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r'[0-9][0-9./-]*[a-z"]*'), F.lit(0)))
+    d = views.table(spark, sf, "documents").select("doc_id", F.explode(words).alias("word"))
+    return d.withColumn("measure", units.normalize_measure(c("word")))
+
+
+@query("ext_quantity", _dedup([_all_hits(i, "quantity", p) for i, p in enumerate(vocab.QUANTITIES)]))
+def _(spark, sf):
+    return _facts(spark, sf, extract.quantity_facts)
+
+
+@query("ext_grit_series_model", _dedup([_all_hits(0, "grit", vocab.GRIT), _all_hits(1, "series", vocab.SERIES, 1), _all_hits(2, "model", vocab.MODEL, 1)]))
+def _(spark, sf):
+    return _facts(spark, sf, extract.label_facts)
+
+
+@query("ext_physical", _dedup([_all_hits(i, n, p) for i, (n, p) in enumerate(vocab.PHYSICAL_PATTERNS)]))
+def _(spark, sf):
+    return _facts(spark, sf, extract.physical_facts)
+
+
+@query("ext_material", _dedup([_flags(0, [(p, v, "material") for p, v in vocab.MATERIALS])]))
+def _(spark, sf):
+    return _facts(spark, sf, extract.material_facts)
+
+
+@query("ext_colour_finish", _dedup([_flags(0, vocab.COLOURS_FINISHES)]))
+def _(spark, sf):
+    return _facts(spark, sf, extract.colour_finish_facts)
+
+
+@query("ext_application", _dedup([_flags(0, [(p, v, "application") for p, v in vocab.APPLICATIONS])]))
+def _(spark, sf):
+    return _facts(spark, sf, extract.application_facts)
+
+
+@query("ext_connection", _dedup([_flags(0, [(p, v, "connection") for p, v in vocab.CONNECTIONS])]))
+def _(spark, sf):
+    return _facts(spark, sf, extract.connection_facts)
+
+
+_mount = sv.hit("text", vocab.MOUNT_PHRASE)
+
+
+@query("ext_mounting_text", f"SELECT product_id, 'mounting' AS attribute, {sv.title(_mount)} AS value FROM mined WHERE {_mount} IS NOT NULL")
+def _(spark, sf):
+    return _facts(spark, sf, extract.mounting_facts)
+
+
+@query("ext_type_fact", "SELECT product_id, 'product_type' AS attribute, candidate_type AS value FROM types WHERE candidate_type IS NOT NULL")
+def _(spark, sf):
+    return _facts(spark, sf, lambda t: extract.type_facts(t, views.TYPE_PATTERNS))
+
+
+@query("ext_source_brand", f"SELECT product_id, 'source_brand' AS attribute, {sv.strip('brand')} AS value FROM clean_feed WHERE {sv.strip('brand')} <> ''")
+def _(spark, sf):
+    return _facts(spark, sf, lambda _: extract.field_facts("source_brand", c("brand")))
+
+
+@query("ext_brand_fact", "SELECT product_id, unnest(['candidate_brand', 'brand']) AS attribute, candidate_brand AS value FROM candidates")
+def _(spark, sf):
+    _, found = _candidates(spark, sf)
+    return extract.explode_facts(found, "product_id", extract.text_brand_facts(c("candidate_brand"))).select("product_id", "attribute", "value")
+
+
+@query("ext_model_prefix", "SELECT product_id, 'model' AS attribute, part_number AS value FROM clean_feed WHERE part_number <> '' AND starts_with(upper(description), upper(part_number))")
+def _(spark, sf):
+    return _facts(spark, sf, lambda _: extract.model_prefix_facts(c("description"), c("part_number")))
+
+
+_TEXT_MINERS = ([_all_hits(i, "quantity", p) for i, p in enumerate(vocab.QUANTITIES)]
+                + [_all_hits(10, "grit", vocab.GRIT), _all_hits(11, "series", vocab.SERIES, 1), _all_hits(12, "model", vocab.MODEL, 1)]
+                + [_all_hits(20 + i, n, p) for i, (n, p) in enumerate(vocab.PHYSICAL_PATTERNS)])
+sv.VIEWS["facts"] = _dedup(_TEXT_MINERS)
+
+
+def _plain_facts(spark, sf):
+    d = _mined(spark, sf)
+    t = c("text")
+    long = extract.explode_facts(d, "product_id", F.concat(extract.quantity_facts(t), extract.label_facts(t), extract.physical_facts(t)))
+    return extract.dedupe_facts(long)
+
+
+@query("ext_dedupe", "SELECT product_id, attribute, value FROM facts")
+def _(spark, sf):
+    return _plain_facts(spark, sf).select("product_id", "attribute", "value")
+
+
+def _evidence_value_sql(text: str, name: str) -> str:
+    tail = name.rsplit("_", 1)[-1]
+    tried = list(vocab.EVIDENCE_PATTERNS[name]) + (list(vocab.EVIDENCE_PATTERNS.get(tail, ())) if tail != name else [])
+    return "coalesce(" + ", ".join(sv.no_blank(sv.strip(f"regexp_extract({text}, {sv.lit(p)}, 0)")) for p in tried) + ")"
+
+
+_ASKED = ("voltage", "weight", "poles", "trip_class", "protection", "efficiency", "output_current", "input_voltage")
+
+
+@query("ext_evidence_value", "SELECT document_id, chunk_index, attribute, value FROM (" + " UNION ALL ".join(
+    f"SELECT document_id, chunk_index, {sv.lit(a)} AS attribute, {_evidence_value_sql('text', a)} AS value FROM lines" for a in _ASKED)
+    + " UNION ALL SELECT document_id, chunk_index, 'material', CASE " + " ".join(f"WHEN {sv.has('text', p)} THEN {sv.lit(v)}" for p, v in vocab.MATERIALS)
+    + " END FROM lines) WHERE value IS NOT NULL")
+def _(spark, sf):
+    asked = F.explode(F.array(*[F.lit(a) for a in (*_ASKED, "material")]))
+    d = docs.line_chunks(views.documents(spark, sf)).withColumn("attribute", asked)
+    return d.withColumn("value", extract.evidence_value(c("text"), c("attribute"))).filter("value IS NOT NULL").select(
+        "document_id", "chunk_index", "attribute", "value")
+
+
+@query("ext_keyword_spec", """SELECT product_id, 'voltage' AS attribute, '400 V AC' AS value, '400 V AC' AS normalized_value, 'V' AS unit, 0.98::DOUBLE AS confidence, 'VERIFIED' AS status FROM mined
+    WHERE contains(lower(text), '400 v') OR contains(lower(text), '400v')
+    UNION ALL SELECT product_id, 'current', CASE WHEN contains(lower(text), '12 a') THEN '12 A' ELSE '10 A' END, CASE WHEN contains(lower(text), '12 a') THEN '12 A' ELSE '10 A' END, 'A',
+      CASE WHEN contains(lower(text), '12 a') THEN 0.65 ELSE 0.98 END, CASE WHEN contains(lower(text), '12 a') THEN 'CONFLICT' ELSE 'VERIFIED' END FROM mined
+    WHERE contains(lower(text), '12 a') OR contains(lower(text), '10 a')
+    UNION ALL SELECT product_id, 'frequency', '50/60 Hz', '50/60 Hz', 'Hz', 0.99, 'VERIFIED' FROM mined WHERE contains(lower(text), '50/60 hz') OR contains(lower(text), '50 - 60 hz') OR contains(lower(text), '50 - 60 hertz')""")
+def _(spark, sf):
+    d = extract.keyword_specs(_mined(spark, sf), "product_id", "text")
+    return d.select("product_id", "attribute", "value", "norm.normalized_value", "norm.unit", "confidence", "status")
+
+
+def _retrieved(spark, sf):
+    """Per product, its claims' evidence in order of similarity."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("product_id").orderBy(c("similarity").desc(), "claim_ord")
+    return views.claims(spark, sf).select("product_id", "evidence_id", "similarity", F.row_number().over(w).alias("rank"))
+
+
+sv.VIEWS["retrieved"] = "SELECT product_id, evidence_id, similarity, row_number() OVER (PARTITION BY product_id ORDER BY similarity DESC, claim_ord) AS rank FROM claims"
+sv.VIEWS["extracted"] = """SELECT product_id, name AS attribute, value, CASE WHEN attr_ord % 5 = 0 THEN 'UNKNOWN' WHEN attr_ord % 5 = 1 THEN 'UNVERIFIED' ELSE 'EXTRACTED' END AS status, e1, e2 FROM attributes
+    LEFT JOIN (SELECT product_id, attribute AS name, min(evidence_id) AS e1, CASE WHEN count(*) > 2 THEN 'ev_missing' ELSE max(evidence_id) END AS e2,
+      count(*) AS n FROM claims GROUP BY 1, 2) USING (product_id, name)"""
+
+
+@query("ext_grounding", f"""SELECT product_id, attribute, CASE WHEN known THEN value END AS value, CASE WHEN known THEN z END AS normalized_value, CASE WHEN known THEN u END AS unit,
+    CASE WHEN backed THEN round_even(least(1.0, greatest(0.5, round(avg_sim, 8))), 2) WHEN taken THEN 0.4 WHEN status = 'UNVERIFIED' THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence,
+    CASE WHEN backed AND NOT amb THEN 'VERIFIED' WHEN known THEN 'REQUIRES_REVIEW' ELSE 'UNKNOWN' END AS status,
+    CASE WHEN known THEN coalesce(n_valid, 0) ELSE 0 END AS n_valid, CASE WHEN taken AND NOT coalesce(backed, false) THEN top_id END AS fallback_evidence_id FROM (
+    SELECT x.*, s.avg_sim, s.n_valid, t.top_id, x.status = 'EXTRACTED' AND x.value IS NOT NULL AS taken, x.status = 'EXTRACTED' AND x.value IS NOT NULL AND s.n_valid > 0 AS backed,
+      (x.status = 'EXTRACTED' AND x.value IS NOT NULL) OR x.status = 'UNVERIFIED' AS known
+    FROM ({sv.norm_ctes('extracted', 'gz')}) x
+    LEFT JOIN (SELECT product_id, attribute, avg(similarity) AS avg_sim, count(*) AS n_valid FROM (SELECT DISTINCT product_id, attribute, unnest([e1, e2]) AS evidence_id FROM extracted WHERE e1 NOT LIKE '%1')
+      JOIN retrieved USING (product_id, evidence_id) GROUP BY 1, 2) s ON x.product_id = s.product_id AND x.attribute = s.attribute
+    LEFT JOIN (SELECT product_id, evidence_id AS top_id FROM retrieved WHERE rank = 1) t ON x.product_id = t.product_id)""")
+def _(spark, sf):
+    a = views.attributes(spark, sf)
+    cited = views.claims(spark, sf).groupBy("product_id", c("attribute").alias("name")).agg(
+        F.min("evidence_id").alias("e1"), F.when(F.count("*") > 2, "ev_missing").otherwise(F.max("evidence_id")).alias("e2"))
+    ids = F.when(~c("e1").endswith("1"), F.array("e1", "e2")).otherwise(F.array().cast("array<string>"))
+    state = F.when(c("attr_ord") % 5 == 0, "UNKNOWN").when(c("attr_ord") % 5 == 1, "UNVERIFIED").otherwise("EXTRACTED")
+    x = a.join(cited, ["product_id", "name"]).select("product_id", c("name").alias("attribute"), "value", state.alias("status"), ids.alias("evidence_ids"))
+    return extract.ground(x, _retrieved(spark, sf))
+
+
+@query("ext_no_evidence", "SELECT product_id, attribute, NULL::VARCHAR AS value, 0.0::DOUBLE AS confidence, 'UNKNOWN' AS status FROM products CROSS JOIN (VALUES "
+       + ", ".join(f"({sv.lit(a)})" for a in vocab.REPORTED_ATTRIBUTES) + ") r(attribute) WHERE product_id NOT IN (SELECT product_id FROM docs)")
+def _(spark, sf):
+    return extract.without_evidence(views.products(spark, sf), views.documents(spark, sf))
+
+
+def _index(spark, sf):
+    return retrieve.index_chunks(docs.line_chunks(views.documents(spark, sf)), DIM)
+
+
+PHRASE = "technical specifications voltage current frequency mounting poles the of and"
+
+
+@query("ext_retrieve_extract")
+def _(spark, sf):
+    found = retrieve.retrieve_and_extract(_index(spark, sf), PHRASE, dim=DIM)
+    return found.select("product_id", "attribute", "value", "similarity")
+
+
+_block = """'[Evidence ID: ' || evidence_id || ']' || chr(10) || 'Document: ' || source_name || ' (Page ' || page_number || ', Chunk #' || chunk_index || ')' || chr(10) ||
+    'Similarity Score: ' || printf('%.4f', similarity) || chr(10) || 'Content:' || chr(10) || snippet || chr(10)"""
+
+
+@query("ext_format_evidence", f"SELECT product_id, string_agg({_block}, chr(10) || chr(10) ORDER BY rank) AS evidence_text FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY similarity DESC, evidence_id) AS rank, "
+       "CAST(page_number AS INT) AS chunk_index FROM claims) WHERE rank <= 5 GROUP BY product_id")
+def _(spark, sf):
+    d = views.claims(spark, sf).select("product_id", "evidence_id", c("source_name").alias("document_name"), "page_number", c("page_number").alias("chunk_index"),
+                                       c("snippet").alias("text"), c("similarity").alias("raw_score"))
+    return extract.evidence_text(retrieve.top_k(d, 5, ["product_id"]), "product_id")
+
+
+@query("ext_taxonomy_attrs", """SELECT product_id, unnest(['Dept', 'Class_name', 'Fine', 'Classpath', 'Confidence', 'Status']) AS attribute,
+    unnest([dept, class_name, fine, classpath, CAST(confidence AS VARCHAR), status]) AS value, '' AS unit, 0.9::DOUBLE AS confidence, 'VERIFIED' AS status FROM tax""")
+def _(spark, sf):
+    return extract.taxonomy_attributes(_taxed(spark, sf))
+
+
+# ---------------------------------------------------------------- normalisation
+
+sv.VIEWS["claims_n"] = sv.norm_ctes("claims", "cn")
+
+
+def _normed(spark, sf):
+    return units.with_norm(views.claims(spark, sf))
+
+
+def _norm_query(name, attribute):
+    fields = ("normalized_value", "unit", "numeric_value", "is_ambiguous", "message")
+
+    @query(name, f"SELECT claim_ord, product_id, value, z AS normalized_value, u AS unit, n AS numeric_value, amb AS is_ambiguous, msg AS message FROM claims_n WHERE attribute = {sv.lit(attribute)}")
+    def _(spark, sf):
+        d = units.with_norm(views.claims(spark, sf).filter(c("attribute") == attribute))
+        return d.select("claim_ord", "product_id", "value", *[f"norm.{f}" for f in fields])
+
+
+for _name, _attribute in (("nrm_voltage", "voltage"), ("nrm_current", "current"), ("nrm_frequency", "frequency"), ("nrm_dimensions", "dimensions"),
+                          ("nrm_poles", "poles"), ("nrm_power", "power"), ("nrm_generic", "material")):
+    _norm_query(_name, _attribute)
+
+
+@query("nrm_dispatch", "SELECT attribute, z AS normalized_value, u AS unit, count(*) AS n_claims FROM claims_n GROUP BY ALL")
+def _(spark, sf):
+    return _normed(spark, sf).groupBy("attribute", c("norm.normalized_value").alias("normalized_value"), c("norm.unit").alias("unit")).agg(F.count("*").alias("n_claims"))
+
+
+@query("nrm_ambiguous", "SELECT attribute, msg AS message, amb AS is_ambiguous, count(*) AS n_claims FROM claims_n GROUP BY ALL")
+def _(spark, sf):
+    return _normed(spark, sf).groupBy("attribute", c("norm.message").alias("message"), c("norm.is_ambiguous").alias("is_ambiguous")).agg(F.count("*").alias("n_claims"))
+
+
+sv.VIEWS["odd"] = """SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN l_suppkey % 2 = 0 THEN 'trip_class' ELSE 'mounting' END AS attribute,
+    CASE WHEN l_suppkey % 2 = 0 THEN CASE l_partkey % 3 WHEN 0 THEN concat('Trip Class ', CAST(l_quantity AS INT), 'a') WHEN 1 THEN concat(CAST(l_quantity AS INT)) ELSE l_returnflag END
+      ELSE CASE l_partkey % 5 WHEN 0 THEN 'DIN rail 35 mm' WHEN 1 THEN 'din  RAIL' WHEN 2 THEN 'panel mount' WHEN 3 THEN 'screws' ELSE concat('flush ', l_linestatus) END END AS value FROM lineitem"""
+
+
+def _odd(spark, sf, attribute):
+    q = "CAST(CAST(l_quantity AS INT) AS STRING)"
+    trip = f"CASE l_partkey % 3 WHEN 0 THEN concat('Trip Class ', {q}, 'a') WHEN 1 THEN {q} ELSE l_returnflag END"
+    mount = "CASE l_partkey % 5 WHEN 0 THEN 'DIN rail 35 mm' WHEN 1 THEN 'din  RAIL' WHEN 2 THEN 'panel mount' WHEN 3 THEN 'screws' ELSE concat('flush ', l_linestatus) END"
+    d = views.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.when(c("l_suppkey") % 2 == 0, "trip_class").otherwise("mounting").alias("attribute"),
+        F.expr(f"CASE WHEN l_suppkey % 2 = 0 THEN {trip} ELSE {mount} END").alias("value")).filter(c("attribute") == attribute)
+    return units.with_norm(d).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "value", "norm.normalized_value")
+
+
+for _name, _attribute in (("nrm_trip_class", "trip_class"), ("nrm_mounting", "mounting")):
+    query(_name, f"SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, value, z AS normalized_value FROM ({sv.norm_ctes('odd', 'oz')}) WHERE attribute = {sv.lit(_attribute)}")(
+        lambda spark, sf, a=_attribute: _odd(spark, sf, a))
+
+_decimals = "concat('size ', CAST(l_extendedprice AS VARCHAR), ' x ', CAST(l_quantity * 0.03125 AS VARCHAR), ' in')"
+
+
+@query("nrm_fraction", f"SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, {sv.fractions('t')} AS fraction FROM (SELECT *, {_decimals} AS t FROM lineitem)")
+def _(spark, sf):
+    t = F.concat(F.lit("size "), c("l_extendedprice").cast("string"), F.lit(" x "), (c("l_quantity") * 0.03125).cast("string"), F.lit(" in"))
+    return views.table(spark, sf, "lineitem").withColumn("t", t).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", units.fractions(c("t")).alias("fraction"))
+
+
+_spelled = "concat(CAST(l_quantity AS VARCHAR), CASE l_suppkey % 7 WHEN 0 THEN 'lbs' WHEN 1 THEN ' INCHES' WHEN 2 THEN 'vdc' WHEN 3 THEN '\"' WHEN 4 THEN ' furlong' WHEN 5 THEN '' ELSE ' x 3 mm' END)"
+
+
+@query("nrm_uom", f"SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, {sv.spaced_unit('t')} AS spaced FROM (SELECT *, {_spelled} AS t FROM lineitem)")
+def _(spark, sf):
+    d = views.table(spark, sf, "lineitem").withColumn("t", F.expr(_spelled.replace("AS VARCHAR", "AS STRING")))
+    return d.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", units.spaced_unit(c("t")).alias("spaced"))
+
+
+@query("nrm_refine", f"""SELECT product_id, name, value, {sv.spaced_unit('f')} AS normalized_value, unit, CASE WHEN is_ambiguous THEN 'REQUIRES_REVIEW' ELSE status END AS status FROM (
+    SELECT *, {sv.fractions('t')} AS f FROM (SELECT *, coalesce(normalized_value, value) AS t FROM attributes))""")
+def _(spark, sf):
+    d = units.with_refined(views.attributes(spark, sf).drop("normalized_value", "unit"), "name", "value")
+    return d.select("product_id", "name", "value", "norm.normalized_value", "norm.unit",
+                    F.when(c("norm.requires_review"), "REQUIRES_REVIEW").otherwise(c("status")).alias("status"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+def _bucket(t: str, dim: int) -> str:
+    return f"CAST(('0x' || right(md5({t}), 8))::BIGINT % {dim} AS INT)"
+
+
+sv.VIEWS["line_ids"] = "SELECT *, 'ev_' || left(sha256(document_id || '|' || page_number || '|' || chunk_index), 24) AS evidence_id FROM lines"
+sv.VIEWS["line_tokens"] = r"SELECT evidence_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM line_ids"
+sv.VIEWS["line_sparse"] = f"""SELECT evidence_id, bucket, sum(wt) AS w FROM (
+    SELECT evidence_id, {_bucket('tok', DIM)} AS bucket, wt FROM (SELECT evidence_id, unnest(w) AS tok, 1.0::DOUBLE AS wt FROM line_tokens
+      UNION ALL SELECT evidence_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || '_' || z[2])) AS tok, 1.5::DOUBLE FROM line_tokens WHERE len(w) > 1)) GROUP BY 1, 2"""
+sv.VIEWS["line_vec"] = "SELECT evidence_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY evidence_id)) AS weight FROM line_sparse"
+
+
+def _line_score(phrase: str) -> str:
+    q = embedding.query_vector(phrase, DIM)
+    cases = " ".join(f"WHEN {b} THEN {w!r}::DOUBLE" for b, w in q.items())
+    return (f"SELECT l.*, coalesce(s.raw, 0.0) AS raw FROM line_ids l LEFT JOIN (SELECT evidence_id, least(1.0, sum(weight * CASE bucket {cases} ELSE 0.0 END)) AS raw FROM line_vec GROUP BY 1) s USING (evidence_id)")
+
+
+@query("ret_embed_hash", "SELECT evidence_id, bucket, round(weight, 6) AS weight FROM line_vec")
+def _(spark, sf):
+    d = docs.line_chunks(views.documents(spark, sf))
+    d = d.withColumn("evidence_id", retrieve.evidence_id(c("document_id"), c("page_number"), c("chunk_index")))
+    return embedding.sparse_vectors(d, "evidence_id", "text", DIM).select("evidence_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@query("ret_index")
+def _(spark, sf):
+    return _index(spark, sf).select("evidence_id", "document_id", "product_id", "char_count", F.size("embedding").alias("dim"))
+
+
+# a fixed search vector; the table of vectors is what grows
+QUERY_VEC = embedding.unit([((i * 37) % 19) - 9.0 for i in range(64)])
+_dot = " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * {w!r}::DOUBLE" for i, w in QUERY_VEC.items())
+
+
+@query("ret_topk", f"SELECT vec_id, label, round(raw, 4) AS score, row_number() OVER (ORDER BY round(raw, 8) DESC, vec_id) AS rank FROM (SELECT vec_id, label, least(1.0, greatest(0.0, {_dot})) AS raw FROM embeddings) QUALIFY rank <= 20")
+def _(spark, sf):
+    return retrieve.search(views.table(spark, sf, "embeddings"), QUERY_VEC, 20, tie="vec_id").select("vec_id", "label", "score", "rank")
+
+
+@query("ret_filter", f"SELECT vec_id, label, round(raw, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(raw, 8) DESC, vec_id) AS rank FROM (SELECT vec_id, label, least(1.0, greatest(0.0, {_dot})) AS raw FROM embeddings)) WHERE rank <= 5")
+def _(spark, sf):
+    scored_ = views.table(spark, sf, "embeddings").withColumn("raw_score", embedding.similarity(c("embedding"), QUERY_VEC)).drop("embedding")
+    return retrieve.top_k(scored_, 5, ["label"], "vec_id").select("vec_id", "label", "score", "rank")
+
+
+@query("ret_get_ids", "SELECT evidence_id, document_id, chunk_index FROM line_ids WHERE document_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def _(spark, sf):
+    d = docs.line_chunks(views.documents(spark, sf))
+    d = d.withColumn("evidence_id", retrieve.evidence_id(c("document_id"), c("page_number"), c("chunk_index")))
+    good = views.table(spark, sf, "labels").filter("quality = 1").select(c("doc_id").alias("document_id"))
+    wanted = d.join(good, "document_id", "left_semi").select("evidence_id")
+    return retrieve.by_ids(d, wanted).select("evidence_id", "document_id", "chunk_index")
+
+
+@query("ret_delete_doc", "SELECT document_id, count(*) AS n_chunks FROM lines WHERE document_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1")
+def _(spark, sf):
+    gone = views.table(spark, sf, "labels").filter("toxic = 1").select(c("doc_id").alias("document_id"))
+    left = retrieve.without_documents(docs.line_chunks(views.documents(spark, sf)), gone)
+    return left.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
+
+
+@query("ret_count_clear", "SELECT count(*) AS n_chunks, count(DISTINCT document_id) AS n_documents, 0 AS after_clear FROM lines")
+def _(spark, sf):
+    d = docs.line_chunks(views.documents(spark, sf))
+    return retrieve.index_size(d).withColumn("after_clear", F.lit(0)).unionByName(
+        retrieve.cleared(d).select(F.lit(0).cast("bigint").alias("n_chunks"), F.lit(0).cast("bigint").alias("n_documents"), F.lit(0).alias("after_clear")))
+
+
+REQUESTS = [retrieve.Request(1, "rated voltage of the unit", {"source": "src3"}), retrieve.Request(2, "der die und", {"source": "no such source"}),
+            retrieve.Request(3, "les des une", {"source": "src7"}), retrieve.Request(4, "email phone license", {})]
+
+
+def _request_sql(r: retrieve.Request) -> str:
+    cond = " AND ".join(f"{k} = {sv.lit(x)}" for k, x in r.filters.items()) or "true"
+    body = f"SELECT *, coalesce({cond}, false) AS hit FROM ({_line_score(r.text)})"
+    return f"""SELECT {r.request_id} AS request_id, evidence_id, round(raw, 4) AS score, rank, NOT hit AS is_fallback FROM (
+        SELECT *, row_number() OVER (ORDER BY round(raw, 8) DESC, evidence_id) AS rank FROM (SELECT *, max(hit) OVER () AS any_hit FROM ({body})) WHERE hit = any_hit) WHERE rank <= 5"""
+
+
+@query("ret_fallback", " UNION ALL ".join(_request_sql(r) for r in REQUESTS))
+def _(spark, sf):
+    return retrieve.search_with_fallback(_index(spark, sf), REQUESTS, 5, DIM).select("request_id", "evidence_id", "score", "rank", "is_fallback")
+
+
+@query("ret_multi_query")
+def _(spark, sf):
+    return retrieve.spec_evidence(_index(spark, sf), dim=DIM).select("product_id", "attribute", "value", "evidence_id", "similarity")
