@@ -895,3 +895,337 @@ def _(spark, sf):
 @query("ret_multi_query")
 def _(spark, sf):
     return retrieve.spec_evidence(_index(spark, sf), dim=DIM).select("product_id", "attribute", "value", "evidence_id", "similarity")
+
+
+# ---------------------------------------------------------------- claims and conflicts
+
+sv.VIEWS["text_claims"] = """SELECT f.product_id, f.attribute, f.value, 'Product Description' AS source_name, 'INPUT_DESCRIPTION' AS source_type, NULL::VARCHAR AS evidence_id,
+    d.description AS snippet, 0.85::DOUBLE AS similarity FROM facts f JOIN clean_feed d USING (product_id)"""
+
+
+@query("clm_union", """SELECT product_id, attribute, value, source_name, source_type, evidence_id, similarity FROM text_claims
+    UNION ALL SELECT product_id, attribute, value, source_name, source_type, evidence_id, similarity FROM claims""")
+def _(spark, sf):
+    both = cl.union_claims(cl.claims_from_facts(_plain_facts(spark, sf), fd.clean_feed(views.feed(spark, sf))), views.claims(spark, sf))
+    return both.select("product_id", "attribute", "value", "source_name", "source_type", "evidence_id", "similarity")
+
+
+@query("clm_best", "SELECT product_id, attribute, value, source_name, similarity, n_claims, attr_ord FROM best")
+def _(spark, sf):
+    return cl.best_claims(views.claims(spark, sf))
+
+
+@query("clm_from_evidence", "SELECT e.product_id, e.attribute, a.value, e.source_name, e.evidence_id FROM evidence e JOIN attributes a ON e.product_id = a.product_id AND e.attribute = a.name WHERE a.n_claims > 1")
+def _(spark, sf):
+    return cl.claims_from_evidence(views.attributes(spark, sf), views.evidence(spark, sf))
+
+
+@query("cnf_detect", "SELECT product_id, attribute, n_values, n_claims, first_value, status, conflict_id FROM found_conflicts")
+def _(spark, sf):
+    return cl.conflicts(views.claims(spark, sf)).drop("severity")
+
+
+@query("cnf_severity", "SELECT conflict_id, attribute, severity FROM found_conflicts")
+def _(spark, sf):
+    return cl.conflicts(views.claims(spark, sf)).select("conflict_id", "attribute", "severity")
+
+
+@query("cnf_all", f"""SELECT c.product_id, c.attribute, c.conflict_id, v.values, s.sources, e.evidence_ids FROM found_conflicts c
+    JOIN (SELECT product_id, attribute, string_agg(first_raw, ' | ' ORDER BY first_ord) AS values FROM cvalues GROUP BY 1, 2) v USING (product_id, attribute)
+    JOIN (SELECT product_id, attribute, string_agg(source_name, ' | ' ORDER BY o) AS sources FROM (SELECT product_id, attribute, source_name, min(claim_ord) AS o FROM claims_z
+      WHERE {sv.strip('value')} <> '' AND upper(value) <> 'UNKNOWN' GROUP BY 1, 2, 3) GROUP BY 1, 2) s USING (product_id, attribute)
+    JOIN (SELECT product_id, attribute, string_agg(evidence_id, ' | ' ORDER BY o) AS evidence_ids FROM (SELECT product_id, attribute, evidence_id, min(claim_ord) AS o FROM claims_z
+      WHERE {sv.strip('value')} <> '' AND upper(value) <> 'UNKNOWN' GROUP BY 1, 2, 3) GROUP BY 1, 2) e USING (product_id, attribute)""")
+def _(spark, sf):
+    said = cl.with_canonical(cl.stated(views.claims(spark, sf)))
+    full = cl.conflict_lists(cl.conflict_headers(cl.claim_values(said)), said)
+    return full.select("product_id", "attribute", "conflict_id", *[F.array_join(x, " | ").alias(x) for x in ("values", "sources", "evidence_ids")])
+
+
+@query("cnf_list", "SELECT product_id, attribute, severity, n_values FROM conflicts WHERE status = 'OPEN'")
+def _(spark, sf):
+    return cl.listed(views.conflicts(spark, sf), status="open").select("product_id", "attribute", "severity", "n_values")
+
+
+sv.VIEWS["xsr"] = """SELECT product_id, attribute, n_values > 1 AS is_conflict, CASE WHEN n_values > 1 THEN 'CONFLICT' ELSE 'PASSED' END AS status,
+    CASE WHEN n_values > 1 THEN 'HIGH' ELSE 'LOW' END AS severity, n_claims, n_values,
+    CASE WHEN n_claims = 1 THEN 'Single source ''' || who || ''' supports ''' || attribute || ''' with value ''' || raw || '''.'
+      WHEN n_values > 1 THEN 'Conflicting values detected for ''' || attribute || ''' across sources: ' || parts || '.'
+      ELSE 'Value ''' || matched || ''' consistently verified across ' || n_claims || ' sources (' || who || ').' END AS message FROM (
+    SELECT product_id, attribute, count(*) AS n_values, CAST(sum(n) AS BIGINT) AS n_claims, arg_min(canonical, o) AS matched, arg_min(who, o) AS who, arg_min(raw, o) AS raw,
+      string_agg('''' || canonical || ''' (' || who || ')', ' vs ' ORDER BY o) AS parts FROM (
+      SELECT product_id, attribute, canonical, count(*) AS n, min(claim_ord) AS o, arg_min(value, claim_ord) AS raw, string_agg(source_name, ', ' ORDER BY claim_ord) AS who FROM claims_z GROUP BY 1, 2, 3)
+    GROUP BY 1, 2)"""
+
+
+@query("xsr_compare", "SELECT product_id, attribute, is_conflict, severity, n_claims, n_values, message FROM xsr")
+def _(spark, sf):
+    return cl.compare_sources(views.claims(spark, sf)).drop("status")
+
+
+@query("xsr_all", "SELECT product_id, attribute, 'CrossSourceConsistencyCheck' AS rule, NOT is_conflict AS passed, status, severity, message FROM xsr")
+def _(spark, sf):
+    return validate.cross_source_results(cl.compare_sources(views.claims(spark, sf)))
+
+
+# ---------------------------------------------------------------- validation
+
+
+def _rule(name, rule, view):
+    @query(name, f"SELECT product_id, attribute, rule, passed, status, severity, message FROM {view}")
+    def _(spark, sf):
+        return validate.row_rules(views.attributes(spark, sf)).filter(c("rule") == rule)
+
+
+_rule("val_numeric", "NumericFormatCheck", "v_numeric")
+_rule("val_unit", "UnitConsistencyCheck", "v_unit")
+_rule("val_bounds", "ImpossibleValueCheck", "v_bounds")
+
+
+@query("val_required", "SELECT product_id, attribute, rule, passed, status, severity, message FROM v_required")
+def _(spark, sf):
+    return validate.required_rule(views.products(spark, sf), views.attributes(spark, sf))
+
+
+@query("val_duplicate", """SELECT product_id, attribute, 'DuplicateAttributeCheck' AS rule, false AS passed, 'CONFLICT' AS status, 'HIGH' AS severity,
+    'Duplicate attribute ''' || attribute || ''' found with ' || count(DISTINCT value) || ' conflicting values' AS message FROM claims GROUP BY product_id, attribute HAVING count(DISTINCT value) > 1""")
+def _(spark, sf):
+    return validate.duplicate_rule(views.claims(spark, sf).select("product_id", c("attribute").alias("name"), "value"))
+
+
+sv.VIEWS["spoken"] = "SELECT product_id, chunk_index, text AS evidence_text FROM lines"
+
+
+@query("val_grounded", """SELECT product_id, 'material' AS attribute, 'SemanticGroundingCheck' AS rule, hit AS passed, CASE WHEN hit THEN 'PASSED' ELSE 'WARNING' END AS status,
+    CASE WHEN hit THEN 'LOW' ELSE 'MEDIUM' END AS severity,
+    CASE WHEN hit THEN '''material'' specification ''' || value || ''' is grounded in evidence.' ELSE 'No evidence support for ''material'' value ''' || value || '''.' END AS message
+    FROM (SELECT a.product_id, a.value, max(contains(lower(s.evidence_text), lower(a.value))) AS hit FROM attributes a JOIN spoken s ON a.product_id = s.product_id
+      WHERE a.name = 'material' AND a.value <> '' AND upper(a.value) <> 'UNKNOWN' GROUP BY 1, 2)""")
+def _(spark, sf):
+    spoken = docs.line_chunks(views.documents(spark, sf)).select("product_id", c("text").alias("evidence_text"))
+    return validate.grounded_rule(views.attributes(spark, sf), spoken)
+
+
+def _maker_rule(name, value, normalized, unit):
+    """A caller's own rule: no value may be longer than 12 characters; broken input gives no verdict."""
+    return F.when(F.length(value).isNotNull(), validate.verdict("ShortValueCheck", F.length(value) <= 12, "MEDIUM", F.concat(F.lit("length "), F.length(value).cast("string"))))
+
+
+@query("val_rule_error")
+def _(spark, sf):
+    return validate.row_rules(views.attributes(spark, sf), _maker_rule).filter(c("rule") == "ShortValueCheck")
+
+
+sv.VIEWS["v_all"] = """SELECT product_id, attribute, rule, passed, status, severity, message FROM v_rows UNION ALL SELECT product_id, attribute, rule, passed, status, severity, message FROM v_required
+    UNION ALL SELECT product_id, attribute, 'CrossSourceConsistencyCheck', NOT is_conflict, status, severity, message FROM xsr"""
+sv.VIEWS["v_report"] = """SELECT product_id, total_rules_checked, passed_count, failed_count, conflict_count,
+    CASE WHEN conflict_count > 0 OR severe > 0 THEN 'REQUIRES_REVIEW' WHEN failed_count > 0 THEN 'FAILED' ELSE 'VERIFIED' END AS status FROM (
+    SELECT product_id, count(*) AS total_rules_checked, count(*) FILTER (passed) AS passed_count, count(*) FILTER (NOT passed AND status <> 'CONFLICT') AS failed_count,
+      count(*) FILTER (NOT passed AND rule = 'CrossSourceConsistencyCheck') AS conflict_count, count(*) FILTER (NOT passed AND severity IN ('HIGH', 'CRITICAL')) AS severe FROM v_all GROUP BY 1)"""
+
+
+def _results(spark, sf):
+    a = views.attributes(spark, sf)
+    return validate.all_results(validate.row_rules(a), validate.required_rule(views.products(spark, sf), a),
+                                validate.cross_source_results(cl.compare_sources(views.claims(spark, sf))))
+
+
+@query("val_report", "SELECT *, status = 'VERIFIED' AS passed FROM v_report")
+def _(spark, sf):
+    return validate.report(_results(spark, sf))
+
+
+@query("val_attach", """SELECT r.product_id, r.attribute, r.rule, r.passed, CASE WHEN a.name IS NOT NULL THEN r.attribute ELSE f.first_name END AS linked_attribute,
+    CASE WHEN t.status = 'REQUIRES_REVIEW' THEN 'REQUIRES_REVIEW' ELSE p.status END AS product_status FROM v_all r
+    LEFT JOIN attributes a ON r.product_id = a.product_id AND r.attribute = a.name LEFT JOIN (SELECT product_id, arg_min(name, attr_ord) AS first_name FROM attributes GROUP BY 1) f ON r.product_id = f.product_id
+    JOIN products p ON r.product_id = p.product_id LEFT JOIN v_report t ON r.product_id = t.product_id""")
+def _(spark, sf):
+    results = _results(spark, sf)
+    linked, moved = validate.attach(results, views.attributes(spark, sf), views.products(spark, sf), validate.report(results))
+    return linked.join(moved.select("product_id", c("status").alias("product_status")), "product_id").select(
+        "product_id", "attribute", "rule", "passed", "linked_attribute", "product_status")
+
+
+# ---------------------------------------------------------------- scoring
+
+
+@query("scr_source_rel", "SELECT product_id, attribute, rel AS source_reliability, agreeing AS agreeing_sources FROM signals")
+def _(spark, sf):
+    return score.evidence_signals(views.evidence(spark, sf)).select("product_id", "attribute", "source_reliability", "agreeing_sources")
+
+
+def _scores(spark, sf):
+    return twin_parts(spark, sf)[3]
+
+
+def _part(name, field, view="scores"):
+    @query(name, f"SELECT product_id, attribute, {field} FROM {view}")
+    def _(spark, sf):
+        return _scores(spark, sf).select("product_id", "attribute", field)
+
+
+_part("scr_evidence", "evidence_strength")
+_part("scr_agreement", "agreement_score")
+_part("scr_extraction", "extraction_quality")
+_part("scr_validation", "validation_factor")
+
+
+@query("scr_attribute", f"""SELECT product_id, attribute, confidence_score, confidence_band, is_blocked,
+    printf('Score: %.1f%% (%s) | Source Rel: %.2f, Evidence Str: %.2f, Agreement: %.2f, Extraction: %.2f, Validation: %.2f, Conflict: %.2f%s', confidence_score, confidence_band, source_reliability,
+      evidence_strength, agreement_score, extraction_quality, validation_factor, conflict_factor,
+      CASE WHEN is_blocked THEN ' [BLOCKED: Open conflict or critical validation failure prevents auto-approval]' ELSE '' END) AS explanation FROM scores""")
+def _(spark, sf):
+    return _scores(spark, sf).select("product_id", "attribute", "confidence_score", "confidence_band", "is_blocked", "explanation")
+
+
+sv.VIEWS["product_scores"] = f"""SELECT *, CASE WHEN overall_confidence_score >= 90 AND NOT has_blocking_conflicts THEN 'HIGH' WHEN overall_confidence_score >= 70 THEN 'MEDIUM' ELSE 'LOW' END AS overall_confidence_band FROM (
+    SELECT product_id, {sv.score('avg(confidence_score)', 1)} AS overall_confidence_score, count(*) FILTER (confidence_band = 'HIGH') AS high_confidence_attributes,
+    count(*) FILTER (confidence_band = 'MEDIUM') AS medium_confidence_attributes, count(*) FILTER (confidence_band = 'LOW') AS low_confidence_attributes, bool_or(is_blocked) AS has_blocking_conflicts FROM scores GROUP BY 1)"""
+
+
+@query("scr_product", "SELECT * FROM product_scores")
+def _(spark, sf):
+    return score.product_confidence(_scores(spark, sf))
+
+
+sv.VIEWS["attr_states"] = "SELECT product_id, attribute, CASE WHEN has_conflict THEN 'CONFLICT' WHEN confidence_band <> 'HIGH' THEN 'REQUIRES_REVIEW' ELSE 'VERIFIED' END AS status FROM scores"
+
+
+def _states(spark, sf):
+    return _scores(spark, sf).select("product_id", "attribute", score.attribute_status(c("has_conflict"), c("confidence_band")).alias("status"))
+
+
+@query("scr_attr_status", "SELECT * FROM attr_states")
+def _(spark, sf):
+    return _states(spark, sf)
+
+
+@query("scr_review_count", "SELECT product_id, count(*) FILTER (status IN ('CONFLICT', 'REQUIRES_REVIEW')) AS review_count FROM attr_states GROUP BY 1")
+def _(spark, sf):
+    return _states(spark, sf).groupBy("product_id").agg(F.count_if(score.needs_review(c("status"))).alias("review_count"))
+
+
+sv.VIEWS["quality"] = f"""SELECT product_id, {sv.score('least(100.0, greatest(0.0, CASE WHEN n_attr = 0 AND ms NOT IN (' + "'RESOLVED', 'LOW_CONFIDENCE'" + ') AND bs NOT IN (' + "'RESOLVED', 'LOW_CONFIDENCE'" + ') THEN least(q, 15.0) ELSE q END))', 1)} AS quality FROM (
+    SELECT *, (CASE ms WHEN 'RESOLVED' THEN 25.0 WHEN 'LOW_CONFIDENCE' THEN 12.0 ELSE 0.0 END + CASE bs WHEN 'RESOLVED' THEN 25.0 WHEN 'LOW_CONFIDENCE' THEN 12.0 ELSE 0.0 END
+      + CASE ts WHEN 'RESOLVED' THEN 15.0 WHEN 'HEURISTIC' THEN 10.0 WHEN 'LOW_CONFIDENCE' THEN 5.0 ELSE 0.0 END + least(25.0, n_attr * 3.0) + least(10.0, n_ev * 1.5))::DOUBLE * CASE WHEN clash THEN 0.7 ELSE 1.0 END::DOUBLE AS q FROM (
+      SELECT b.product_id, m.status AS ms, b.status AS bs, t.status AS ts, coalesce(a.n, 0) AS n_attr, coalesce(a.e, 0) AS n_ev, o.product_id IS NOT NULL AS clash FROM brand_res b
+      JOIN mfr_res m USING (product_id) JOIN tax t USING (product_id) LEFT JOIN (SELECT product_id, count(*) AS n, sum(n_claims)::BIGINT AS e FROM attributes GROUP BY 1) a USING (product_id)
+      LEFT JOIN (SELECT DISTINCT product_id FROM conflicts WHERE status = 'OPEN') o USING (product_id)))"""
+
+
+def _quality(spark, sf):
+    a = views.attributes(spark, sf).groupBy("product_id").agg(F.count("*").alias("n_attr"), F.sum("n_claims").alias("n_ev"))
+    clash = views.conflicts(spark, sf).filter("status = 'OPEN'").select("product_id").distinct().withColumn("clash", F.lit(True))
+    d = resolve.resolve_brand(views.feed(spark, sf), views.brand_master(spark), "brand", "b")
+    d = resolve.resolve_manufacturer(d, views.maker_master(spark), "manufacturer", "m").select("product_id", c("b.status").alias("bs"), c("m.status").alias("ms"))
+    t = _taxed(spark, sf).select("product_id", c("tax.status").alias("ts"))
+    d = d.join(t, "product_id").join(a, "product_id", "left").join(clash, "product_id", "left").fillna(0, ["n_attr", "n_ev"]).fillna(False, ["clash"])
+    return d.select("product_id", score.quality_score(c("ms"), c("bs"), c("ts"), c("n_attr"), c("n_ev"), c("clash")).alias("quality"))
+
+
+@query("scr_quality", "SELECT product_id, quality FROM quality")
+def _(spark, sf):
+    return _quality(spark, sf)
+
+
+@query("scr_product_status", """SELECT p.product_id, CASE WHEN coalesce(r.n, 0) > 0 OR coalesce(p.overall_quality_score, 0) < 50 THEN 'REQUIRES_REVIEW' ELSE 'REVIEWED' END AS status FROM products p
+    LEFT JOIN (SELECT product_id, count(*) FILTER (status IN ('CONFLICT', 'REQUIRES_REVIEW')) AS n FROM attr_states GROUP BY 1) r USING (product_id)""")
+def _(spark, sf):
+    counts = _states(spark, sf).groupBy("product_id").agg(F.count_if(score.needs_review(c("status"))).alias("n"))
+    d = views.products(spark, sf).join(counts, "product_id", "left")
+    return d.select("product_id", score.product_status(F.coalesce("n", F.lit(0)), F.coalesce("overall_quality_score", F.lit(0.0))).alias("status"))
+
+
+sv.VIEWS["ratio"] = f"SELECT product_id, {sv.score('avg(CASE WHEN status = ' + chr(39) + 'VERIFIED' + chr(39) + ' AND value IS NOT NULL THEN 1.0 ELSE 0.0 END) * 100.0', 1)} AS quality_score FROM attributes GROUP BY 1"
+
+
+@query("scr_verified_ratio", "SELECT * FROM ratio")
+def _(spark, sf):
+    return score.verified_ratio(views.attributes(spark, sf))
+
+
+# ---------------------------------------------------------------- review
+
+sv.VIEWS["fold"] = """SELECT product_id, attribute, arg_max(action, (ts, decision_id)) FILTER (action IN ('SELECT_ALTERNATIVE', 'MARK_UNKNOWN')) AS set_action,
+    arg_max(coalesce(selected_value, ''), (ts, decision_id)) FILTER (action IN ('SELECT_ALTERNATIVE', 'MARK_UNKNOWN')) AS set_value,
+    arg_max(action, (ts, decision_id)) FILTER (action <> 'DISMISS_CONFLICT') AS last_move, arg_min(action, (ts, decision_id)) AS first_action FROM usable_decisions GROUP BY 1, 2"""
+sv.VIEWS["fold_n"] = sv.norm_ctes("fold", "fz", value="set_value")
+sv.VIEWS["reviewed"] = """SELECT a.product_id, a.name, CASE WHEN f.set_action = 'SELECT_ALTERNATIVE' THEN f.set_value WHEN f.set_action = 'MARK_UNKNOWN' THEN NULL ELSE a.value END AS value,
+    CASE WHEN f.set_action = 'SELECT_ALTERNATIVE' THEN f.z WHEN f.set_action = 'MARK_UNKNOWN' THEN NULL ELSE a.normalized_value END AS normalized_value,
+    CASE WHEN f.set_action = 'SELECT_ALTERNATIVE' THEN f.u ELSE a.unit END AS unit,
+    CASE WHEN f.last_move = 'MARK_UNKNOWN' THEN 0.0 WHEN f.last_move IS NOT NULL THEN 1.0 ELSE a.confidence END AS confidence,
+    CASE WHEN f.last_move = 'MARK_UNKNOWN' THEN 'UNKNOWN' WHEN f.last_move IS NOT NULL THEN 'VERIFIED' ELSE a.status END AS status
+    FROM attributes a LEFT JOIN fold_n f ON a.product_id = f.product_id AND a.name = f.attribute"""
+sv.VIEWS["closed"] = """SELECT c.product_id, c.attribute, c.severity, CASE WHEN c.status = 'OPEN' AND f.first_action = 'DISMISS_CONFLICT' THEN 'DISMISSED' WHEN c.status = 'OPEN' AND f.first_action IS NOT NULL THEN 'RESOLVED' ELSE c.status END AS status
+    FROM conflicts c LEFT JOIN fold f ON c.product_id = f.product_id AND c.attribute = f.attribute"""
+
+
+@query("rev_apply", "SELECT product_id, name, value, normalized_value, unit, confidence, status FROM reviewed")
+def _(spark, sf):
+    return review.apply_decisions(views.attributes(spark, sf), views.decisions(spark, sf)).select(
+        "product_id", "name", "value", "normalized_value", "unit", "confidence", "status")
+
+
+sv.VIEWS["history"] = """SELECT d.*, CASE WHEN pv = '~void~' THEN NULL WHEN pv IS NOT NULL THEN pv ELSE a.value END AS previous_value FROM (
+    SELECT *, last_value(CASE action WHEN 'SELECT_ALTERNATIVE' THEN selected_value WHEN 'MARK_UNKNOWN' THEN '~void~' END IGNORE NULLS) OVER (
+      PARTITION BY product_id, attribute ORDER BY ts, decision_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pv FROM usable_decisions) d
+    LEFT JOIN attributes a ON d.product_id = a.product_id AND d.attribute = a.name"""
+_after = "CASE action WHEN 'SELECT_ALTERNATIVE' THEN selected_value WHEN 'MARK_UNKNOWN' THEN NULL ELSE previous_value END"
+
+
+@query("rev_prev_value", f"SELECT decision_id, product_id, attribute, action, previous_value, {_after} AS selected_value FROM history")
+def _(spark, sf):
+    return review.previous_values(views.decisions(spark, sf), views.attributes(spark, sf)).select(
+        "decision_id", "product_id", "attribute", "action", "previous_value", "selected_value")
+
+
+@query("rev_audit", f"SELECT product_id, attribute, action AS reviewer_action, previous_value, {_after} AS selected_value, reason, CAST(ts AS VARCHAR)[:19] AS ts, decision_id FROM history")
+def _(spark, sf):
+    d = review.audit_trail(views.decisions(spark, sf), views.attributes(spark, sf))
+    return d.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _resolutions(spark, sf):
+    """One decision per order line on the conflict of its part; every ninth part dismisses."""
+    heads = cl.conflicts(views.claims(spark, sf)).select("conflict_id", "product_id", "attribute", "n_values")
+    return heads.filter(c("n_values") < 5).select(
+        "conflict_id", F.when(c("product_id") % 9 == 0, "DISMISS").otherwise("ACCEPT").alias("action"),
+        F.when(c("product_id") % 2 == 0, F.concat(c("n_values").cast("string"), F.lit(" A"))).alias("selected_value"),
+        F.lit("checked").alias("reason"), c("product_id").alias("ts"))
+
+
+sv.VIEWS["resolutions"] = """SELECT conflict_id, CASE WHEN product_id % 9 = 0 THEN 'DISMISS' ELSE 'ACCEPT' END AS action, CASE WHEN product_id % 2 = 0 THEN n_values || ' A' END AS selected_value FROM found_conflicts WHERE n_values < 5"""
+sv.VIEWS["resolved_conflicts"] = "SELECT c.*, r.action, r.selected_value, CASE WHEN r.action IS NULL THEN c.status WHEN r.action = 'DISMISS' THEN 'DISMISSED' ELSE 'RESOLVED' END AS new_status FROM found_conflicts c LEFT JOIN resolutions r USING (conflict_id)"
+
+
+@query("rev_resolve", """SELECT a.product_id, a.name, coalesce(k.selected_value, a.value) AS value, CASE WHEN k.selected_value IS NOT NULL THEN 'VERIFIED' ELSE a.status END AS status,
+    CASE WHEN s.n_open = 0 AND s.n_decided > 0 THEN 'REVIEWED' ELSE p.status END AS product_status FROM attributes a JOIN products p USING (product_id)
+    LEFT JOIN (SELECT product_id, attribute AS name, selected_value FROM resolved_conflicts WHERE action <> 'DISMISS') k USING (product_id, name)
+    LEFT JOIN (SELECT product_id, count(*) FILTER (new_status = 'OPEN') AS n_open, count(action) AS n_decided FROM resolved_conflicts GROUP BY 1) s USING (product_id)""")
+def _(spark, sf):
+    _, a, p = review.resolve_conflicts(cl.conflicts(views.claims(spark, sf)), views.attributes(spark, sf), views.products(spark, sf), _resolutions(spark, sf))
+    return a.select("product_id", "name", "value", "status").join(p.select("product_id", c("status").alias("product_status")), "product_id")
+
+
+@query("rev_dismiss", "SELECT conflict_id, CASE WHEN n_values < 5 THEN 'DISMISSED' ELSE 'OPEN' END AS status, CASE WHEN n_values < 5 THEN 'checked' END AS dismiss_reason FROM found_conflicts")
+def _(spark, sf):
+    heads = cl.conflicts(views.claims(spark, sf))
+    return review.dismiss_conflicts(heads, _resolutions(spark, sf)).select("conflict_id", "status", "dismiss_reason")
+
+
+@query("rev_close_open", "SELECT product_id, attribute, status FROM closed")
+def _(spark, sf):
+    return review.close_conflicts(views.conflicts(spark, sf), views.decisions(spark, sf)).select("product_id", "attribute", "status")
+
+
+@query("rev_approve", """SELECT p.product_id, CASE WHEN b.n IS NULL THEN 'PUBLISHED' ELSE p.status END AS status, coalesce(b.n, 0) AS n_blocking FROM products p
+    LEFT JOIN (SELECT product_id, count(*) AS n FROM conflicts WHERE status = 'OPEN' AND severity IN ('HIGH', 'CRITICAL') GROUP BY 1) b USING (product_id)""")
+def _(spark, sf):
+    ok, blocked = review.approve(views.products(spark, sf), views.conflicts(spark, sf))
+    return ok.select("product_id", "status", F.lit(0).cast("bigint").alias("n_blocking")).unionByName(blocked.select("product_id", "status", "n_blocking"))
+
+
+@query("rev_eligible", """SELECT product_id, name, confidence, confidence_band, has_open_conflict, status FROM twin
+    WHERE confidence < 0.9 OR confidence_band <> 'HIGH' OR has_open_conflict OR status IN ('CONFLICT', 'REQUIRES_REVIEW')""")
+def _(spark, sf):
+    return review.eligible(scored(spark, sf)[1]).select("product_id", "name", "confidence", "confidence_band", "has_open_conflict", "status")

@@ -261,7 +261,8 @@ VIEWS: dict[str, str] = {
     "claims": _select(v.CLAIM_SQL, "lineitem"),
     "products": _select(v.PRODUCT_SQL, "part"),
     "decisions": _select(v.DECISION_SQL, "events").replace(" FROM events", r", CASE WHEN event_type = 'purchase' AND event_id % 9 <> 0 THEN regexp_extract(props, '(\d+)', 1) || ' V' END AS selected_value FROM events"),
-    "docs": "SELECT doc_id AS document_id, source || ' manual.pdf' AS document_name, source, doc_id AS product_id, 1 AS page_number, text FROM documents",
+    "docs": "SELECT doc_id AS document_id, source || ' manual.pdf' AS document_name, source, doc_id AS product_id, 1 AS page_number, "
+            + v.DOC_TEXT_SQL.replace("AS STRING", "AS VARCHAR") + " AS text FROM documents",
 }
 
 

@@ -155,11 +155,18 @@ def decisions(spark: SparkSession, sf: str) -> DataFrame:
                     F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 9 != 0), F.concat(k, F.lit(" V"))).alias("selected_value"))
 
 
+DOC_TEXT_SQL = """concat(text, chr(10), 'Rated voltage ', CAST(doc_id % 40 * 10 + 110 AS STRING), ' V AC, rated current ', CAST(doc_id % 16 + 1 AS STRING), ' A', chr(10),
+    'Net weight ', CAST(doc_id % 9 + 1 AS STRING), '.5 kg, ', CAST(doc_id % 4 + 1 AS STRING), ' poles, IP', CAST(20 + doc_id % 48 AS STRING), ' stainless steel housing, efficiency 9',
+    CAST(doc_id % 10 AS STRING), ' %', chr(10), 'Trip class ', CAST(doc_id % 3 * 10 AS STRING), ', DIN rail 35 mm mounting, size ', CAST(doc_id % 90 + 10 AS STRING), ' x 45 x 97 mm')"""
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents attached to products; the part with the document's number owns it."""
+    """Documents attached to products; the part with the document's number owns it.
+
+    Each text is followed by three data lines, so specification searches have answers."""
     d = table(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("document_id"), F.concat("source", F.lit(" manual.pdf")).alias("document_name"),
-                    "source", F.col("doc_id").alias("product_id"), F.lit(1).alias("page_number"), "text")
+                    "source", F.col("doc_id").alias("product_id"), F.lit(1).alias("page_number"), F.expr(DOC_TEXT_SQL).alias("text"))
 
 
 def attributes(spark: SparkSession, sf: str) -> DataFrame:
