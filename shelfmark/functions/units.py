@@ -156,7 +156,10 @@ def with_norm(df: DataFrame, attribute: str = "attribute", value: str = "value",
         F.when(kept, amps).alias("numeric_value"),
         doubt.alias("is_ambiguous"), doubt.alias("requires_review"),
         F.when(doubt, message).alias("message"))
-    return d.withColumn(out, norm).drop(*[c for c in d.columns if c.startswith("n_") and c not in df.columns])
+    # A generator ends the chain: a later filter on the result would otherwise be pushed
+    # down through every step, each step's text copied into it.
+    keep = [c for c in df.columns if c != out]
+    return d.select(*keep, F.explode_outer(F.array(norm)).alias(out))
 
 
 def resolve_tokens(s: Column) -> Column:

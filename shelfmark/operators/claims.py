@@ -64,9 +64,10 @@ def with_canonical(claims: DataFrame, fold_milliamps: bool = True) -> DataFrame:
 def best_claims(claims: DataFrame) -> DataFrame:
     """Most similar claim per attribute, the earliest on a tie."""
     rank = F.struct(F.col("similarity"), -F.col("claim_ord"))
-    best = F.max_by(F.struct("value", "source_name", "similarity", "claim_ord"), rank)
+    kept = ["value", "source_name", "similarity"] + [c for c in ("norm",) if c in claims.columns]
+    best = F.max_by(F.struct(*kept), rank)
     return (claims.groupBy(*KEYS).agg(best.alias("b"), F.count("*").alias("n_claims"), F.min("claim_ord").alias("attr_ord"))
-            .select(*KEYS, "b.value", "b.source_name", "b.similarity", "n_claims", "attr_ord"))
+            .select(*KEYS, *[F.col(f"b.{c}").alias(c) for c in kept], "n_claims", "attr_ord"))
 
 
 def stated(claims: DataFrame) -> DataFrame:

@@ -1229,3 +1229,324 @@ def _(spark, sf):
     WHERE confidence < 0.9 OR confidence_band <> 'HIGH' OR has_open_conflict OR status IN ('CONFLICT', 'REQUIRES_REVIEW')""")
 def _(spark, sf):
     return review.eligible(scored(spark, sf)[1]).select("product_id", "name", "confidence", "confidence_band", "has_open_conflict", "status")
+
+
+# ---------------------------------------------------------------- descriptions
+
+_shown = f"""CASE WHEN {sv.valid(sv.strip('coalesce(normalized_value, value)'))} THEN CASE WHEN unit <> '' AND NOT ends_with({sv.strip('coalesce(normalized_value, value)')}, unit)
+    THEN {sv.strip('coalesce(normalized_value, value)')} || ' ' || unit ELSE {sv.strip('coalesce(normalized_value, value)')} END END"""
+sv.VIEWS["shown"] = f"SELECT *, lower(name) AS lname, {_shown} AS shown FROM attributes"
+_prio = "list_position([" + ", ".join(sv.lit(k) for k in vocab.KEY_SPECS) + "], lname)"
+_keys, _skip, _lskip = sv.in_list(vocab.KEY_SPECS), sv.in_list(vocab.SPEC_FALLBACK_SKIP), sv.in_list(vocab.LONG_TEXT_SKIP)
+sv.VIEWS["specs"] = f"""SELECT product_id, row_number() OVER (PARTITION BY product_id ORDER BY prio, spec) AS spec_rank, spec FROM (SELECT product_id, shown AS spec, min(prio) AS prio FROM (
+    SELECT product_id, shown, CAST({_prio} AS BIGINT) AS prio FROM shown WHERE shown IS NOT NULL AND lname IN {_keys}
+    UNION ALL SELECT product_id, shown, attr_ord FROM shown WHERE shown IS NOT NULL AND lname NOT IN {_keys} AND lname NOT IN {_skip}
+      AND product_id NOT IN (SELECT product_id FROM shown WHERE shown IS NOT NULL AND lname IN {_keys})) GROUP BY 1, 2)"""
+
+
+def _ok(x: str) -> str:
+    return f"CASE WHEN {sv.valid(x)} THEN {x} END"
+
+
+def _join(sep: str, *xs: str) -> str:
+    return f"array_to_string(list_filter([{', '.join(_ok(x) for x in xs)}], lambda t: t IS NOT NULL), {sv.lit(sep)})"
+
+
+sv.VIEWS["dcat"] = f"""SELECT p.product_id, coalesce({_ok('p.brand')}, '') AS b, coalesce({_ok('p.part_number')}, '') AS m, coalesce(description, '') AS raw,
+    coalesce(nullif(CASE WHEN lower(taxonomy_fine) <> 'unclassified' AND {sv.valid('taxonomy_fine')} THEN taxonomy_fine END, ''),
+      CASE WHEN lower(category) <> 'unclassified' AND {sv.valid('category')} THEN CASE WHEN contains(category, '>') THEN {sv.strip("string_split(category, '>')[-1]")} ELSE category END END, '') AS cat FROM products p"""
+sv.VIEWS["dtext"] = f"""SELECT d.*, s1.spec AS spec1, s2.spec AS spec2, l.lines FROM dcat d LEFT JOIN specs s1 ON d.product_id = s1.product_id AND s1.spec_rank = 1
+    LEFT JOIN specs s2 ON d.product_id = s2.product_id AND s2.spec_rank = 2
+    LEFT JOIN (SELECT product_id, string_agg({sv.title("replace(name, '_', ' ')")} || ': ' || shown, ', ' ORDER BY attr_ord, name) AS lines FROM shown
+      WHERE shown IS NOT NULL AND lname NOT IN {_lskip} GROUP BY 1) l ON d.product_id = l.product_id"""
+_s1 = f"CASE WHEN spec1 IS NOT NULL AND NOT list_contains(list_transform(p0, lambda t: lower(t)), lower(spec1)) THEN list_append(p0, spec1) ELSE p0 END"
+_s2 = f"CASE WHEN spec2 IS NOT NULL AND NOT list_contains(list_transform(p1, lambda t: lower(t)), lower(spec2)) THEN list_append(p1, spec2) ELSE p1 END"
+_rawok = sv.valid("raw")
+_intro = f"CASE WHEN {sv.valid('cat')} AND base <> '' THEN base || ' is a ' || cat || '.' WHEN {sv.valid('cat')} THEN cat || '.' WHEN base <> '' THEN base || '.' ELSE '' END"
+_long = f"concat_ws(' ', nullif({_intro}, ''), CASE WHEN lines <> '' THEN 'Specifications: ' || lines || '.' END)"
+_inv = f"upper({sv.strip(_join(' ', 'b', 'm', chr(40) + 'string_split(cat, ' + sv.lit(' ') + ')[1]' + chr(41)))})"
+sv.VIEWS["described"] = f"""SELECT product_id, desc_short, desc_long, desc_invoice, left(CASE WHEN mob <> '' THEN mob ELSE desc_short END, 80) AS desc_mobile, desc_retail,
+    left({sv.strip(sv.squeeze("CASE WHEN subj <> '' THEN 'The ' || subj || ' delivers reliable performance for ' || CASE WHEN cat <> '' THEN lower(cat) ELSE 'industrial and commercial' END || ' applications. ' ELSE '' END || desc_retail"))}, 800) AS desc_marketing FROM (
+    SELECT *, left(CASE WHEN length(raw) > 10 AND {_rawok} THEN {sv.strip(sv.squeeze('raw'))} ELSE desc_long END, 500) AS desc_retail FROM (
+      SELECT *, left(CASE WHEN len(p2) > 0 THEN {sv.strip("array_to_string(p2, ' - ')")} WHEN {_rawok} THEN left(raw, 120) ELSE '' END, 120) AS desc_short,
+        left(CASE WHEN lng <> '' THEN lng WHEN {_rawok} THEN raw ELSE '' END, 1000) AS desc_long,
+        left({sv.squeeze(f"CASE WHEN inv <> '' THEN inv WHEN {_rawok} THEN upper(left(raw, 60)) ELSE '' END")}, 60) AS desc_invoice FROM (
+        SELECT *, {_s2} AS p2, {sv.strip(_long)} AS lng, {_inv} AS inv, {sv.strip(_join(' ', 'b', 'm', 'cat'))} AS mob, {sv.strip("b || ' ' || m")} AS subj FROM (
+          SELECT *, {_s1} AS p1 FROM (SELECT *, list_filter([{_ok('b')}, {_ok('m')}, {_ok('cat')}], lambda t: t IS NOT NULL) AS p0, {_join(' ', 'b', 'm')} AS base FROM dtext)))))"""
+
+
+def _described(spark, sf):
+    return describe.describe(views.products(spark, sf), views.attributes(spark, sf))
+
+
+@query("dsc_category", "SELECT product_id, cat AS category_text FROM dcat")
+def _(spark, sf):
+    return describe.description_inputs(views.products(spark, sf), views.attributes(spark, sf)).select("product_id", c("d_cat").alias("category_text"))
+
+
+@query("dsc_specs", "SELECT * FROM specs")
+def _(spark, sf):
+    return describe.key_specs(views.attributes(spark, sf))
+
+
+def _desc(kind):
+    @query(f"dsc_{kind}", f"SELECT product_id, desc_{kind} FROM described")
+    def _(spark, sf):
+        return _described(spark, sf).select("product_id", f"desc_{kind}")
+
+
+for _kind_ in ("short", "long", "invoice", "mobile", "retail", "marketing"):
+    _desc(_kind_)
+
+
+def _limit_sql(name: str) -> str:
+    return f"length(desc_{name}) <= {vocab.DESCRIPTION_LIMITS[name]} AND {sv.valid('desc_' + name)}"
+
+
+_checks = ", ".join(f"{_limit_sql(n)} AS ok_{n}" for n in ("short", "long", "mobile", "retail", "marketing"))
+sv.VIEWS["checked"] = f"""SELECT *, ok_short AND ok_long AND ok_invoice AND ok_mobile AND ok_retail AND ok_marketing AS all_passed FROM (SELECT product_id, {_checks},
+    length(desc_invoice) <= 60 AND ((upper(desc_invoice) = desc_invoice AND upper(desc_invoice) <> lower(desc_invoice)) OR desc_invoice = '') AS ok_invoice FROM described)"""
+
+
+@query("dsc_validate", "SELECT * FROM checked")
+def _(spark, sf):
+    return describe.check_descriptions(_described(spark, sf)).select("product_id", *[f"ok_{n}" for n in vocab.DESCRIPTION_LIMITS], "all_passed")
+
+
+def _issue_sql(t: str, b: str, m: str) -> str:
+    low, b, m = f"lower(coalesce({t}, ''))", f"lower(coalesce({b}, ''))", f"lower(coalesce({m}, ''))"
+    rep = f"{b} <> '' AND {m} <> '' AND contains({low}, {b}) AND contains({low}, {m}) AND (length({low}) - length(replace({low}, {b}, ''))) / nullif(length({b}), 0) > 2"
+    bad = ", ".join(f"CASE WHEN regexp_matches({low}, '\\b{w}\\b') THEN 'contains_{w}' END" for w in ("none", "unclassified", "unknown"))
+    return f"array_to_string(list_filter([CASE WHEN {sv.strip(low)} = '' THEN 'empty' END, {bad}, CASE WHEN {rep} THEN 'duplicate_brand' END], lambda t: t IS NOT NULL), ',')"
+
+
+_tripled = "concat(description, ' ', brand, ' ', brand, ' ', part_number, ' ', CASE WHEN product_id % 2 = 0 THEN brand ELSE '' END)"
+
+
+@query("dsc_score", f"SELECT product_id, {_issue_sql('t', 'brand', 'part_number')} AS issues FROM (SELECT *, CASE WHEN product_id % 3 = 0 THEN description ELSE {_tripled} END AS t FROM products)")
+def _(spark, sf):
+    t = F.expr(f"CASE WHEN product_id % 3 = 0 THEN description ELSE {_tripled} END")
+    return views.products(spark, sf).select("product_id", F.array_join(describe.description_issues(t, c("brand"), c("part_number")), ",").alias("issues"))
+
+
+# ---------------------------------------------------------------- delivery
+
+
+sv.VIEWS["triplets"] = f"""SELECT product_id, slot, {sv.export('name')} AS label, {sv.export("coalesce(nullif(normalized_value, ''), value)")} AS value, {sv.export('unit')} AS uom FROM (
+    SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY name) AS slot FROM attributes WHERE lower(name) NOT IN ('dimensions', 'weight')) WHERE slot <= 50"""
+
+
+@query("dlv_map", f"""SELECT {sv.export('CAST(p.product_id AS VARCHAR)')} AS sku, {sv.export('p.part_number')} AS part_number, {sv.export("coalesce(nullif(p.manufacturer, ''), p.brand)")} AS maker,
+    {sv.export('p.taxonomy_dept')} AS dept, {sv.export('p.taxonomy_fine')} AS fine, {sv.export("coalesce(nullif(p.taxonomy_classpath, ''), p.category)")} AS classpath,
+    CASE WHEN p.status = 'DISCONTINUED' THEN 'Yes' ELSE 'No' END AS discontinued, {sv.export('d.desc_short')} AS short_desc, {sv.export('d.desc_marketing')} AS marketing,
+    coalesce(t.label, '') AS label1, coalesce(t.value, '') AS value1, coalesce(t.uom, '') AS uom1, '' AS upc FROM products p JOIN described d USING (product_id) LEFT JOIN triplets t ON p.product_id = t.product_id AND t.slot = 1""")
+def _(spark, sf):
+    pick = {"sku": "SKU - MY_PART_NUMBER", "part_number": "PART_NUMBER", "maker": "MANUFACTURER_NAME", "dept": "Dept", "fine": "Fine", "classpath": "Classpath", "discontinued": "Discontinued",
+            "short_desc": "SHORT_DESC", "marketing": "MARKETING_DESCRIPTION", "label1": "ATTRIBUTE_LABEL 1", "value1": "ATTRIBUTE_VALUE 1", "uom1": "ATTRIBUTE_UOM 1", "upc": "UPC"}
+    return _wide(spark, sf).select(*[c(f"`{v}`").alias(k) for k, v in pick.items()])
+
+
+@query("dlv_dims", """SELECT product_id, coalesce(string_split(trim(ps[1]), ' ')[1], '') AS HEIGHT, coalesce(u, '') AS HEIGHT_UOM, coalesce(string_split(trim(ps[2]), ' ')[1], '') AS WIDTH,
+    coalesce(u, '') AS WIDTH_UOM, coalesce(string_split(trim(ps[3]), ' ')[1], '') AS LENGTH, coalesce(u, '') AS LENGTH_UOM, '' AS WEIGHT, '' AS WEIGHT_UOM FROM (
+    SELECT product_id, CASE WHEN contains(lower(normalized_value), 'x') THEN string_split(lower(normalized_value), 'x') END AS ps, CASE WHEN contains(lower(normalized_value), 'x') THEN coalesce(unit, '') END AS u
+    FROM attributes WHERE name = 'dimensions')""")
+def _(spark, sf):
+    return delivery.measures(views.attributes(spark, sf))
+
+
+@query("dlv_triplets", "SELECT * FROM triplets")
+def _(spark, sf):
+    return delivery.triplets(views.attributes(spark, sf))
+
+
+@query("dlv_schema_check")
+def _(spark, sf):
+    wide = _wide(spark, sf)
+    delivery.check_schema(wide.columns)
+    return wide.select(F.lit(len(wide.columns)).alias("n_columns"), F.lit(len(set(wide.columns))).alias("n_unique"), "PART_NUMBER")
+
+
+# ---------------------------------------------------------------- catalog
+
+
+def _like(p: str) -> str:
+    return " OR ".join(f"{x} ILIKE '%{p}%'" for x in catalog.SEARCHED)
+
+
+@query("cat_search", f"SELECT product_id, part_number, brand, category, status, updated_at FROM products WHERE status = 'PUBLISHED' AND ({_like('rod')})")
+def _(spark, sf):
+    return catalog.search(views.products(spark, sf), " rod ", "PUBLISHED").select("product_id", "part_number", "brand", "category", "status", "updated_at")
+
+
+sv.VIEWS["listing"] = """SELECT p.*, coalesce(a.n, 0) AS attributes_count, coalesce(f.n, 0) AS conflicts_count, coalesce(f.n, 0) > 0 AS has_open_conflict FROM products p
+    LEFT JOIN (SELECT product_id, count(*) AS n FROM attributes GROUP BY 1) a USING (product_id) LEFT JOIN (SELECT product_id, count(*) AS n FROM conflicts WHERE status = 'OPEN' GROUP BY 1) f USING (product_id)"""
+
+
+def _listing(spark, sf):
+    return catalog.listing(views.products(spark, sf), views.attributes(spark, sf), views.conflicts(spark, sf))
+
+
+@query("cat_list", "SELECT product_id, status, attributes_count, conflicts_count, has_open_conflict FROM listing")
+def _(spark, sf):
+    return _listing(spark, sf).select("product_id", "status", "attributes_count", "conflicts_count", "has_open_conflict")
+
+
+@query("cat_facets", f"""SELECT product_id, status, overall_quality_score, has_open_conflict FROM listing WHERE status IN ('PUBLISHED', 'REVIEWED') AND coalesce(overall_quality_score, 0) < 70
+    AND has_open_conflict AND ({_like('brand#1')})""")
+def _(spark, sf):
+    return catalog.facets(_listing(spark, sf), "Brand#1", "READY", "LOW", "HAS_CONFLICTS").select("product_id", "status", "overall_quality_score", "has_open_conflict")
+
+
+@query("cat_summary", f"""SELECT count(*) AS total_products, count(*) FILTER (status IN ('VERIFIED', 'PUBLISHED', 'REVIEWED')) AS verified_count, count(*) FILTER (status = 'REQUIRES_REVIEW') AS needs_review_count,
+    (SELECT count(*) FROM conflicts WHERE status = 'OPEN') AS conflicts_count, {sv.score('avg(coalesce(overall_quality_score, 0.0))', 1)} AS average_quality_score FROM products""")
+def _(spark, sf):
+    return catalog.summary(views.products(spark, sf), views.conflicts(spark, sf))
+
+
+@query("cat_delivery_kpi", f"""SELECT count(*) AS processed, count(*) FILTER (status IN ('PUBLISHED', 'VERIFIED')) AS ready, count(*) - count(*) FILTER (status IN ('PUBLISHED', 'VERIFIED')) AS review_required,
+    count(*) FILTER (product_id IN (SELECT product_id FROM conflicts WHERE status = 'OPEN')) AS critical_conflicts, {sv.score('count(*) FILTER (evidence_count > 0) * 100.0::DOUBLE / count(*)', 1)} AS evidence_coverage,
+    {sv.score('avg(coalesce(overall_quality_score, 0.0))', 1)} AS overall_quality FROM products""")
+def _(spark, sf):
+    return catalog.delivery_indicators(views.products(spark, sf), views.conflicts(spark, sf))
+
+
+@query("cat_latest_job", "SELECT product_id, arg_max(job_id, (started_at, job_id)) AS job_id, arg_max(status, (started_at, job_id)) AS status FROM (SELECT o_custkey AS product_id, o_orderkey AS job_id, o_orderstatus AS status, o_orderdate AS started_at FROM orders) GROUP BY 1")
+def _(spark, sf):
+    jobs = views.table(spark, sf, "orders").select(c("o_custkey").alias("product_id"), c("o_orderkey").alias("job_id"), c("o_orderstatus").alias("status"), c("o_orderdate").alias("started_at"))
+    return catalog.latest_jobs(jobs).select("product_id", "job_id", "status")
+
+
+@query("cat_conf_summary", """SELECT s.product_id, s.attribute, s.confidence_score, s.confidence_band, p.overall_confidence_score, p.overall_confidence_band, p.has_blocking_conflicts FROM scores s JOIN product_scores p USING (product_id)""")
+def _(spark, sf):
+    s = _scores(spark, sf)
+    p = score.product_confidence(s).select("product_id", "overall_confidence_score", "overall_confidence_band", "has_blocking_conflicts")
+    return s.select("product_id", "attribute", "confidence_score", "confidence_band").join(p, "product_id")
+
+
+# ---------------------------------------------------------------- evaluation
+
+sv.VIEWS["evaluated"] = f"""SELECT p.product_id, coalesce(m.status = 'RESOLVED' OR (m.match_type IN ('EXACT', 'NORMALIZED', 'FUZZY') AND {sv.resolved('m.canonical_value')}), false) AS mfr_ok,
+    coalesce(b.status = 'RESOLVED' OR (b.match_type IN ('EXACT', 'NORMALIZED') AND {sv.resolved('b.canonical_value')}), false) OR k.product_id IS NOT NULL AS brand_ok,
+    coalesce(t.status IN ('RESOLVED', 'HEURISTIC') AND {sv.resolved('t.class_name')}, false) AS tax_ok, t.status AS taxonomy_status, t.class_name AS taxonomy_class, m.raw_value, m.status, m.match_type,
+    coalesce(a.n, 0) AS n_attributes, p.evidence_count, p.overall_quality_score, p.status AS product_status, {_issue_sql('d.desc_short', 'p.brand', 'p.part_number')} = '' AS desc_ok,
+    {sv.resolved('d.desc_short')} AS desc_made, coalesce(a.has_type, false) AS has_type, {_cat.replace('x,', 'f.x,')} AS input_category
+    FROM products p JOIN brand_res b USING (product_id) JOIN mfr_res m USING (product_id) JOIN tax t USING (product_id) JOIN described d USING (product_id)
+    JOIN (SELECT product_id, lower(coalesce(description, '') || ' ' || coalesce(brand, '')) AS x FROM feed) f USING (product_id)
+    LEFT JOIN (SELECT DISTINCT product_id FROM attributes WHERE name = 'brand' AND {sv.resolved('coalesce(normalized_value, value)')}) k USING (product_id)
+    LEFT JOIN (SELECT product_id, count(*) AS n, max(name IN ('product_type', 'candidate_type')) AS has_type FROM attributes GROUP BY 1) a USING (product_id)"""
+
+
+def _evaluated(spark, sf):
+    """Stored products joined with resolution and taxonomy of their raw feed rows."""
+    f = views.feed(spark, sf)
+    d = resolve.resolve_brand(f, views.brand_master(spark), "brand", "b")
+    d = resolve.resolve_manufacturer(d, views.maker_master(spark), "manufacturer", "m")
+    d = d.select("product_id", c("description").alias("feed_description"), c("brand").alias("source_brand"), c("manufacturer").alias("source_manufacturer"),
+                 c("b.status").alias("brand_status"), c("b.match_type").alias("brand_match_type"), c("b.canonical_value").alias("brand_name"),
+                 c("m.status").alias("manufacturer_status"), c("m.match_type").alias("manufacturer_match_type"), c("m.canonical_value").alias("maker_name"))
+    t = _taxed(spark, sf).select("product_id", c("tax.status").alias("taxonomy_status"), c("tax.class_name").alias("t_class"))
+    a = views.attributes(spark, sf)
+    p = describe.describe(views.products(spark, sf), a).drop("description", "manufacturer", "taxonomy_class")
+    p = p.join(d, "product_id").join(t, "product_id").withColumnsRenamed({"feed_description": "description", "maker_name": "manufacturer", "t_class": "taxonomy_class"})
+    flags = evaluate.evaluation_rows(p.withColumn("stored_brand", c("brand")).withColumn("brand", c("brand_name")), a)
+    # description issues are about the stored brand
+    issues = describe.description_issues(c("desc_short"), c("stored_brand"), c("part_number"))
+    return flags.withColumn("desc_ok", F.size(issues) == 0)
+
+
+@query("evl_resolved_flags", "SELECT product_id, mfr_ok, brand_ok, mfr_ok AND brand_ok AS identity_ok, tax_ok FROM evaluated")
+def _(spark, sf):
+    return _evaluated(spark, sf).select("product_id", "mfr_ok", "brand_ok", "identity_ok", "tax_ok")
+
+
+_figs = f"""count(*) AS processed, count(*) FILTER (mfr_ok) AS manufacturer_resolved, count(*) FILTER (brand_ok) AS brand_resolved, count(*) FILTER (mfr_ok AND brand_ok) AS identity_resolved,
+    count(*) FILTER (tax_ok) AS taxonomy_resolved, {sv.share('sum(n_attributes)', 'count(*)')} AS attributes_per_product, {sv.share('sum(evidence_count)', 'count(*)')} AS evidence_per_product,
+    coalesce({sv.score('avg(coalesce(overall_quality_score, 0.0))', 2)}, 0.0) AS confidence_average, count(*) FILTER (desc_made) AS descriptions_generated, count(*) FILTER (desc_ok) AS descriptions_valid,
+    count(*) FILTER (product_status = 'REQUIRES_REVIEW') AS review_required, count(*) FILTER (product_status = 'UNRESOLVED') AS unresolved, count(*) FILTER (has_type) AS product_type_detected"""
+
+
+@query("evl_summary", f"SELECT {_figs} FROM evaluated")
+def _(spark, sf):
+    return evaluate.summary(_evaluated(spark, sf))
+
+
+@query("evl_category", f"SELECT coalesce(input_category, 'ALL') AS bucket, {_figs} FROM evaluated GROUP BY ROLLUP (input_category)")
+def _(spark, sf):
+    return evaluate.by_category(_evaluated(spark, sf))
+
+
+@query("evl_evidence_mix", """SELECT CASE WHEN source_type = 'INPUT_DESCRIPTION' OR contains(lower(source_name), 'description') THEN 'input' WHEN source_type IN ('PDF', 'DOCUMENT') THEN 'document'
+    WHEN contains(lower(source_name), 'manufacturer') THEN 'manufacturer' ELSE 'input' END AS origin, count(*) AS n_evidence FROM evidence GROUP BY 1""")
+def _(spark, sf):
+    return evaluate.evidence_mix(views.evidence(spark, sf))
+
+
+@query("evl_failures", f"""SELECT 'manufacturer' AS kind, {_fail} AS reason, count(*) AS n_products FROM evaluated WHERE NOT mfr_ok GROUP BY 2
+    UNION ALL SELECT 'taxonomy', CASE WHEN taxonomy_status = 'RESOLVED' AND lower(taxonomy_class) <> 'unclassified' THEN 'correct_confident' WHEN taxonomy_status = 'HEURISTIC' THEN 'heuristic' ELSE 'unresolved' END, count(*) FROM evaluated GROUP BY 2""")
+def _(spark, sf):
+    return evaluate.failures(_evaluated(spark, sf))
+
+
+@query("evl_type_rate", "SELECT count(DISTINCT product_id) AS product_type_detected FROM types WHERE candidate_type IS NOT NULL")
+def _(spark, sf):
+    long = extract.explode_facts(_mined(spark, sf), "product_id", extract.type_facts(c("text"), views.TYPE_PATTERNS))
+    return evaluate.type_rate(long.withColumnRenamed("attribute", "name"))
+
+
+@query("evl_samples", """SELECT p.product_id, p.part_number, n.names FROM (SELECT * FROM products ORDER BY product_id LIMIT 25) p
+    LEFT JOIN (SELECT product_id, string_agg(name, ',' ORDER BY attr_ord, name) AS names FROM attributes GROUP BY 1) n USING (product_id)""")
+def _(spark, sf):
+    return evaluate.samples(views.products(spark, sf).select("product_id", "part_number"), views.attributes(spark, sf)).select(
+        "product_id", "part_number", F.array_join("attribute_names", ",").alias("names"))
+
+
+# ---------------------------------------------------------------- jobs
+
+
+def _run_rules(spark):
+    from shelfmark.plans.enrich import Rules
+
+    return Rules(views.brand_master(spark), views.maker_master(spark), views.TAX_RULES, views.TYPE_PATTERNS, dim=DIM)
+
+
+def _enriched(spark, sf):
+    from shelfmark.plans.enrich import enrich
+
+    own = views.documents(spark, sf).select("document_id", "document_name", "product_id", "page_number", "text")
+    return enrich(views.feed(spark, sf), _run_rules(spark), own)
+
+
+@query("job_enrich")
+def _(spark, sf):
+    return _enriched(spark, sf)["products"].select("product_id", "brand", "manufacturer", "category", "n_attributes", "evidence_count", "conflict_count",
+                                                   "overall_quality_score", "status", "desc_short")
+
+
+@query("job_stage_log")
+def _(spark, sf):
+    return _enriched(spark, sf)["stage_log"]
+
+
+@query("job_chunked_batch")
+def _(spark, sf):
+    from shelfmark.streaming import batches
+
+    folder = scratch(spark)
+    parts = spark.readStream.schema(views.table(spark, sf, "part").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/part*.parquet")
+    batches.run_batches(parts, f"{folder}/out", f"{folder}/checkpoint", _run_rules, views.feed_rows)
+    return batches.batch_status(spark, f"{folder}/out")
+
+
+@query("job_review_stream")
+def _(spark, sf):
+    from shelfmark.streaming import reviews
+
+    folder = scratch(spark)
+    a = store.Staging(spark).keep(views.attributes(spark, sf), "attributes")
+    f = store.Staging(spark).keep(views.conflicts(spark, sf), "conflicts")
+    events = spark.readStream.schema(views.table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events*.parquet")
+    reviews.run_reviews(views.decision_rows(events), f"{folder}/out", f"{folder}/checkpoint", lambda: a, lambda: f)
+    return reviews.current(a, f"{folder}/out", "attributes", ["product_id", "name"]).select("product_id", "name", "value", "confidence", "status")
+
+
+ORACLES["job_review_stream"] = "SELECT product_id, name, value, confidence, status FROM reviewed"

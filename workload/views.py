@@ -58,7 +58,10 @@ FEED_SQL = {
 
 def feed(spark: SparkSession, sf: str) -> DataFrame:
     """Raw dirty catalog rows, one per part."""
-    p = table(spark, sf, "part")
+    return feed_rows(table(spark, sf, "part"))
+
+
+def feed_rows(p: DataFrame) -> DataFrame:
     d = p.select(*[F.expr(sql).alias(name) for name, sql in FEED_SQL.items()], "p_type")
     return d.select(
         "product_id", "part_number", "manufacturer", "category", "description",
@@ -149,7 +152,10 @@ DECISION_SQL = {
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Review decisions, in event order."""
-    d = table(spark, sf, "events")
+    return decision_rows(table(spark, sf, "events"))
+
+
+def decision_rows(d: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     return d.select(*[F.expr(sql).alias(name) for name, sql in DECISION_SQL.items()],
                     F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 9 != 0), F.concat(k, F.lit(" V"))).alias("selected_value"))
