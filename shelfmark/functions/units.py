@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import vocab
-from shelfmark.functions.text import contains_any, format_number, null_if_blank, squeeze, strip
+from shelfmark.functions.text import contains_any, null_if_blank, squeeze, strip
 
 DECIMAL = r"\d+(?:\.\d+)?"
 RANGE = rf"(?i)({DECIMAL})\s*(?:-|/|to|\.\.\.)\s*({DECIMAL})"
@@ -38,22 +38,6 @@ def _hit(s: Column, pattern: str, group: int = 1) -> Column:
     return null_if_blank(F.regexp_extract(s, pattern, group))
 
 
-def parse_number(token: Column) -> Column:
-    """``1-1/2``, ``3/4``, ``.045`` and plain decimals as double."""
-    whole = F.when(token.rlike(r"^-?\d+-\d+/\d+$"), F.regexp_extract(token, r"^(-?\d+)-", 1).try_cast("double"))
-    top = F.regexp_extract(token, r"(\d+)/\d+$", 1).try_cast("double")
-    bottom = F.regexp_extract(token, r"/(\d+)$", 1).try_cast("double")
-    fraction = F.try_divide(top, bottom)
-    sign = F.when((whole < 0) | (whole.isNull() & token.startswith("-")), -1.0).otherwise(1.0)
-    return F.when(token.contains("/"), F.coalesce(whole, F.lit(0.0)) + sign * fraction).otherwise(
-        token.try_cast("double"))
-
-
-def signed_numbers(s: Column) -> Column:
-    """All numbers in a text, in order."""
-    return F.transform(F.regexp_extract_all(s, F.lit(SIGNED), F.lit(1)), parse_number)
-
-
 def plain_numbers(s: Column) -> Column:
     """Numbers of a specification text, slashes and dashes read as separators."""
     return F.transform(F.regexp_extract_all(s, F.lit(COUNTED), F.lit(1)), lambda t: t.try_cast("double"))
@@ -73,11 +57,96 @@ def family(attribute: Column) -> Column:
     return F.coalesce(*[F.when(contains_any(name, words), kind) for kind, words in FAMILIES], F.lit("generic"))
 
 
-def _by_family(**cases: Column) -> Column:
-    out = None
-    for kind, value in cases.items():
-        out = F.when(F.col("n_fam") == kind, value) if out is None else out.when(F.col("n_fam") == kind, value)
-    return out
+def _q(pattern: str) -> str:
+    """A pattern as a raw SQL literal."""
+    return "r'" + pattern.replace("'", "\\u0027") + "'"
+
+
+def _group(pattern: str, group: int = 1, text: str = "n_text") -> str:
+    return f"nullif(regexp_extract({text}, {_q(pattern)}, {group}), '')"
+
+
+def _whole(number: str, raw: str) -> str:
+    """Whole numbers without ``.0``; huge ones keep their raw spelling."""
+    return (f"coalesce(CASE WHEN {number} = floor({number}) THEN CAST(try_cast({number} AS BIGINT) AS STRING) "
+            f"ELSE CAST({number} AS STRING) END, {raw})")
+
+
+def _staged(df: DataFrame, *stages: dict[str, str]) -> DataFrame:
+    """Columns added stage by stage; a stage sees the columns of the ones before."""
+    for stage in stages:
+        df = df.select("*", *[F.expr(sql).alias(name) for name, sql in stage.items()])
+    return df
+
+
+NUMBER_FROM_TOKEN = """CASE WHEN contains(t, '/') THEN
+    coalesce(try_cast(nullif(regexp_extract(t, r'^(-?\\d+)-\\d+/', 1), '') AS DOUBLE), 0D)
+    + (CASE WHEN startswith(t, '-') THEN -1D ELSE 1D END)
+    * try_divide(try_cast(regexp_extract(t, r'(\\d+)/\\d+$', 1) AS DOUBLE), try_cast(regexp_extract(t, r'/(\\d+)$', 1) AS DOUBLE))
+    ELSE try_cast(t AS DOUBLE) END"""
+
+
+def _stages() -> tuple[dict[str, str], ...]:
+    """The normalisation steps as SQL: one parse each, and each pattern matched once per row."""
+    numbers = f"transform(regexp_extract_all(n_text, {_q(SIGNED)}, 1), t -> {NUMBER_FROM_TOKEN})"
+    kilo = "contains(n_low, 'kv')"
+
+    def volts(c: str) -> str:
+        scaled = f"round(try_cast({c} AS DOUBLE) * 1000D, 9)"
+        return f"CASE WHEN {kilo} THEN {_whole(scaled, c)} ELSE {c} END"
+
+    kind = (f"CASE WHEN n_text RLIKE {_q(r'(?i)vac|v\s*ac|\bac\b|\ba\.c\.')} THEN ' AC' "
+            f"WHEN n_text RLIKE {_q(r'(?i)vdc|v\s*dc|\bdc\b|\bd\.c\.')} THEN ' DC' ELSE '' END")
+    rail = "contains(n_low, 'din') AND contains(n_low, 'rail')"
+    number = _whole("n_num", "n_one")
+    return (
+        {"n_low": "lower(n_text)",
+         "n_hedge": f"coalesce(n_fam IN ('voltage', 'current', 'frequency', 'dimensions') AND n_text RLIKE {_q(HEDGED)}, false)"},
+        {"n_lo": f"CASE WHEN n_hedge THEN NULL WHEN n_fam = 'voltage' THEN {_group(VOLT_RANGE)} WHEN n_fam = 'current' THEN {_group(RANGE)} END",
+         "n_sizes": f"CASE WHEN n_fam = 'dimensions' AND NOT n_hedge THEN filter({numbers}, n -> n > 0) END"},
+        {"n_hi": f"CASE WHEN n_lo IS NULL THEN NULL WHEN n_fam = 'voltage' THEN {_group(VOLT_RANGE, 2)} ELSE {_group(RANGE, 2)} END",
+         "n_one": f"""CASE WHEN n_hedge OR n_lo IS NOT NULL THEN NULL WHEN n_fam = 'voltage' THEN {_group(f"({DECIMAL})")}
+            WHEN n_fam = 'current' THEN coalesce({_group(AMPS)}, {_group(f"^({DECIMAL})$")})
+            WHEN n_fam = 'frequency' THEN coalesce(CASE WHEN n_text RLIKE {_q(DUAL_HERTZ)} THEN '50/60' END, {_group(HERTZ)}, CASE WHEN n_text IN ('50', '60', '400') THEN n_text END)
+            WHEN n_fam = 'poles' THEN {_group("([0-9]+)")} WHEN n_fam = 'trip' THEN upper({_group(TRIP)}) WHEN n_fam = 'power' THEN {_group(POWER)} END""",
+         "n_scale": f"""CASE WHEN size(n_sizes) NOT IN (2, 3) THEN NULL WHEN n_text RLIKE '(?i)cm|centimeter' THEN 10D
+            WHEN n_text RLIKE {_q(r'(?i)inch|inches|\bin\b|"')} THEN 25.4D ELSE 1D END"""},
+        {"n_word": f"CASE WHEN n_one IS NULL THEN NULL WHEN n_fam = 'current' THEN lower({_group(AMPS, 2)}) WHEN n_fam = 'power' THEN lower({_group(POWER, 2)}) END",
+         "n_num": f"CASE WHEN n_fam = 'voltage' AND {kilo} THEN round(try_cast(n_one AS DOUBLE) * 1000D, 9) ELSE try_cast(n_one AS DOUBLE) END"},
+        # milliamps only when the unit is attached to a number ("16 A max" stays in A)
+        {"n_unit": f"""CASE WHEN n_hedge THEN NULL WHEN n_fam = 'voltage' THEN 'V'
+            WHEN n_fam = 'current' THEN CASE WHEN n_lo IS NOT NULL THEN CASE WHEN n_text RLIKE {_q(r'(?i)\d\s*ma\b')} THEN 'mA' ELSE 'A' END
+              WHEN contains(n_word, 'ma') THEN 'mA' ELSE 'A' END
+            WHEN n_fam = 'frequency' THEN 'Hz' WHEN n_fam = 'dimensions' THEN 'mm' WHEN n_fam = 'poles' THEN CASE WHEN n_num IS NOT NULL THEN 'poles' END
+            WHEN n_fam = 'power' THEN CASE WHEN startswith(n_word, 'h') THEN 'HP' WHEN n_word IS NOT NULL THEN 'kW' END END"""},
+        {"n_shown": f"""CASE WHEN NOT n_given THEN NULL
+            WHEN n_fam = 'voltage' THEN CASE WHEN n_lo IS NOT NULL THEN concat({volts('n_lo')}, '-', {volts('n_hi')}, ' V', {kind})
+              WHEN n_one IS NOT NULL THEN concat({number}, ' V', {kind}) END
+            WHEN n_fam = 'current' THEN CASE WHEN n_lo IS NOT NULL THEN concat(n_lo, '-', n_hi, ' ', n_unit)
+              WHEN n_one IS NOT NULL THEN concat({number}, ' ', n_unit) END
+            WHEN n_fam = 'frequency' THEN concat({number}, ' Hz')
+            WHEN n_fam = 'dimensions' THEN CASE WHEN n_scale IS NOT NULL THEN concat(array_join(transform(n_sizes, n -> {_whole("bround(n * n_scale, 1)", "''")}), ' x '), ' mm')
+              WHEN NOT n_hedge THEN n_text END
+            WHEN n_fam = 'poles' THEN coalesce(CAST(try_cast(n_one AS INT) AS STRING), n_text)
+            WHEN n_fam = 'trip' THEN coalesce(concat('Class ', n_one), n_text)
+            WHEN n_fam = 'power' THEN coalesce(concat({number}, ' ', n_unit), n_text)
+            WHEN n_fam = 'mounting' THEN CASE WHEN {rail} AND contains(n_low, '35') THEN 'DIN Rail (35mm)' WHEN {rail} THEN 'DIN Rail'
+              WHEN contains(n_low, 'panel') THEN 'Panel Mount' WHEN contains(n_low, 'screw') THEN 'Screw Mounting' ELSE n_text END
+            ELSE n_plain END"""},
+        {"n_open": """coalesce(n_given AND (n_hedge OR (n_fam IN ('voltage', 'current', 'frequency') AND n_shown IS NULL)
+            OR (n_fam = 'dimensions' AND n_scale IS NULL) OR (n_fam = 'poles' AND n_num IS NULL)), false)"""},
+    )
+
+
+RESULT = """named_struct('normalized_value', n_shown,
+    'unit', CASE WHEN n_shown IS NOT NULL AND (NOT n_open OR n_fam = 'dimensions') THEN n_unit END,
+    'numeric_value', CASE WHEN n_shown IS NOT NULL AND NOT n_open AND n_fam IN ('voltage', 'current', 'frequency', 'poles', 'power')
+      THEN CASE WHEN n_fam = 'current' AND n_unit = 'mA' THEN n_num / 1000D ELSE n_num END END,
+    'is_ambiguous', n_open, 'requires_review', n_open,
+    'message', CASE WHEN NOT n_open THEN NULL
+      WHEN n_hedge THEN concat(CASE WHEN n_fam = 'dimensions' THEN 'Ambiguous dimensions' ELSE concat('Ambiguous ', n_fam, ' value') END, r": '", n_text, r"'")
+      WHEN n_fam = 'dimensions' THEN 'Unstandardized dimension format'
+      WHEN n_fam <> 'poles' THEN concat('Could not parse ', n_fam, r": '", n_text, r"'") END)"""
 
 
 def with_norm(df: DataFrame, attribute: str = "attribute", value: str = "value", out: str = "norm") -> DataFrame:
@@ -85,81 +154,14 @@ def with_norm(df: DataFrame, attribute: str = "attribute", value: str = "value",
 
     Every pattern is matched in its own column first, so it runs once per row and
     only for the family it belongs to."""
-    s, low, fam = F.col("n_text"), F.col("n_low"), F.col("n_fam")
-    d = df.withColumn("n_text", strip(F.col(value))).withColumn("n_fam", family(F.col(attribute)))
-    d = d.withColumn("n_low", F.lower(s))
-    measured = fam.isin("voltage", "current", "frequency", "dimensions")
-    d = d.withColumn("n_hedge", measured & s.rlike(HEDGED))
-    d = d.withColumn("n_lo", F.when(~F.col("n_hedge"), _by_family(voltage=_hit(s, VOLT_RANGE, 1), current=_hit(s, RANGE, 1))))
-    d = d.withColumn("n_hi", F.when(F.col("n_lo").isNotNull(), _by_family(voltage=_hit(s, VOLT_RANGE, 2), current=_hit(s, RANGE, 2))))
-    d = d.withColumn("n_one", F.when(~F.col("n_hedge") & F.col("n_lo").isNull(), _by_family(
-        voltage=_hit(s, f"({DECIMAL})"),
-        current=F.coalesce(_hit(s, AMPS), _hit(s, f"^({DECIMAL})$")),
-        frequency=F.coalesce(F.when(s.rlike(DUAL_HERTZ), F.lit("50/60")), _hit(s, HERTZ), F.when(s.isin("50", "60", "400"), s)),
-        poles=_hit(s, r"(\d+)"), trip=F.upper(_hit(s, TRIP)), power=_hit(s, POWER))))
-    d = d.withColumn("n_word", F.when(F.col("n_one").isNotNull(), _by_family(
-        voltage=F.lit("kv"), current=F.lower(_hit(s, AMPS, 2)), power=F.lower(_hit(s, POWER, 2)))))
-    kilo = low.contains("kv")
-    d = d.withColumn("n_num", F.col("n_one").try_cast("double"))
-    d = d.withColumn("n_num", F.when((fam == "voltage") & kilo, F.round(F.col("n_num") * 1000.0, 9)).otherwise(F.col("n_num")))
-    scale = F.when(s.rlike("(?i)cm|centimeter"), 10.0).when(s.rlike(r'(?i)inch|inches|\bin\b|"'), 25.4).otherwise(1.0)
-    sizes = F.filter(signed_numbers(s), lambda n: n > 0)
-    d = d.withColumn("n_sizes", F.when((fam == "dimensions") & ~F.col("n_hedge"), sizes))
-    d = d.withColumn("n_scale", F.when(F.size("n_sizes").isin(2, 3), scale))
-    d = d.withColumn("n_unit", F.when(~F.col("n_hedge"), _by_family(
-        voltage=F.lit("V"),
-        # Milliamps only when the unit is attached to a number ("16 A max" stays in A).
-        current=F.when(F.col("n_lo").isNotNull(), F.when(s.rlike(r"(?i)\d\s*ma\b"), "mA").otherwise("A"))
-        .when(F.col("n_word").contains("ma"), "mA").otherwise("A"),
-        frequency=F.lit("Hz"), dimensions=F.lit("mm"),
-        poles=F.when(F.col("n_num").isNotNull(), "poles"),
-        power=F.when(F.col("n_word").startswith("h"), "HP").when(F.col("n_word").isNotNull(), "kW"))))
-    lo, hi, one, number, unit = (F.col(c) for c in ("n_lo", "n_hi", "n_one", "n_num", "n_unit"))
-
-    def volts(text: Column) -> Column:
-        return F.when(kilo, format_number(F.round(text.try_cast("double") * 1000.0, 9), text)).otherwise(text)
-
-    kind = (F.when(s.rlike(r"(?i)vac|v\s*ac|\bac\b|\ba\.c\."), " AC")
-            .when(s.rlike(r"(?i)vdc|v\s*dc|\bdc\b|\bd\.c\."), " DC").otherwise(""))
-    rail = low.contains("din") & low.contains("rail")
-    shown = _by_family(
-        voltage=F.when(lo.isNotNull(), F.concat(volts(lo), F.lit("-"), volts(hi), F.lit(" V"), kind))
-        .when(one.isNotNull(), F.concat(format_number(number, one), F.lit(" V"), kind)),
-        current=F.when(lo.isNotNull(), F.concat(lo, F.lit("-"), hi, F.lit(" "), unit))
-        .when(one.isNotNull(), F.concat(format_number(number, one), F.lit(" "), unit)),
-        frequency=F.concat(F.coalesce(format_number(number, one), one), F.lit(" Hz")),
-        dimensions=F.when(F.col("n_scale").isNotNull(), F.concat(F.array_join(F.transform(
-            "n_sizes", lambda n: format_number(F.bround(n * F.col("n_scale"), 1))), " x "), F.lit(" mm")))
-        .when(~F.col("n_hedge"), s),
-        poles=F.coalesce(one.try_cast("int").cast("string"), s),
-        trip=F.coalesce(F.concat(F.lit("Class "), one), s),
-        power=F.coalesce(F.concat(format_number(number, one), F.lit(" "), unit), s),
-        mounting=F.when(rail & low.contains("35"), "DIN Rail (35mm)").when(rail, "DIN Rail")
-        .when(low.contains("panel"), "Panel Mount").when(low.contains("screw"), "Screw Mounting").otherwise(s),
-        generic=resolve_tokens(s))
-    given = F.col(value).isNotNull() & ((s != "") | (fam == "generic"))
-    d = d.withColumn("n_shown", F.when(given, shown))
-    open_ = F.col("n_hedge") | (fam.isin("voltage", "current", "frequency") & F.col("n_shown").isNull()) | (
-        (fam == "dimensions") & F.col("n_scale").isNull()) | ((fam == "poles") & number.isNull())
-    d = d.withColumn("n_open", given & F.coalesce(open_, F.lit(False)))
-    doubt = F.col("n_open")
-    fitted = F.col("n_shown").isNotNull()
-    kept = fam.isin("voltage", "current", "frequency", "poles", "power") & fitted & ~doubt
-    amps = F.when((fam == "current") & (unit == "mA"), number / 1000.0).otherwise(number)
-    label = F.when(fam == "dimensions", "Ambiguous dimensions").otherwise(F.concat(F.lit("Ambiguous "), fam, F.lit(" value")))
-    message = (F.when(F.col("n_hedge"), F.concat(label, F.lit(": '"), s, F.lit("'")))
-               .when(fam == "dimensions", "Unstandardized dimension format")
-               .when(fam != "poles", F.concat(F.lit("Could not parse "), fam, F.lit(": '"), s, F.lit("'"))))
-    norm = F.struct(
-        F.col("n_shown").alias("normalized_value"),
-        F.when(fitted & (~doubt | (fam == "dimensions")), unit).alias("unit"),
-        F.when(kept, amps).alias("numeric_value"),
-        doubt.alias("is_ambiguous"), doubt.alias("requires_review"),
-        F.when(doubt, message).alias("message"))
+    keep = [c for c in df.columns if c != out]
+    d = df.select("*", strip(F.col(value)).alias("n_text"), family(F.col(attribute)).alias("n_fam"))
+    plain = F.when(F.col("n_fam") == "generic", resolve_tokens(F.col("n_text"))).alias("n_plain")
+    given = (F.col(value).isNotNull() & ((F.col("n_text") != "") | (F.col("n_fam") == "generic"))).alias("n_given")
+    d = _staged(d.select("*", plain, given), *_stages())
     # A generator ends the chain: a later filter on the result would otherwise be pushed
     # down through every step, each step's text copied into it.
-    keep = [c for c in df.columns if c != out]
-    return d.select(*keep, F.explode_outer(F.array(norm)).alias(out))
+    return d.select(*keep, F.explode_outer(F.array(F.expr(RESULT))).alias(out))
 
 
 def resolve_tokens(s: Column) -> Column:
