@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import mixing
+from shelfmark.llm import mixing, substrings
 
 QUERIES, ORACLES = {}, {}
 
@@ -22,6 +22,11 @@ def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_substring_dedup", substrings.SQL)
+def _(spark, sf):
+    return substrings.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op7_mixing", mixing.SQL)
 def _(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
