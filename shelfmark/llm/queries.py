@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import mixing, substrings
+from shelfmark.llm import licenses, mixing, substrings
 
 QUERIES, ORACLES = {}, {}
 
@@ -30,3 +30,8 @@ def _(spark, sf):
 @query("op7_mixing", mixing.SQL)
 def _(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_license_scan", licenses.SQL)
+def _(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"))
