@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import licenses, mixing, substrings
+from shelfmark.llm import decontaminate, licenses, mixing, substrings
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,6 +32,11 @@ def _(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op8_decontaminate", decontaminate.SQL)
+def _(spark, sf):
+    return decontaminate.exact_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("matches")
+
+
 @query("op10_license_scan", licenses.SQL)
 def _(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
