@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, jaccard, licenses, mixing, substrings
+from shelfmark.llm import decontaminate, embeddings, jaccard, licenses, mixing, substrings
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,6 +27,11 @@ def _(spark, sf):
     return substrings.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op5_embedding_dedup", embeddings.SQL)
+def _(spark, sf):
+    return embeddings.near_copies(table(spark, sf, "embeddings"))
+
+
 @query("op6_ngram_jaccard", jaccard.SQL)
 def _(spark, sf):
     return jaccard.near_groups(table(spark, sf, "documents"))
