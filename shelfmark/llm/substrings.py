@@ -124,15 +124,15 @@ SAME = ["anchor", "content"]
 
 def graded(pieces: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds to pieces with a shared anchor the ``mask`` of their windows that repeat, and ``whole`` if all do as one content."""
-    per = stage(pieces.groupBy(*SAME).agg(F.count(F.lit(1)).alias("copies")), "contents")
+    per = pieces.groupBy(*SAME).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEY, "start", "n")).alias("at"))
+    per = stage(per, "contents")
     several = per.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
-    apart = stage(pieces.join(several, "anchor").groupBy(*SAME).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEY, "start", "n")).alias("at")), "apart")
-    wanted = apart.select("at.*", *SAME, "copies").groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", *SAME, "copies")).alias("pieces"))
+    wanted = per.join(several, "anchor").select("at.*", *SAME, "copies").groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", *SAME, "copies")).alias("pieces"))
     parts = docs.join(wanted, KEY).select("text", "pieces").mapInArrow(take_apart, PART)
     parts = stage(parts, "parts")
     twice = parts.groupBy("d1", "d2").agg(F.sum("copies").alias("c")).where("c > 1").select("d1", "d2")
     masks = parts.join(twice, ["d1", "d2"]).groupBy(*SAME).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("part"))
-    known = per.join(masks, SAME, "left").where("copies > 1 OR part IS NOT NULL")
+    known = per.drop("at").join(masks, SAME, "left").where("copies > 1 OR part IS NOT NULL")
     return pieces.join(known, SAME).withColumn("whole", F.col("copies") > 1).withColumn(
         "mask", F.when(F.col("whole"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("part"))).drop("part", "copies")
 
