@@ -173,7 +173,7 @@ def similar_sets(keyed: DataFrame, sets: DataFrame) -> DataFrame:
     full = stage(long.join(many.where("over"), "s", "left_semi").where(rank < n - least + 1).select("token", "s", n.alias("n"), rank.alias("rank")), "full")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).unionAll(full.select("s")).distinct()
     one = sets.where("n > 0").groupBy("s").agg(F.min(F.struct(*KEY)).alias("k")).join(wanted, "s", "left_semi").select("s", "k.*")
-    members = stage(keyed.join(one, KEY).select("s", "text").mapInArrow(_members, "s long, grams binary"), "members")
+    members = stage(keyed.join(one.hint("merge"), KEY).select("s", "text").mapInArrow(_members, "s long, grams binary"), "members")
     freed(spark)
     # first each set with the least of its partners, and of each long list; then what is not connected by that
     links = [verified(pairs.groupBy("b").agg(F.min("a").alias("a")), members)]

@@ -128,7 +128,7 @@ def graded(pieces: DataFrame, docs: DataFrame) -> DataFrame:
     per = stage(per, "contents")
     several = per.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
     wanted = per.join(several, "anchor").select("at.*", *SAME, "copies").groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", *SAME, "copies")).alias("pieces"))
-    parts = docs.join(wanted, KEY).select("text", "pieces").mapInArrow(take_apart, PART)
+    parts = docs.join(wanted.hint("merge"), KEY).select("text", "pieces").mapInArrow(take_apart, PART)
     parts = stage(parts, "parts")
     twice = parts.groupBy("d1", "d2").agg(F.sum("copies").alias("c")).where("c > 1").select("d1", "d2")
     masks = parts.join(twice, ["d1", "d2"]).groupBy(*SAME).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("part"))
@@ -163,7 +163,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     while True:
         marked = compacted(stage(graded(pieces, keyed), "graded"))
         held = marked.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("start", "n", *SAME, "mask", "whole", "head"))).alias("pieces"))
-        found = stage(keyed.join(held, KEY, "left").select("doc_id", *KEY, "text", "pieces").mapInArrow(removed, RESULT), "found")
+        found = stage(keyed.join(held.hint("merge"), KEY, "left").select("doc_id", *KEY, "text", "pieces").mapInArrow(removed, RESULT), "found")
         alone = (found.select(F.explode("paths").alias("p")).groupBy("p.anchor", "p.content", "p.words", "p.digest").agg(F.count(F.lit(1)).alias("c"))
                  .where("c = 1").select(*SAME).distinct())
         alone = stage(alone, "alone")
