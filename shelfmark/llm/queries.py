@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, embeddings, jaccard, licenses, mixing, substrings
+from shelfmark.llm import decontaminate, embeddings, jaccard, languages, licenses, mixing, quality, substrings
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,6 +27,16 @@ def _(spark, sf):
     return substrings.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op2_language_id")
+def _(spark, sf):
+    return languages.identify(table(spark, sf, "documents"))
+
+
+@query("op4_quality_neighbours")
+def _(spark, sf):
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op5_embedding_dedup", embeddings.SQL)
 def _(spark, sf):
     return embeddings.near_copies(table(spark, sf, "embeddings"))

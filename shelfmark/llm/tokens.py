@@ -57,8 +57,8 @@ class Rolling:
 class Words:
     """Words of some rows. ``row``: row of each word; ``first``: index of each row's first word, and the total at the end."""
 
-    def __init__(self, data, start, end, row, first):
-        self.data, self.start, self.end, self.row, self.first = data, start, end, row, first
+    def __init__(self, data, start, end, row, first, offsets):
+        self.data, self.start, self.end, self.row, self.first, self.offsets = data, start, end, row, first, offsets
 
     def text(self, i: int, j: int) -> list[bytes]:
         """Words i to j, as bytes."""
@@ -77,8 +77,8 @@ class Reader:
         self.bytes_ = Rolling(0x9DDFEA08EB382D69 + 2 * seed)
         self.words_ = Rolling(0xC2B2AE3D27D4EB4F + 2 * seed)
 
-    def slices(self, column: pa.Array) -> Iterator[tuple[int, int, Words]]:
-        """(first row, last row, words) for runs of rows that hold about ``SLICE`` bytes."""
+    def slices(self, column: pa.Array, rows: int = 1 << 30) -> Iterator[tuple[int, int, Words]]:
+        """(first row, last row, words) for runs of up to ``rows`` rows that hold about ``SLICE`` bytes."""
         column = pa.compute.fill_null(column.cast(pa.large_string()), "")
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
@@ -91,6 +91,7 @@ class Reader:
         at = 0
         while at < n:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+            to = min(to, at + rows)
             yield at, to, self.words(every[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at])
             at = to
 
@@ -106,7 +107,7 @@ class Reader:
         ends[:-1] &= ~ok[1:] | edge[1:n]
         start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         first = np.searchsorted(start, offsets)
-        return Words(data, start, end, np.repeat(np.arange(rows), np.diff(first)), first)
+        return Words(data, start, end, np.repeat(np.arange(rows), np.diff(first)), first, offsets)
 
     def hashes(self, w: Words) -> np.ndarray:
         """A 64-bit hash of each word."""
