@@ -19,7 +19,6 @@ by its smallest id that isn't null; a row alone by its own); an empty table give
 
 from __future__ import annotations
 
-import gc
 import heapq
 from itertools import groupby
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import KEY, connected, row_key, stage
+from shelfmark.llm.common import KEY, connected, freed, row_key, stage
 from shelfmark.llm.tokens import ODD, Reader, mixed, signed
 
 SHINGLE, SIMILAR, LONG, SPARE = 5, 75, 256, 16
@@ -145,12 +144,6 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return p.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
 
 
-def freed(spark) -> None:
-    """Lets Spark delete the shuffle files of finished plans now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def similar_sets(keyed: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component) of sets that link with others; a component is its smallest set id."""
     spark = keyed.sparkSession

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from shelfmark.llm.features import BUCKETS, SHAPE, text_features
 from shelfmark.llm.languages import held_out, learnable
@@ -70,7 +71,7 @@ def learn(docs: DataFrame, labels: DataFrame):
         return None
     of = F.element_at(F.create_map(*(F.lit(x) for kv in counts.items() for x in kv)), F.col("label"))
     some = marks.where("label IN (0, 1)").withColumn("h", F.xxhash64("doc_id")).where(F.pmod("h", of) < PER_LABEL)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("label", "h", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("label", "h", "text")  # some: about 2 * PER_LABEL rows
     got = sorted((r["label"], r["h"], bytes(r["x"])) for r in rows.mapInArrow(vectors, "label int, h long, x binary").collect())
     if not got:
         return None
@@ -80,8 +81,9 @@ def learn(docs: DataFrame, labels: DataFrame):
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``score`` added."""
+    """``docs`` with ``score`` added (or put in place of a column of that name)."""
     known = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    docs = docs.drop("score")
     names = docs.columns
 
     def score(batches):
@@ -94,7 +96,6 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     out[at:at + len(x)] = vote(unit((weighted(x) - centre) @ project), labelled, marks)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*names, "score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
     return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 

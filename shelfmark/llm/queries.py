@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, embeddings, jaccard, languages, licenses, mixing, quality, substrings
+from shelfmark.llm import decontaminate, embeddings, jaccard, languages, licenses, line_dedup, mixing, quality, substrings
 
 QUERIES, ORACLES = {}, {}
 
@@ -57,6 +57,12 @@ def _(spark, sf):
     return decontaminate.exact_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("matches")
 
 
+@query("op9_line_dedup")
+def _(spark, sf):
+    out = line_dedup.dedup_lines(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op10_license_scan", licenses.SQL)
 def _(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
