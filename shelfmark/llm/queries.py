@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, embeddings, jaccard, languages, licenses, line_dedup, mixing, quality, substrings
+from shelfmark.llm import decontaminate, embeddings, jaccard, languages, licenses, line_dedup, mixing, quality, substrings, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,6 +32,13 @@ def _(spark, sf):
     return languages.identify(table(spark, sf, "documents"))
 
 
+@query("op3_warc_revisits", warc.SQL)
+def _(spark, sf):
+    out = warc.resolve(warc.page_records(table(spark, sf, "pages")))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+    return out.select("record_id", "url", "outcome", "response_id", told.alias("headers"), F.sha2(F.col("payload").cast("binary"), 256).alias("payload_sha256"))
+
+
 @query("op4_quality_neighbours")
 def _(spark, sf):
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
