@@ -7,8 +7,9 @@ with a heap and counts how often each partner occurs; the count, its long lists
 the required overlap. Survivors are binary-probed: every shingle of one is looked up in the other's sorted
 shingles, long lists included, and the overlap is exact.
 
-Sets with more long lists than ``SPARE`` (large groups of near copies) meet through the long lists instead: each is first compared
-with the list's least set, and only sets that are not yet connected are paired after that. The same holds for all pairs: those
+Sets with more long lists than ``SPARE`` are indexed whole, in a second index of their own, where their rarer shingles tell. Those
+that have too many long lists even there (large groups of near copies) meet through the long lists: each is first compared with the
+set of the list that has the largest share of long lists, and only sets that are not yet connected are paired after that. The same holds for all pairs: those
 already connected by verified links need no proof, so copies are never expanded into all pairs. All pairs with the
 similarity are either linked or connected, so components are exact.
 
@@ -24,7 +25,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import KEY, connected, freed, row_key, stage
@@ -43,6 +44,11 @@ def overlap(n, m, per_cent: int = SIMILAR):
     return -(-per_cent * (n + m) // (100 + per_cent))
 
 
+def indexed(n, whole: bool = False):
+    """How many of a set's n shingles are in the index."""
+    return n if whole else np.minimum(n, n - needed(n) + 1 + SPARE)
+
+
 def shingle_sets(reader: Reader, column, k: int = SHINGLE):
     """(first row, sorted different shingles, row of each, bounds by row) for runs of rows."""
     for at, to, w in reader.slices(column):
@@ -83,10 +89,19 @@ def _postings(batches):
         for _, g, row, bounds in shingle_sets(reader, batch.column("text")):
             n = np.diff(bounds)
             rank = np.arange(len(g)) - bounds[row]
-            i = np.flatnonzero(rank < (n - needed(n) + 1 + SPARE)[row])
+            i = np.flatnonzero(rank < indexed(n)[row])
             yield pa.record_batch({"token": signed(g[i]), "s": signed(set_ids(g, bounds)[row[i]]), "at": pa.array(n[row[i]].astype(np.int64) << 32 | rank[i])})
 
 
+def _all_postings(batches):
+    for batch in batches:
+        sets = [np.frombuffer(g.as_buffer(), np.uint64) for g in batch.column("grams")]
+        n = np.array([len(g) for g in sets], np.int64)
+        rank = np.concatenate([np.arange(x) for x in n]) if len(n) else np.zeros(0, np.int64)
+        yield pa.record_batch({"token": signed(np.concatenate(sets)) if sets else pa.array([], pa.int64()), "s": pa.array(np.repeat(batch.column("s").to_numpy(), n)),
+                               "at": pa.array(np.repeat(n, n) << 32 | rank)})
+
+
 def _members(batches):
     reader = Reader("space", lower=True)
     for batch in batches:
@@ -95,22 +110,26 @@ def _members(batches):
             yield pa.record_batch({"s": s.slice(at, len(bounds) - 1), "grams": pa.array([g[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())})
 
 
-def _merged(batches):
-    """Partners of each set that its short lists leave, by a heap over the sorted lists."""
+def _merged(batches, whole: bool = False):
+    """Partners of each set that its short lists leave, by a heap over the sorted lists, and the common long lists they still need."""
     for batch in batches:
-        left, right = [], []
+        left, right, lack = [], [], []
         for row in (r for k in range(0, len(batch), 256) for r in batch.slice(k, 256).to_pylist()):
-            n, spare, own = row["n"], row["long"], row["s"]
+            n, own = row["n"], row["s"]
             lists = [[(p["s"], p["at"], e["at"] & 0xFFFFFFFF) for p in e["others"]] for e in row["lists"]]
             for other, met in groupby(heapq.merge(*lists), key=lambda x: x[0]):
                 met = list(met)
                 m = met[0][1] >> 32
                 here, there = max(x[2] for x in met), max(x[1] & 0xFFFFFFFF for x in met)
-                most = len(met) + spare + min(n - 1 - here, m - 1 - there)
-                if most >= overlap(n, m):
+                # what follows the last common place, or the end of the index of the set that ends first
+                rest = min(n - 1 - here, m - 1 - there, max(n - indexed(n, whole), m - indexed(m, whole)))
+                need = overlap(n, m) - len(met) - rest
+                if need <= row["long"]:
                     left.append(own)
                     right.append(other)
-        yield pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+                    lack.append(need)
+        pairs = pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64()), "lack": pa.array(lack, pa.int32())})
+        yield pairs
 
 
 def _probed(batches):
@@ -144,33 +163,54 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return p.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
 
 
-def similar_sets(keyed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, component) of sets that link with others; a component is its smallest set id."""
-    spark = keyed.sparkSession
-    posted = keyed.select("text").mapInArrow(_postings, "token long, s long, at long")
+def unpacked() -> tuple[Column, Column, Column]:
+    """Of a posting: size of its set, rank in it, least overlap the set needs."""
+    size = F.expr("cast(at >> 32 as int)")
+    return size, F.expr("cast(at & 4294967295 as int)"), F.ceil(size * SIMILAR / 100).cast("int")
+
+
+def candidates(posted: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs the index can't rule out; its long lists; the sets with more of these than their places in the index allow."""
+    size, _, least = unpacked()
     often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("token", "c")
     shared = stage(posted.join(often.hint("shuffle_hash"), "token"), "shared")
-    freed(spark)
-    short, long = shared.where(F.col("c") <= LONG), shared.where(F.col("c") > LONG).select("token", "s", "at").distinct()
-    long = stage(long, "long")
-    n, rank = F.expr("cast(at >> 32 as int)"), F.expr("cast(at & 4294967295 as int)")
-    least = F.ceil(n * SIMILAR / 100).cast("int")
-    many = stage(long.groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("long"), (F.count(F.lit(1)) > F.least(F.lit(SPARE), F.min(least) - 1)).alias("over")), "many")
-    entry = F.struct("s", "at")
-    lists = short.groupBy("token").agg(F.array_sort(F.collect_set(entry)).alias("list")).where("size(list) > 1")
+    freed(posted.sparkSession)
+    short, long = shared.where(F.col("c") <= LONG), stage(shared.where(F.col("c") > LONG).select("token", "s", "at").distinct(), "long")
+    allowed = least - 1 if whole else F.least(F.lit(SPARE), least - 1)
+    mine = stage(long.groupBy("s").agg(F.collect_set("token").alias("tokens"), (F.count(F.lit(1)) > F.min(allowed)).alias("over"), (F.count(F.lit(1)) / F.min(size)).alias("share")), "mine")
+    lists = short.groupBy("token").agg(F.array_sort(F.collect_set(F.struct("s", "at"))).alias("list")).where("size(list) > 1")
     each = lists.select(F.posexplode("list").alias("k", "e"), "list").where("k < size(list) - 1")
     each = each.select("e.s", F.expr("cast(e.at >> 32 as int)").alias("n"), F.struct(F.col("e.at").alias("at"), F.expr("slice(list, k + 2, size(list))").alias("others")).alias("l"))
-    query = each.groupBy("s", "n").agg(F.collect_list("l").alias("lists")).join(many.drop("over"), "s", "left").withColumn("long", F.coalesce("long", F.lit(0)))
-    pairs = stage(query.mapInArrow(_merged, "a long, b long"), "pairs")
-    # sets with more long lists than allowed for meet in the long lists of their strict prefix
-    full = stage(long.join(many.where("over"), "s", "left_semi").where(rank < n - least + 1).select("token", "s", n.alias("n"), rank.alias("rank")), "full")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).unionAll(full.select("s")).distinct()
-    one = sets.where("n > 0").groupBy("s").agg(F.min(F.struct(*KEY)).alias("k")).join(wanted, "s", "left_semi").select("s", "k.*")
-    members = stage(keyed.join(one.hint("merge"), KEY).select("s", "text").mapInArrow(_members, "s long, grams binary"), "members")
-    freed(spark)
+    query = each.groupBy("s", "n").agg(F.collect_list("l").alias("lists")).join(mine.select("s", F.size("tokens").alias("long")), "s", "left").withColumn("long", F.coalesce("long", F.lit(0)))
+    met = query.mapInArrow(lambda batches: _merged(batches, whole), "a long, b long, lack int")
+    # the long lists of a pair are probed for those both are in
+    side = lambda c: mine.select(F.col("s").alias(c), F.col("tokens").alias(f"t{c}"))
+    met = met.where("lack <= 0").select("a", "b").unionAll(
+        met.where("lack > 0").join(side("a"), "a").join(side("b"), "b").where("size(array_intersect(ta, tb)) >= lack").select("a", "b"))
+    return stage(met, "pairs"), long, mine.where("over").select("s", "share")
+
+
+def similar_sets(keyed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) of sets that link with others; a component is its smallest set id."""
+    spark = keyed.sparkSession
+    where = sets.where("n > 0").groupBy("s").agg(F.min(F.struct(*KEY)).alias("k"))
+
+    def shingles(wanted: DataFrame) -> DataFrame:
+        one = where.join(wanted.distinct(), "s", "left_semi").select("s", "k.*")
+        out = stage(keyed.join(one.hint("merge"), KEY).select("s", "text").mapInArrow(_members, "s long, grams binary"), "members")
+        freed(spark)
+        return out
+
+    pairs, _, over = candidates(keyed.select("text").mapInArrow(_postings, "token long, s long, at long"), False)
+    # sets with too many long lists are indexed whole, among themselves; near copies of one text have little else even then
+    more, long, near = candidates(shingles(over.select("s")).mapInArrow(_all_postings, "token long, s long, at long"), True)
+    pairs = pairs.unionAll(more)
+    size, rank, least = unpacked()
+    full = stage(long.join(near, "s").where(rank < size - least + 1).select("token", "s", "share", size.alias("n"), rank.alias("rank")), "full")
+    members = shingles(pairs.select(F.explode(F.array("a", "b")).alias("s")).unionAll(full.select("s")))
     # first each set with the least of its partners, and of each long list; then what is not connected by that
     links = [verified(pairs.groupBy("b").agg(F.min("a").alias("a")), members)]
-    first = full.join(full.groupBy("token").agg(F.min("s").alias("a")), "token")
+    first = full.join(full.groupBy("token").agg(F.max_by("s", F.struct("share", "s")).alias("a")), "token")
     links.append(verified(first.where("a <> s").select("a", F.col("s").alias("b")).distinct(), members))
     freed(spark)
     groups = _groups(links)
