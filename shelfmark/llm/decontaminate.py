@@ -144,14 +144,33 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), "text")
 
 
-def exact_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the exact phrase ``matches``."""
-    keyed = _keyed(docs)
+def found_starts(keyed: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(key, found): the proposed windows of each document that has any."""
     w = stage(rarest(stage(windows_of(benchmark), "windows"), keyed), "anchored")
     postings = index(keyed, w.select(F.explode("anchors.term").alias("term")).distinct())
     found = starts(w, postings).groupBy(*KEY).agg(F.collect_set(F.struct("start", "phrase", "items")).alias("found"))
     # what is found grows with the corpus: the same plan at every size
-    return keyed.join(stage(found, "found").hint("merge"), KEY, "left").select("doc_id", "text", "found").mapInArrow(_verified, RESULT)
+    return stage(found, "found").hint("merge")
+
+
+def exact_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the exact phrase ``matches``."""
+    keyed = _keyed(docs)
+    return keyed.join(found_starts(keyed, benchmark), KEY, "left").select("doc_id", "text", "found").mapInArrow(_verified, RESULT)
+
+
+def _clean(batches):
+    for batch in batches:
+        bad = pa.concat_arrays([b.column("contaminated") for b in _verified([batch])])
+        yield batch.filter(pa.compute.invert(bad)).drop_columns(["found", *KEY])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the contaminated ones."""
+    keyed = _keyed(docs)
+    found = found_starts(keyed.select(*KEY, "text"), benchmark)
+    whole = docs.select("*", *row_key(F.col("doc_id"), F.col("text")))
+    return whole.join(found, KEY, "left").select(*(f"`{x}`" for x in docs.columns), *KEY, "found").mapInArrow(_clean, docs.schema)
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 2 * WINDOW) -> DataFrame:

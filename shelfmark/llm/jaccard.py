@@ -25,7 +25,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import KEY, connected, freed, row_key, stage
@@ -236,6 +236,24 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` of each group of near copies: that with the smallest id; rows with empty sets all stay.
+
+    Rows are told apart by id and text; of repeated rows one stays, and of a group without ids that with the least text hash.
+    """
+    keyed = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns if x != "text")).alias("row"), *row_key(F.col("doc_id"), F.col("text")), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = stage(keyed.select("doc_id", *KEY, "text").mapInArrow(_sizes, "doc_id long, key_id long, key_text long, n int, s long"), "sets")
+    groups = similar_sets(keyed.select(*KEY, "text"), sets)
+    named = sets.where("n > 0").join(groups.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("g", F.coalesce("component", "s"))
+    stay = named.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *KEY)).alias("k")).select("k.key_id", "k.key_text")
+    stay = stage(stay.withColumn("full", F.lit(True)).unionAll(sets.where("n = 0").select(*KEY).distinct().withColumn("full", F.lit(False))), "stay")
+    out = keyed.join(stay.hint("merge"), KEY)
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0)))
+    out = out.withColumn("nth", nth).where(~F.col("full") | (F.col("nth") == 1))
+    return out.select(*(F.col("text") if x == "text" else F.col(f"row.`{x}`") for x in docs.columns))
+
+
 SQL = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
