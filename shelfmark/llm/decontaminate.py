@@ -162,15 +162,16 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _clean(batches):
     for batch in batches:
         bad = pa.concat_arrays([b.column("contaminated") for b in _verified([batch])])
-        yield batch.filter(pa.compute.invert(bad)).drop_columns(["found", *KEY])
+        yield batch.filter(pa.compute.invert(bad)).select(["row", "text"])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    keyed = _keyed(docs)
-    found = found_starts(keyed.select(*KEY, "text"), benchmark)
-    whole = docs.select("*", *row_key(F.col("doc_id"), F.col("text")))
-    return whole.join(found, KEY, "left").select(*(f"`{x}`" for x in docs.columns), *KEY, "found").mapInArrow(_clean, docs.schema)
+    row = F.struct(*(F.col(f"`{x}`") for x in docs.columns if x != "text")).alias("row")
+    whole = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), "text")
+    out = whole.join(found_starts(whole.select(*KEY, "text"), benchmark), KEY, "left").select("row", "doc_id", "text", "found")
+    kept = out.mapInArrow(_clean, out.select("row", "text").schema)
+    return kept.select(*(F.col("text") if x == "text" else F.col(f"row.`{x}`") for x in docs.columns))
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 2 * WINDOW) -> DataFrame:

@@ -59,9 +59,18 @@ def shingle_sets(reader: Reader, column, k: int = SHINGLE):
         n = np.diff(w.first)
         short = np.flatnonzero((n > 0) & (n < k))
         whole = mixed(reader.words_.spans(prefix, w.first[short], w.first[short + 1]) + n[short].astype(np.uint64) * np.uint64(ODD))
-        g, row = np.concatenate([g[i], whole]), np.concatenate([w.row[i], short])
-        order = np.lexsort((g, row))
-        g, row = g[order], row[order]
+        # a row has either windows or one whole sequence, so rows stay in order; each is sorted by itself
+        own = np.zeros(len(n), np.int64)
+        own[short] = 1
+        own += np.bincount(w.row[i], minlength=len(n))
+        row, ends = np.repeat(np.arange(len(n)), own), np.concatenate([[0], np.cumsum(own)])
+        x = np.empty(len(row), np.uint64)
+        lone = np.zeros(len(n), bool)
+        lone[short] = True
+        x[lone[row]], x[~lone[row]] = whole, g[i]
+        g = x
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            g[a:b].sort()
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
         g, row = g[new], row[new]
@@ -114,9 +123,9 @@ def _merged(batches, whole: bool = False):
     """Partners of each set that its short lists leave, by a heap over the sorted lists, and the common long lists they still need."""
     for batch in batches:
         left, right, lack = [], [], []
-        for row in (r for k in range(0, len(batch), 256) for r in batch.slice(k, 256).to_pylist()):
-            n, own = row["n"], row["s"]
-            lists = [[(p["s"], p["at"], e["at"] & 0xFFFFFFFF) for p in e["others"]] for e in row["lists"]]
+        for k in range(len(batch)):
+            own, n, most, ranks, others, places = (batch.column(c)[k].as_py() for c in ("s", "n", "long", "ranks", "others", "places"))
+            lists = [list(zip(x, y, [r] * len(x))) for r, x, y in zip(ranks, others, places)]
             for other, met in groupby(heapq.merge(*lists), key=lambda x: x[0]):
                 met = list(met)
                 m = met[0][1] >> 32
@@ -124,7 +133,7 @@ def _merged(batches, whole: bool = False):
                 # what follows the last common place, or the end of the index of the set that ends first
                 rest = min(n - 1 - here, m - 1 - there, max(n - indexed(n, whole), m - indexed(m, whole)))
                 need = overlap(n, m) - len(met) - rest
-                if need <= row["long"]:
+                if need <= most:
                     left.append(own)
                     right.append(other)
                     lack.append(need)
@@ -172,6 +181,8 @@ def unpacked() -> tuple[Column, Column, Column]:
 def candidates(posted: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs the index can't rule out; its long lists; the sets with more of these than their places in the index allow."""
     size, _, least = unpacked()
+    # dealt out by token once, for the counts and for the join with them
+    posted = posted.repartition("token")
     often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("token", "c")
     shared = stage(posted.join(often.hint("shuffle_hash"), "token"), "shared")
     freed(posted.sparkSession)
@@ -180,8 +191,9 @@ def candidates(posted: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame, Da
     mine = stage(long.groupBy("s").agg(F.collect_set("token").alias("tokens"), (F.count(F.lit(1)) > F.min(allowed)).alias("over"), (F.count(F.lit(1)) / F.min(size)).alias("share")), "mine")
     lists = short.groupBy("token").agg(F.array_sort(F.collect_set(F.struct("s", "at"))).alias("list")).where("size(list) > 1")
     each = lists.select(F.posexplode("list").alias("k", "e"), "list").where("k < size(list) - 1")
-    each = each.select("e.s", F.expr("cast(e.at >> 32 as int)").alias("n"), F.struct(F.col("e.at").alias("at"), F.expr("slice(list, k + 2, size(list))").alias("others")).alias("l"))
-    query = each.groupBy("s", "n").agg(F.collect_list("l").alias("lists")).join(mine.select("s", F.size("tokens").alias("long")), "s", "left").withColumn("long", F.coalesce("long", F.lit(0)))
+    each = each.select("e.s", F.expr("cast(e.at >> 32 as int)").alias("n"), F.expr("cast(e.at & 4294967295 as int)").alias("rank"), F.expr("slice(list, k + 2, size(list))").alias("others"))
+    query = each.groupBy("s", "n").agg(F.collect_list(F.struct("rank", F.col("others.s").alias("s"), F.col("others.at").alias("at"))).alias("l")).join(mine.select("s", F.size("tokens").alias("long")), "s", "left")
+    query = query.select("s", "n", F.coalesce("long", F.lit(0)).alias("long"), F.col("l.rank").alias("ranks"), F.col("l.s").alias("others"), F.col("l.at").alias("places"))
     met = query.mapInArrow(lambda batches: _merged(batches, whole), "a long, b long, lack int")
     # the long lists of a pair are probed for those both are in
     side = lambda c: mine.select(F.col("s").alias(c), F.col("tokens").alias(f"t{c}"))
