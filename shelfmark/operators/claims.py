@@ -1,20 +1,18 @@
 """Claims: what each source says about an attribute, and where sources disagree.
 
-Groups are reduced to distinct values before anything is gathered.  Long tables
-(``claim_values``, ``claim_sources``) always hold everything; list columns and
-messages are built from at most ``inline`` ordered entries per group, so one hot
-(product, attribute) never lands whole in a task's memory."""
+Groups are reduced to distinct values and sources before anything is gathered, so
+lists and messages hold all of them, whatever the size of a group; the long tables
+``claim_values`` and ``claim_sources`` give the same without lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import vocab
 from shelfmark.functions.text import format_number, null_if_blank, strip
 from shelfmark.functions.units import with_norm
 
-INLINE = 1000
 KEYS = ["product_id", "attribute"]
 CLAIM_COLUMNS = ["product_id", "attribute", "value", "source_name", "source_type", "evidence_id", "page_number",
                  "snippet", "similarity", "claim_ord"]
@@ -97,12 +95,10 @@ def conflict_id(*keys: Column) -> Column:
     return F.concat(F.lit("conf_"), F.substring(F.sha2(F.concat_ws("|", *[k.cast("string") for k in keys]), 256), 1, 12))
 
 
-def gathered(df: DataFrame, by: list[str], order: list[str], value: Column, limit: int, alias: str) -> DataFrame:
-    """First ``limit`` values of each group as an ordered list."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    few = df.withColumn("g_rank", F.row_number().over(w)).filter(F.col("g_rank") <= limit)
-    packed = F.sort_array(F.collect_list(F.struct("g_rank", value.alias("v"))))
-    return few.groupBy(*by).agg(F.transform(packed, lambda x: x["v"]).alias(alias))
+def gathered(df: DataFrame, by: list[str], order: list[str], value: Column, alias: str) -> DataFrame:
+    """Values of each group as an ordered list; ``df`` holds each value of a group once."""
+    packed = F.array_sort(F.collect_list(F.struct(*order, value.alias("v"))))
+    return df.groupBy(*by).agg(F.transform(packed, lambda x: x["v"]).alias(alias))
 
 
 def conflicts(claims: DataFrame, fold_milliamps: bool = True) -> DataFrame:
@@ -122,55 +118,45 @@ def conflict_headers(values: DataFrame) -> DataFrame:
             .withColumn("status", F.lit("OPEN")).withColumn("conflict_id", conflict_id(*[F.col(k) for k in KEYS])))
 
 
-def conflict_lists(heads: DataFrame, canonical_claims: DataFrame, inline: int = INLINE) -> DataFrame:
-    """Adds ``values, sources, evidence_ids`` lists; ``complete`` is false past ``inline``."""
+def conflict_lists(heads: DataFrame, canonical_claims: DataFrame) -> DataFrame:
+    """Adds the whole lists ``values, sources, evidence_ids``."""
     held = canonical_claims.join(heads.select(*KEYS), KEYS, "left_semi")
-    values = gathered(claim_values(held), KEYS, ["first_ord"], F.col("first_raw"), inline, "values")
+    values = gathered(claim_values(held), KEYS, ["first_ord"], F.col("first_raw"), "values")
     names = held.groupBy(*KEYS, "source_name").agg(F.min("claim_ord").alias("first_ord"))
-    sources = gathered(names, KEYS, ["first_ord"], F.col("source_name"), inline, "sources")
+    sources = gathered(names, KEYS, ["first_ord"], F.col("source_name"), "sources")
     ids = held.filter(F.col("evidence_id") != "").groupBy(*KEYS, "evidence_id").agg(F.min("claim_ord").alias("first_ord"))
-    evidence = gathered(ids, KEYS, ["first_ord"], F.col("evidence_id"), inline, "evidence_ids")
-    out = heads.join(values, KEYS, "left").join(sources, KEYS, "left").join(evidence, KEYS, "left")
-    return out.withColumn("complete", F.col("n_claims") <= inline)
+    evidence = gathered(ids, KEYS, ["first_ord"], F.col("evidence_id"), "evidence_ids")
+    return heads.join(values, KEYS, "left").join(sources, KEYS, "left").join(evidence, KEYS, "left")
 
 
-def compare_sources(claims: DataFrame, inline: int = INLINE, fold_milliamps: bool = True) -> DataFrame:
+def compare_sources(claims: DataFrame, fold_milliamps: bool = True) -> DataFrame:
     """One cross-source verdict per attribute with a readable message.
 
-    Blank and UNKNOWN claims count here.  Groups above ``inline`` claims get a
-    counting message; their full breakdown is :func:`claim_sources`."""
+    Blank and UNKNOWN claims count here.  One aggregate to (value), one to the
+    attribute; a message names the source of every claim, in order."""
     c = with_canonical(claims, fold_milliamps).withColumn("canonical", F.coalesce("canonical", F.lit("")))
-    per_value = claim_values(c)
-    stats = per_value.groupBy(*KEYS).agg(
-        F.sum("n_claims").alias("n_claims"), F.count("*").alias("n_values"),
-        F.min(F.struct("first_ord", "canonical"))["canonical"].alias("matched"))
-    w = Window.partitionBy(*KEYS).orderBy("claim_ord")
-    few = c.withColumn("g_rank", F.row_number().over(w)).filter(F.col("g_rank") <= inline)
-    names = F.transform(F.sort_array(F.collect_list(F.struct("g_rank", "source_name"))), lambda x: x["source_name"])
-    groups = few.groupBy(*KEYS, "canonical").agg(
-        F.min("g_rank").alias("g_first"), F.array_join(names, ", ").alias("who"),
-        F.min_by("value", "g_rank").alias("raw"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("claim_ord", "source_name"))), lambda x: x["source_name"])
+    per_value = c.groupBy(*KEYS, "canonical").agg(
+        F.min("claim_ord").alias("g_first"), F.array_join(names, ", ").alias("who"), F.min_by("value", "claim_ord").alias("raw"),
+        F.count("*").alias("n"))
     part = F.struct("g_first", F.concat(F.lit("'"), "canonical", F.lit("' ("), "who", F.lit(")")).alias("text"),
-                    F.col("who").alias("who"), F.col("raw").alias("raw"))
-    parts = groups.groupBy(*KEYS).agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    d = stats.join(parts, KEYS)
+                    F.col("who").alias("who"), F.col("raw").alias("raw"), F.col("canonical").alias("canonical"))
+    d = per_value.groupBy(*KEYS).agg(F.sum("n").alias("n_claims"), F.count("*").alias("n_values"), F.array_sort(F.collect_list(part)).alias("parts"))
     attr = F.concat(F.lit("'"), F.col("attribute"), F.lit("'"))
-    one = F.concat(F.lit("Single source '"), F.col("parts")[0]["who"], F.lit("' supports "), attr, F.lit(" with value '"),
-                   F.coalesce(F.col("parts")[0]["raw"], F.lit("None")), F.lit("'."))
-    agree = F.concat(F.lit("Value '"), "matched", F.lit("' consistently verified across "), F.col("n_claims").cast("string"),
-                     F.lit(" sources ("), F.col("parts")[0]["who"], F.lit(")."))
+    first = F.col("parts")[0]
+    one = F.concat(F.lit("Single source '"), first["who"], F.lit("' supports "), attr, F.lit(" with value '"),
+                   F.coalesce(first["raw"], F.lit("None")), F.lit("'."))
+    agree = F.concat(F.lit("Value '"), first["canonical"], F.lit("' consistently verified across "), F.col("n_claims").cast("string"),
+                     F.lit(" sources ("), first["who"], F.lit(")."))
     clash = F.concat(F.lit("Conflicting values detected for "), attr, F.lit(" across sources: "),
                      F.array_join(F.transform("parts", lambda p: p["text"]), " vs "), F.lit("."))
-    many = F.concat(F.col("n_values").cast("string"), F.lit(" value(s) for "), attr, F.lit(" across "),
-                    F.col("n_claims").cast("string"), F.lit(" claims; see the source breakdown."))
     conflict = F.col("n_values") > 1
     return d.select(
         *KEYS, conflict.alias("is_conflict"),
         F.when(conflict, "CONFLICT").otherwise("PASSED").alias("status"),
         F.when(conflict, "HIGH").otherwise("LOW").alias("severity"),
         "n_claims", "n_values",
-        F.when(F.col("n_claims") > inline, many).when(F.col("n_claims") == 1, one).when(conflict, clash)
-        .otherwise(agree).alias("message"))
+        F.when(F.col("n_claims") == 1, one).when(conflict, clash).otherwise(agree).alias("message"))
 
 
 def listed(found: DataFrame, product_id=None, status: str | None = None) -> DataFrame:

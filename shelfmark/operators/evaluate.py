@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import is_resolved_value, score_round, share
-from shelfmark.operators.claims import INLINE, gathered
+from shelfmark.operators.claims import gathered
 from shelfmark.operators.classify import input_category, manufacturer_failure, taxonomy_outcome
 from shelfmark.operators.describe import description_issues
 
@@ -93,9 +93,9 @@ def type_rate(attributes: DataFrame) -> DataFrame:
     return typed.select("product_id").distinct().agg(F.count("*").alias("product_type_detected"))
 
 
-def samples(products: DataFrame, attributes: DataFrame, n: int = 25, names: int = INLINE) -> DataFrame:
-    """First products by id with (up to ``names``) attribute names: a report, n rows."""
+def samples(products: DataFrame, attributes: DataFrame, n: int = 25) -> DataFrame:
+    """First products by id with all their attribute names: a report, n rows."""
     first = products.orderBy("product_id").limit(n)
     own = attributes.join(first.select("product_id"), "product_id", "left_semi")
-    listed = gathered(own, ["product_id"], ["attr_ord", "name"], F.col("name"), names, "attribute_names")
+    listed = gathered(own, ["product_id"], ["attr_ord", "name"], F.col("name"), "attribute_names")
     return first.join(listed, "product_id", "left")

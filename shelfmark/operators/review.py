@@ -126,7 +126,7 @@ def resolve_conflicts(conflicts: DataFrame, attributes: DataFrame, products: Dat
 
     ``resolutions(conflict_id, action, selected_value, reason, ts)`` where action
     ``DISMISS`` dismisses and anything else resolves."""
-    last = resolutions.groupBy("conflict_id").agg(F.max_by(F.struct("action", "selected_value"), "ts").alias("r"))
+    last = resolutions.groupBy("conflict_id").agg(F.max_by(F.struct("action", "selected_value"), F.struct("ts", "action", "selected_value", "reason")).alias("r"))
     c = conflicts.join(last, "conflict_id", "left")
     dismissed = F.col("r.action") == "DISMISS"
     status = F.when(F.col("r").isNull(), F.col("status")).when(dismissed, "DISMISSED").otherwise("RESOLVED")
@@ -151,10 +151,11 @@ def resolve_conflicts(conflicts: DataFrame, attributes: DataFrame, products: Dat
 
 
 def dismiss_conflicts(conflicts: DataFrame, dismissals: DataFrame) -> DataFrame:
-    """Conflicts with ``dismissals(conflict_id, reason)`` applied, reason kept."""
-    reasons = dismissals.groupBy("conflict_id").agg(F.min("reason").alias("dismiss_reason"))
-    d = conflicts.join(reasons, "conflict_id", "left")
-    return d.withColumn("status", F.when(F.col("dismiss_reason").isNotNull(), "DISMISSED").otherwise(F.col("status")))
+    """Conflicts with ``dismissals(conflict_id, reason)`` applied; a reason may be null, the latest by ``ts, decision_id`` is kept."""
+    order = F.struct(*(c for c in ("ts", "decision_id") if c in dismissals.columns), "reason")
+    found = dismissals.groupBy("conflict_id").agg(F.max_by("reason", order).alias("dismiss_reason"), F.lit(True).alias("met"))
+    d = conflicts.join(found, "conflict_id", "left")
+    return d.withColumn("status", F.when(F.col("met"), "DISMISSED").otherwise(F.col("status"))).drop("met")
 
 
 def _blocking(conflicts: DataFrame) -> DataFrame:

@@ -73,15 +73,12 @@ def line_chunks(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(*keep, F.posexplode(lines).alias("chunk_index", "text"))
 
 
-def table_text(cells: DataFrame, by: list[str], row: str = "row_index", values: str = "cells", rows_per_text: int = 1000) -> DataFrame:
-    """Table rows as ``a | b`` lines joined per table.
-
-    Long tables give several texts of ``rows_per_text`` rows, numbered ``part``."""
+def table_text(cells: DataFrame, by: list[str], row: str = "row_index", values: str = "cells") -> DataFrame:
+    """Table rows as ``a | b`` lines joined per table."""
     line = F.array_join(F.transform(values, lambda c: strip(F.coalesce(c, F.lit("")))), " | ")
     d = cells.withColumn("line", line).filter(strip(F.replace("line", F.lit("|"), F.lit(""))) != "")
-    d = d.withColumn("part", F.floor(F.col(row) / rows_per_text))
     packed = F.sort_array(F.collect_list(F.struct(F.col(row).alias("r"), "line")))
-    return d.groupBy(*by, "part").agg(F.array_join(F.transform(packed, lambda x: x["line"]), "\n").alias("table_text"))
+    return d.groupBy(*by).agg(F.array_join(F.transform(packed, lambda x: x["line"]), "\n").alias("table_text"))
 
 
 def ingest(files: DataFrame, pages: DataFrame, dim: int = 128) -> dict[str, DataFrame]:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import null_if_blank
 from shelfmark.operators.delivery import check_schema
 
-MAX_CHILDREN = 10_000
 SECTIONS = ("attributes", "evidence", "validation", "conflicts", "review_history")
 
 
@@ -53,28 +52,17 @@ def _children(df: DataFrame, section: str, order: list[str]) -> DataFrame:
 
 
 def twin_json(products: DataFrame, attributes: DataFrame, evidence: DataFrame, validation: DataFrame, conflicts: DataFrame,
-              decisions: DataFrame, orders: dict[str, list[str]], max_children: int = MAX_CHILDREN) -> DataFrame:
-    """One JSON document per product: ``(product_id, part, parts, document)``.
-
-    All five child sections travel in one shuffle.  A product with more children
-    than ``max_children`` is written as several numbered parts, children spread by
-    hash, so nothing is lost and no task holds an unbounded document."""
+              decisions: DataFrame, orders: dict[str, list[str]]) -> DataFrame:
+    """One JSON document per product: ``(product_id, document)``; all five child sections travel in one shuffle."""
     tables = dict(zip(SECTIONS, (attributes, evidence, validation, conflicts, decisions)))
     long = reduce(lambda a, b: a.unionByName(b), [_children(t, s, orders[s]) for s, t in tables.items()])
-    big = (long.groupBy("product_id").agg(F.count("*").alias("n")).filter(F.col("n") > max_children)
-           .select("product_id", F.ceil(F.col("n") / max_children).cast("int").alias("parts")))
-    sized = products.join(big, "product_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    slots = sized.select("product_id", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    spread = long.join(big, "product_id", "left").withColumn(
-        "part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("section", "sort_key", "payload"), F.col("parts"))).cast("int"))
     lists = [F.array_join(F.transform(F.sort_array(F.collect_list(
         F.when(F.col("section") == s, F.struct("sort_key", "payload")))), lambda x: x["payload"]), ",").alias(s) for s in SECTIONS]
-    grouped = spread.groupBy("product_id", "part").agg(*lists)
     head = products.select("product_id", F.to_json(F.struct(*products.columns)).alias("head"))
-    d = slots.join(grouped, ["product_id", "part"], "left").join(head, "product_id")
+    d = head.join(long.groupBy("product_id").agg(*lists), "product_id", "left")
     body = [F.concat(F.lit(f',"{s}":['), F.coalesce(F.col(s), F.lit("")), F.lit("]")) for s in SECTIONS]
     doc = F.concat(F.lit('{"version":"1.0","product":'), "head", *body, F.lit("}"))
-    return d.select("product_id", "part", "parts", doc.alias("document"))
+    return d.select("product_id", doc.alias("document"))
 
 
 def write_twin_json(documents: DataFrame, path: str) -> None:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,28 +31,34 @@ def overwrite_partitions(df: DataFrame, path: str, *partitions: str) -> None:
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))
 
 
-class Staging:
-    """Intermediate tables used by several consumers.
+def shared_folder(spark, name: str) -> str:
+    """Fresh folder in the one that ``spark.checkpoint.dir`` names. Only a local session without one gets a temporary folder.
+
+    The folder goes when the session ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
-    Written to the cluster's shared checkpoint folder when the session names one, so
-    a lost executor costs a read, not a recomputation; kept in Spark's cache otherwise."""
+
+class Staging:
+    """Intermediate tables used by several consumers, written to the shared folder: a lost executor costs a read."""
 
     def __init__(self, spark, folder: str | None = None):
         self.spark = spark
-        base = folder or spark.conf.get("spark.checkpoint.dir", None)
-        self.folder = f"{base}/shelfmark-{uuid.uuid4().hex}" if base else None
-        self.cached: list[DataFrame] = []
+        self.folder = folder or shared_folder(spark, "shelfmark")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        if self.folder:
-            path = f"{self.folder}/{name}"
-            df.write.mode("overwrite").parquet(path)
-            return self.spark.read.parquet(path)
-        held = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self.cached.append(held)
-        return held
+        path = f"{self.folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
-        for df in self.cached:
-            df.unpersist()
-        self.cached.clear()
+        """Removes the staged tables; only once nothing reads them any more."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text, units
 from shelfmark.functions.vocab import delivery_columns
 from shelfmark.operators import classify, extract, resolve
-from shelfmark.sources import defaults
+from shelfmark.plans.rules import rule_table
 
 NORMS = [
     ("voltage", "400 volts", "400 V"), ("voltage", "230VAC", "230 V AC"), ("voltage", "24 VDC", "24 V DC"), ("voltage", "0.4 kV", "400 V"),
@@ -55,7 +55,7 @@ def test_dimensions_are_read_whole(spark):
 
 
 def test_resolution_order(spark):
-    m = defaults.brand_master(spark)
+    m = rule_table(spark, [(0, "siemens", "Siemens"), (1, "schneider electric", "Schneider Electric")], ord="bigint", key="string", canonical="string")
     names = ["Siemens", "SIEMENS AG", "schn", "N/A", "O'NEIL TOOLS"]
     d = spark.createDataFrame(list(enumerate(names)), "i int, brand string")
     got = {r.brand: (r.brand_res.canonical_value, r.brand_res.confidence, r.brand_res.status) for r in resolve.resolve_brand(d, m).collect()}

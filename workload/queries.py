@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +31,8 @@ def query(name: str, sql: str | None = None):
 
 
 def scratch(spark: SparkSession) -> str:
-    """Fresh folder below the cluster's shared one; a temporary one only without it."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/queries-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """Fresh folder below the one all executors share."""
+    return store.shared_folder(spark, "queries")
 
 
 c = F.col
@@ -97,10 +93,10 @@ def _(spark, sf):
     return docs.line_chunks(views.documents(spark, sf)).select("document_id", "chunk_index", "text")
 
 
-@query("src_table_text", """SELECT l_orderkey, CAST(floor(l_linenumber / 1000) AS BIGINT) AS part, string_agg(line, chr(10) ORDER BY l_linenumber, line) AS table_text FROM (
+@query("src_table_text", """SELECT l_orderkey, string_agg(line, chr(10) ORDER BY l_linenumber, line) AS table_text FROM (
     SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN ' |  | ' ELSE
       CAST(l_partkey AS VARCHAR) || ' | ' || CASE WHEN l_suppkey % 2 = 0 THEN '' ELSE CAST(l_suppkey AS VARCHAR) END || ' | ' || l_linestatus END AS line FROM lineitem)
-    WHERE line <> ' |  | ' GROUP BY 1, 2""")
+    WHERE line <> ' |  | ' GROUP BY 1""")
 def _(spark, sf):
     blank = c("l_returnflag") == "R"
     cells = F.array(F.when(~blank, c("l_partkey").cast("string")), F.when(~blank & (c("l_suppkey") % 2 != 0), c("l_suppkey").cast("string")),
@@ -127,7 +123,7 @@ def twin_parts(spark, sf):
 
 
 @query("snk_twin_json", """SELECT p.product_id, p.part_number, coalesce(a.n, 0) AS n_attributes, coalesce(e.n, 0) AS n_evidence, coalesce(f.n, 0) AS n_conflicts,
-    coalesce(d.n, 0) AS n_decisions, coalesce(a.first_name, '') AS first_attribute, 1 AS parts FROM products p
+    coalesce(d.n, 0) AS n_decisions, coalesce(a.first_name, '') AS first_attribute FROM products p
     LEFT JOIN (SELECT product_id, count(*) AS n, min(name) AS first_name FROM attributes GROUP BY 1) a USING (product_id)
     LEFT JOIN (SELECT product_id, count(*) AS n FROM evidence GROUP BY 1) e USING (product_id)
     LEFT JOIN (SELECT product_id, count(*) AS n FROM conflicts GROUP BY 1) f USING (product_id)
@@ -143,7 +139,7 @@ def _(spark, sf):
 
     return doc.select("product_id", F.get_json_object("document", "$.product.part_number").alias("part_number"), n("attributes").alias("n_attributes"),
                       n("evidence").alias("n_evidence"), n("conflicts").alias("n_conflicts"), n("review_history").alias("n_decisions"),
-                      F.coalesce(F.get_json_object("document", "$.attributes[0].name"), F.lit("")).alias("first_attribute"), "parts")
+                      F.coalesce(F.get_json_object("document", "$.attributes[0].name"), F.lit("")).alias("first_attribute"))
 
 
 def scored(spark, sf):
@@ -953,7 +949,7 @@ sv.VIEWS["xsr"] = """SELECT product_id, attribute, n_values > 1 AS is_conflict,
       WHEN n_values > 1 THEN 'Conflicting values detected for ''' || attribute || ''' across sources: ' || parts || '.'
       ELSE 'Value ''' || matched || ''' consistently verified across ' || n_claims || ' sources (' || who || ').' END AS message FROM (
     SELECT product_id, attribute, count(*) AS n_values, CAST(sum(n) AS BIGINT) AS n_claims, arg_min(canonical, o) AS matched, arg_min(who, o) AS who, arg_min(raw, o) AS raw,
-      string_agg('''' || canonical || ''' (' || who || ')', ' vs ' ORDER BY o) AS parts FROM (
+      string_agg('''' || canonical || ''' (' || who || ')', ' vs ' ORDER BY o, canonical) AS parts FROM (
       SELECT product_id, attribute, canonical, count(*) AS n, min(claim_ord) AS o, arg_min(value, claim_ord) AS raw, string_agg(source_name, ', ' ORDER BY claim_ord) AS who FROM claims_z GROUP BY 1, 2, 3)
     GROUP BY 1, 2)"""
 
