@@ -72,13 +72,21 @@ def bounds_rule(name: Column, value: Column, normalized: Column) -> Column:
     return F.when(value.isNotNull() & first.isNotNull(), out)
 
 
+def _not_broken(check: Column) -> Column:
+    """A verdict without an answer becomes a failure of its own."""
+    broken = F.struct(check["rule"].alias("rule"), F.lit(False).alias("passed"), F.lit("FAILED").alias("status"), F.lit("HIGH").alias("severity"),
+                      F.concat(F.lit("Rule "), check["rule"], F.lit(" could not be evaluated.")).alias("message"))
+    return F.when(check.isNotNull() & check["passed"].isNull(), broken).otherwise(check)
+
+
 def row_rules(attributes: DataFrame, *extra: Callable[..., Column]) -> DataFrame:
     """Numeric, unit and bounds rules (and a caller's own) in one projection.
 
     An own rule takes ``(name, value, normalized_value, unit)`` columns and returns
-    a :func:`verdict`; a null verdict means the rule does not apply."""
+    a :func:`verdict`; a null verdict means the rule does not apply, one whose
+    ``passed`` is null that it broke on the value (write it with ``try_`` forms)."""
     n, v, z, u = (F.col(c) for c in ("name", "value", "normalized_value", "unit"))
-    checks = [numeric_rule(n, v), unit_rule(n, v, u), bounds_rule(n, v, z)] + [rule(n, v, z, u) for rule in extra]
+    checks = [numeric_rule(n, v), unit_rule(n, v, u), bounds_rule(n, v, z)] + [_not_broken(rule(n, v, z, u)) for rule in extra]
     long = attributes.select("product_id", n.alias("attribute"), F.explode(F.array_compact(F.array(*checks))).alias("r"))
     return long.select("product_id", "attribute", "r.*").select(*RESULT)
 

@@ -22,9 +22,9 @@ def decision_writer(out: str, attributes: Callable[[], DataFrame], conflicts: Ca
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{out}/decisions/batch_id={batch_id}")
-        log = spark.read.parquet(f"{out}/decisions").drop("batch_id").dropDuplicates(["decision_id"])
+        log = spark.read.parquet(f"{out}/decisions").drop("batch_id")
         touched = spark.read.parquet(f"{out}/decisions/batch_id={batch_id}").select("product_id").distinct()
-        mine = log.join(touched, "product_id", "left_semi")
+        mine = log.join(touched, "product_id", "left_semi").dropDuplicates(["decision_id"])
         a = attributes().join(touched, "product_id", "left_semi")
         c = conflicts().join(touched, "product_id", "left_semi")
         review.apply_decisions(a, mine).write.mode("overwrite").parquet(f"{out}/attributes/batch_id={batch_id}")

@@ -1007,9 +1007,18 @@ def _maker_rule(name, value, normalized, unit):
     return F.when(F.length(value).isNotNull(), validate.verdict("ShortValueCheck", F.length(value) <= 12, "MEDIUM", F.concat(F.lit("length "), F.length(value).cast("string"))))
 
 
-@query("val_rule_error")
+def _plain_number_rule(name, value, normalized, unit):
+    """Breaks on values that are no plain number."""
+    small = F.when(value.rlike(r"^[0-9]{1,9}(\.[0-9]{1,6})?$"), F.try_to_number(value, F.lit("999999999.999999")) < 100)
+    return F.when(value.isNotNull(), validate.verdict("SmallNumberCheck", small, "MEDIUM", F.concat(F.lit("Number "), value)))
+
+
+@query("val_rule_error", r"""SELECT product_id, name AS attribute, 'SmallNumberCheck' AS rule, coalesce(small, false) AS passed, CASE WHEN small THEN 'PASSED' ELSE 'FAILED' END AS status,
+    CASE WHEN small THEN 'LOW' WHEN small IS NULL THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+    CASE WHEN small IS NULL THEN 'Rule SmallNumberCheck could not be evaluated.' ELSE 'Number ' || value END AS message
+    FROM (SELECT product_id, name, value, CASE WHEN regexp_matches(value, '^[0-9]{1,9}(\.[0-9]{1,6})?$') THEN CAST(value AS DOUBLE) < 100 END AS small FROM attributes) WHERE value IS NOT NULL""")
 def _(spark, sf):
-    return validate.row_rules(views.attributes(spark, sf), _maker_rule).filter(c("rule") == "ShortValueCheck")
+    return validate.row_rules(views.attributes(spark, sf), _maker_rule, _plain_number_rule).filter(c("rule") == "SmallNumberCheck")
 
 
 sv.VIEWS["v_all"] = """SELECT product_id, attribute, rule, passed, status, severity, message FROM v_rows UNION ALL SELECT product_id, attribute, rule, passed, status, severity, message FROM v_required
