@@ -80,6 +80,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = (large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
                  .select("e.*").where("a <> b").distinct())
         now = stage(small, "links")
+        freed(spark)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break
