@@ -1,6 +1,7 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with notice templates. DataFrame functions only.
 
-A block is a line. For every template, all blocks are found that hold at least ``CONTAINED`` of the template's distinct words.
+A block is a line, or what stands around a line's end: as many words before and after it as the longest template has, less one, so a
+notice wrapped over lines stands whole in one, however short its lines are. For every template, all blocks are found that hold at least ``CONTAINED`` of the template's distinct words.
 Template words are ordered by how many blocks of the corpus hold them, rarest first; a block that meets the threshold must hold
 one of the first (length - needed + 1) words of the template (prefix filter), must hold as many template words as are needed
 (length filter), and from the place of its first shared word on enough words must be left in both (positional filter). Survivors
@@ -12,7 +13,7 @@ repeated ids do no harm; an empty table gives no rows; other columns of the inpu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import KEY, MARKS, lower_ascii, row_key, stage, words_between
@@ -31,6 +32,7 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
 ]
+START = "\ue000"  # marks the first word of a line
 CONTAINED = 80  # per cent of a template's distinct words
 
 
@@ -63,13 +65,27 @@ def phrase_places(rows: DataFrame) -> DataFrame:
     return at.select(*KEY, "i", found.alias("label")).where("label IS NOT NULL")
 
 
+def around_ends(text: Column, vocabulary: Column) -> Column:
+    """Template words that stand around each end of a line, as arrays."""
+    reach = max(len(t.split(" ")) for _, t in TEMPLATES) - 1
+    # the first word after an end is marked; unmarked, the words are the same, so places agree
+    marked = words_between(F.regexp_replace(text, "\n" + MARKS[:-1] + "*", " " + START), MARKS)
+    ends = F.filter(F.transform(marked, lambda w, k: F.when(w.startswith(START), k)), lambda k: k.isNotNull())
+    start = lambda k: F.greatest(k - reach, F.lit(0))
+    return F.transform(ends, lambda k: F.array_intersect(F.slice(F.col("all_words"), start(k) + 1, k + reach - start(k)), vocabulary))
+
+
 def blocks(rows: DataFrame) -> DataFrame:
-    """(key, line, held): template words that each line holds."""
+    """(key, line, held): template words that each line holds, and those around each end of a line (counted from -1 down)."""
     vocabulary = sorted({w for _, t in TEMPLATES for w in t.split(" ")})
     lines = rows.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line", "block"))
     held = F.array_intersect(F.split("block", MARKS), F.array(*map(F.lit, vocabulary)))
     need = min(needed(len(set(t.split(" ")))) for _, t in TEMPLATES)
-    return lines.select(*KEY, "line", held.alias("held")).where(F.size("held") >= need)
+    lines = lines.select(*KEY, "line", held.alias("held"))
+    # a generator, so that the words are cut once
+    several = rows.where(F.col("text").contains("\n")).select(*KEY, "text", F.explode(F.array(words_between(F.col("text"), MARKS))).alias("all_words"))
+    ends = several.select(*KEY, F.posexplode(around_ends(F.col("text"), F.array(*map(F.lit, vocabulary)))).alias("at", "held"))
+    return lines.unionByName(ends.select(*KEY, (-1 - F.col("at")).alias("line"), "held")).where(F.size("held") >= need)
 
 
 def needed(size: int, per_cent: int = CONTAINED) -> int:
