@@ -148,16 +148,34 @@ def spec_evidence(index: DataFrame, k: int = 4, dim: int = 128, queries=vocab.SP
                     (1_000_000 + F.col("e.q") * 1000 + F.col("e.rank")).cast("bigint").alias("claim_ord")))
 
 
-def retrieve_for_products(index: DataFrame, phrase: str, k: int = 5, minimum: float = 0.05, dim: int = 128) -> DataFrame:
-    """Top-k chunks of every product for one phrase, weak ones dropped."""
-    scored = index.withColumn("raw_score", similarity(F.col("embedding"), query_vector(phrase, dim))).drop("embedding")
-    return top_k(scored, k, ["product_id"]).filter(F.col("score") >= minimum)
+#: What a product's query asks after its own fields.
+ASKED = "technical specifications voltage current frequency mounting poles dimensions standards"
 
 
-def retrieve_and_extract(index: DataFrame, phrase: str, attributes=vocab.REPORTED_ATTRIBUTES, k: int = 5,
+def product_queries(products: DataFrame, dim: int = 128) -> DataFrame:
+    """(product_id, query, query_vector) from each product's own fields; empty ones are left out."""
+    own = [F.when(F.col(f) != "", F.col(f)) for f in ("brand", "part_number", "category", "description")]
+    d = products.select("product_id", F.trim(F.concat_ws(" ", *own, F.lit(ASKED))).alias("query"))
+    return d.withColumn("query_vector", dense_vector(F.col("query"), dim))
+
+
+def retrieve_for_products(index: DataFrame, products: DataFrame, k: int = 5, minimum: float = 0.05, dim: int = 128) -> DataFrame:
+    """Top-k chunks of every product for its own query, weak ones dropped; a product without a chunk searches all of them."""
+    queries = product_queries(products, dim)
+    dot = F.aggregate(F.zip_with("embedding", "query_vector", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    own = index.join(queries, "product_id")
+    without = queries.join(index.select("product_id").distinct(), "product_id", "left_anti")
+    every = index.drop("product_id").crossJoin(without)
+    scored = [d.withColumn("raw_score", dot).drop("embedding", "query_vector", "query") for d in (own, every)]
+    # each is ranked by itself, so an unfiltered search moves at most k rows per task and product
+    best = [top_k(d, k, ["product_id"]) for d in scored]
+    return best[0].unionByName(best[1]).filter(F.col("score") >= minimum)
+
+
+def retrieve_and_extract(index: DataFrame, products: DataFrame, attributes=vocab.REPORTED_ATTRIBUTES, k: int = 5,
                          minimum: float = 0.05, dim: int = 128) -> DataFrame:
     """Best-ranked value of each attribute in a product's retrieved chunks."""
-    top = retrieve_for_products(index, phrase, k, minimum, dim)
+    top = retrieve_for_products(index, products, k, minimum, dim)
     d = top.withColumn("attribute", F.explode(F.array(*[F.lit(a) for a in attributes])))
     d = d.withColumn("value", evidence_value(F.col("text"), F.col("attribute"))).filter(F.col("value") != "")
     best = F.min(F.struct("rank", "value", "evidence_id", "score"))

@@ -695,12 +695,9 @@ def _index(spark, sf):
     return retrieve.index_chunks(docs.line_chunks(views.documents(spark, sf)), DIM)
 
 
-PHRASE = "technical specifications voltage current frequency mounting poles the of and"
-
-
 @query("ext_retrieve_extract")
 def _(spark, sf):
-    found = retrieve.retrieve_and_extract(_index(spark, sf), PHRASE, dim=DIM)
+    found = retrieve.retrieve_and_extract(_index(spark, sf), views.products(spark, sf), dim=DIM)
     return found.select("product_id", "attribute", "value", "similarity")
 
 
