@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, embeddings, jaccard, languages, licenses, line_dedup, mixing, quality, substrings, warc
+from shelfmark.llm import credentials, decontaminate, embeddings, infill, jaccard, languages, licenses, line_dedup, mixing, quality, substrings, vector_codes, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -22,6 +22,10 @@ def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def sha256(text):
+    return F.sha2(text.cast("binary"), 256)
+
+
 @query("op1_substring_dedup", substrings.SQL)
 def _(spark, sf):
     return substrings.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -36,7 +40,7 @@ def _(spark, sf):
 def _(spark, sf):
     out = warc.resolve(warc.page_records(table(spark, sf, "pages")))
     told = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
-    return out.select("record_id", "url", "outcome", "response_id", told.alias("headers"), F.sha2(F.col("payload").cast("binary"), 256).alias("payload_sha256"))
+    return out.select("record_id", "url", "outcome", "response_id", told.alias("headers"), sha256(F.col("payload")).alias("payload_sha256"))
 
 
 @query("op4_quality_neighbours")
@@ -67,9 +71,27 @@ def _(spark, sf):
 @query("op9_line_dedup")
 def _(spark, sf):
     out = line_dedup.dedup_lines(table(spark, sf, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", sha256(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
 @query("op10_license_scan", licenses.SQL)
 def _(spark, sf):
     return licenses.scan(table(spark, sf, "documents"))
+
+
+@query("op11_vector_codes", vector_codes.SQL)
+def _(spark, sf):
+    return vector_codes.compressed(table(spark, sf, "embeddings"))
+
+
+@query("op12_fill_in_middle", infill.SQL)
+def _(spark, sf):
+    out = infill.fill_in_middle(table(spark, sf, "documents"))
+    text = infill.restored(F.col("form"), F.col("output"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256(F.col("output")).alias("output_sha256"), sha256(text).alias("restored_sha256"))
+
+
+@query("op13_secret_scan", credentials.SQL)
+def _(spark, sf):
+    out = credentials.scan(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", sha256(F.col("base_spans")).alias("base_sha256"), "spans", "n_live", "n_example")
