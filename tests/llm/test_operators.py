@@ -1,11 +1,9 @@
 """Operators against their SQL or a brute-force version, on odd small tables: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import random
-from itertools import combinations
 
 import duckdb
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from shelfmark.llm import common, decontaminate, embeddings, jaccard, languages, licenses, line_dedup, mixing, quality, substrings, warc
@@ -152,44 +150,52 @@ def test_revisits(spark):
     assert all(x["response_id"] == x["record_id"] // 9 * 9 for x in warc.resolve(one).collect())
 
 
-def brute_lines(rows):
-    """Text of each row as line dedup leaves it; rows in the order of the operator."""
+def edits(a, b):
+    """Edit distance; what both begin and end with makes no difference."""
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(d[j] + 1, new[-1] + 1, d[j - 1] + (x != y)))
+        d = new
+    return d[-1]
+
+
+def reduced(line):
     import re
-    words = lambda x: [w for w in x.lower().strip("\t\r ").split(" ") if w] if re.search(r"[0-9A-Za-z\x80-\U0010ffff]", x) else []
-
-    def sim(ws):
-        hs = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in ws]
-        return sum((2 * sum(h >> b & 1 for h in hs) > len(hs)) << b for b in range(line_dedup.BITS))
-
-    def edit(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row = [i] + [0] * len(b) if not row else [i, *row[1:]]
-        d = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(d[j] + 1, new[-1] + 1, d[j - 1] + (x != y)))
-            d = new
-        return d[-1]
-
-    lines = {}
-    for _, t in rows:
-        for x in (t or "").split("\n"):
-            if words(x):
-                lines.setdefault(" ".join(words(x)), None)
-    names = list(lines)
-    sims, top = [sim(x.split(" ")) for x in names], {x: x for x in names}
+    return " ".join(w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", line.lower()) if w)
+
+
+def brute_lines(rows):
+    """Text of each row as line dedup leaves it, by edit similarity alone; rows in the order of the operator."""
+    import zlib
+
+    import numpy as np
+    names = list({reduced(x): None for _, t in rows for x in (t or "").split("\n") if reduced(x)})
+    top = {x: x for x in names}
     find = lambda x: x if top[x] == x else find(top[x])
-    for i, j in combinations(range(len(names)), 2):
-        a, b = names[i], names[j]
-        if (sims[i] ^ sims[j]).bit_count() <= line_dedup.DIFFER and edit(a, b) <= 0.1 * max(len(a), len(b)) + 1e-9:
-            top[find(a)] = find(b)
+    # an edit takes away three character triples and brings three others at most, so pairs further apart need no look
+    triples = np.zeros((len(names), 512), np.int16)
+    for i, x in enumerate(names):
+        for k in range(len(x) - 2):
+            triples[i, zlib.crc32(x[k:k + 3].encode()) % 512] += 1
+    sizes = np.array([len(x) for x in names])
+    for i in range(len(names)):
+        limit = 0.1 * np.maximum(sizes[i], sizes[i + 1:]) + 1e-9
+        near = np.flatnonzero(np.abs(sizes[i + 1:] - sizes[i]) <= limit)
+        near = near[np.abs(triples[i + 1 + near] - triples[i]).sum(1) <= 6 * limit[near]]
+        for j in near:
+            if edits(names[i], names[i + 1 + j]) <= limit[j]:
+                top[find(names[i])] = find(names[i + 1 + j])
     seen, out = set(), {}
     for doc_id, t in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0])):
         kept = []
         for x in (t or "").split("\n"):
-            g = find(" ".join(words(x))) if words(x) else None
+            g = find(reduced(x)) if reduced(x) else None
             if g is None or g not in seen:
                 kept.append(x)
             if g is not None:
@@ -200,7 +206,7 @@ def brute_lines(rows):
 
 def test_lines(spark, odd):
     words = [sentence(60) for _ in range(6)]
-    edited = [" " + w.replace(" ", "  ", 3) + "\t" for w in words] + [" ".join([*w.split(" ")[:-1], "zz"]) for w in words] + [w.upper() for w in words]
+    edited = [" " + w.replace(" ", "  ", 3) + "!\t" for w in words] + [" ".join([*w.split(" ")[:-1], "zz"]) for w in words] + [w.upper() for w in words]
     texts = ["\n".join(words[:3] + ["a", "..."]), "\n".join(edited[:9]), "\n".join(edited[9:] + words), None, "", "\n\n", "a\na\nb"]
     rows = [(k, t) for k, t in enumerate(texts)] + [(0, texts[0]), (None, None), (None, "fresh line here\nb")]
     d = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, n_lines int, line int, gone string")
@@ -217,13 +223,16 @@ def test_lines(spark, odd):
     assert line_dedup.dedup_lines(d.where("false")).count() == 0 and line_dedup.dedup_lines(odd).count() == odd.count()
 
 
-def test_long_lines_are_counted_in_chunks(spark):
-    rows = [(1, sentence(1800)), (2, sentence(511)), (3, sentence(512))]
-    got = {r["key_id"]: r["sim"] for r in line_dedup.occurrences(spark.createDataFrame(rows, "doc_id long, text string").select(*common.row_key(F.col("doc_id"), F.col("text")), "text")).collect()}
-    for k, t in rows:
-        ws = t.lower().split(" ")
-        hs = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in ws]
-        assert got[k] == sum((2 * sum(h >> b & 1 for h in hs) > len(hs)) << b for b in range(63))
+def test_long_lines_are_compared_whole(spark):
+    lines = [sentence(n) for n in (1800, 511, 512)]
+    # far from each other's starts and ends
+    other = [" ".join([*x.split(" ")[:n // 2], "quite", "other", *x.split(" ")[n // 2:]]) for x, n in zip(lines, (1800, 511, 512))]
+    half = [" ".join(w if k % 2 else w + "zz" for k, w in enumerate(x.split(" "))) for x in lines]
+    rows = list(enumerate(["\n".join(lines), "\n".join(other), "\n".join(half)]))
+    want = brute_lines(rows)
+    assert want[rows[1]] == [""] and want[rows[2]] == [rows[2][1]]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: want[(k, t)][0] for k, t in rows}
 
 
 SF = "/root/testdata/sf0.01"
