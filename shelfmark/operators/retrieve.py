@@ -1,21 +1,26 @@
 """Evidence retrieval over a chunk table with unit vectors.
 
-Search phrases are known when a plan is built, so their vectors are literals and
-scoring is a projection over the chunks.  Top-k ranks inside each group with
-``row_number() <= k``, which Spark prunes before the shuffle: a hot product or an
-unfiltered search moves at most k rows per task and phrase."""
+Requests are a table: an id, a query and equality filters. A filtered request meets its chunks by an equi join on one of its
+fields; the rest of its filters are checked on the pairs. A request without filters, or whose filters match nothing where that is wanted, is searched in
+all chunks: query vectors go out in groups of bounded size, and each task compares them with blocks of chunks. The largest weight of each bucket in a
+block bounds every score in it, so a block that can't reach a query's k-th score so far, or the least score asked for, is
+skipped for that query. Scores are narrow rows (request, chunk, score), cut to k in each task before they are shuffled."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import vocab
 from shelfmark.functions.embedding import dense_vector, query_vector, similarity
 from shelfmark.functions.text import strip
 from shelfmark.operators.extract import evidence_value
+from shelfmark.sources.store import Staging
 
 SCORE_DIGITS = 4
 
@@ -45,20 +50,15 @@ def index_chunks(chunks: DataFrame, dim: int = 128, element: str = "double") ->
             .withColumn("embedding", dense_vector(F.col("text"), dim, element)))
 
 
-def write_index(index: DataFrame, table: str, buckets: int = 64) -> None:
-    """Bucketed by product, so product-filtered search reads and joins without a shuffle."""
-    (index.write.mode("overwrite").bucketBy(buckets, "product_id").sortBy("product_id").saveAsTable(table))
-
-
 def _order(*tie: str):
     return [F.round("raw_score", 8).desc(), *[F.col(t).asc() for t in tie]]
 
 
-def top_k(scored: DataFrame, k: int, by: list[str], tie: str = "evidence_id") -> DataFrame:
-    """Best k rows per group; equal scores go by id."""
+def top_k(scored: DataFrame, k: int, by: list[str], tie: str = "evidence_id", digits: int | None = SCORE_DIGITS) -> DataFrame:
+    """Best k rows per group; equal scores go by id. Without ``digits`` the raw score stays."""
     w = Window.partitionBy(*by).orderBy(*_order(tie))
-    return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .withColumn("score", F.round("raw_score", SCORE_DIGITS)).drop("raw_score"))
+    best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best if digits is None else best.withColumn("score", F.round("raw_score", digits)).drop("raw_score")
 
 
 def search(chunks: DataFrame, query: dict[int, float] | str, k: int = 5, filters: dict | None = None,
@@ -79,46 +79,181 @@ def _filtered(chunks: DataFrame, filters: dict) -> DataFrame:
     return chunks
 
 
-def _scores(chunks: DataFrame, requests: list[Request], dim: int, vector: str, filtered: bool) -> DataFrame:
-    """One row per chunk and request it may answer."""
-    cells = []
-    for r in requests:
-        cell = F.struct(F.lit(r.request_id).alias("request_id"),
-                        similarity(F.col(vector), query_vector(r.text, dim)).alias("raw_score"))
-        if filtered:
-            for column, value in r.filters.items():
-                cell = F.when(F.col(column) == F.lit(value), cell)
-        cells.append(cell)
-    keep = [c for c in chunks.columns if c != vector]
-    return chunks.select(*keep, F.explode(F.array_compact(F.array(*cells))).alias("s")).select(*keep, "s.*")
-
-
-def search_batch(chunks: DataFrame, requests: list[Request], k: int = 5, dim: int = 128,
-                 vector: str = "embedding", tie: str = "evidence_id") -> DataFrame:
-    """Filtered top-k for a request batch in one pass over the chunks."""
-    return top_k(_scores(chunks, requests, dim, vector, True), k, ["request_id"], tie)
-
-
-def search_with_fallback(chunks: DataFrame, requests: list[Request], k: int = 5, dim: int = 128,
-                         vector: str = "embedding", tie: str = "evidence_id") -> DataFrame:
-    """As :func:`search_batch`; requests whose filters match nothing search everything.
-
-    Both rankings come from one pass over the chunks."""
-    inside = F.lit(False)
-    for r in requests:
-        ok = F.lit(True)
-        for column, value in r.filters.items():
-            ok = ok & F.coalesce(F.col(column) == F.lit(value), F.lit(False))
-        inside = F.when(F.col("request_id") == r.request_id, ok).otherwise(inside)
-    scored = _scores(chunks, requests, dim, vector, False).withColumn("in_filter", inside)
-    best = top_k(scored, k, ["request_id", "in_filter"], tie)
-    hit = best.groupBy("request_id").agg(F.max("in_filter").alias("any_hit"))
-    return best.join(hit, "request_id").filter(F.col("in_filter") == F.col("any_hit")).select(
-        *[c for c in best.columns if c != "in_filter"], (~F.col("any_hit")).alias("is_fallback"))
+#: Fields of a chunk that a filter must match; others are matched where a chunk has them.
+STRICT = ("product_id", "document_id", "document_name")
+#: Query vectors sent to the tasks at once, in numbers, and chunks whose weights are bounded together.
+SENT, BLOCK = 1 << 22, 64
+
+
+def request_table(spark: SparkSession, requests: list[Request]) -> DataFrame:
+    """(request_id, query, filters) of requests given one by one."""
+    rows = [(r.request_id, r.text, {k: None if v is None else str(v) for k, v in r.filters.items()}) for r in requests]
+    return spark.createDataFrame(rows, "request_id int, query string, filters map<string,string>")
+
+
+def with_query_vector(requests: DataFrame, dim: int = 128) -> DataFrame:
+    """Requests with a query, and its vector."""
+    d = requests.withColumn("query", strip(F.col("query"))).filter(F.col("query") != "")
+    return d if "query_vector" in requests.columns else d.withColumn("query_vector", dense_vector(F.col("query"), dim))
+
+
+def _dot(a: str, b: str, dim: int) -> Column:
+    """Unrolled, so it stays in generated code; in 0..1."""
+    total = F.lit(0.0)
+    for i in range(dim):
+        total = total + F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
+
+
+def _known(index: DataFrame, metadata: tuple[str, ...]) -> list[str]:
+    return [f for f in (*STRICT, *metadata) if f in index.columns]
+
+
+def _leading(fields: list[str]) -> Column:
+    """The field by which a request meets its chunks: the first it filters on, null without any."""
+    return F.coalesce(*[F.when(F.map_contains_key("filters", F.lit(f)), F.lit(f)) for f in fields], F.lit(None).cast("string"))
+
+
+def filtered_scores(index: DataFrame, requests: DataFrame, metadata: tuple[str, ...] = (), dim: int = 128, key: str = "evidence_id", vector: str = "embedding") -> DataFrame:
+    """(request_id, key, raw_score) of all chunks that meet a request's filters; requests without a known field have none here."""
+    fields = _known(index, metadata)
+    asked = requests.withColumn("lead", _leading(fields))
+    # few rows whatever the input: names of fields
+    used = [r[0] for r in asked.where("lead IS NOT NULL").select("lead").distinct().collect()]
+    out = None
+    for lead in sorted(used):
+        own = asked.where(F.col("lead") == lead).select("request_id", "query_vector", "filters", F.element_at("filters", F.lit(lead)).alias("wanted"))
+        chunks = index.select(key, vector, *fields)
+        if lead in STRICT:
+            own = own.withColumn("wanted", F.col("wanted").try_cast(index.schema[lead].dataType))
+            met = chunks.join(own, F.col(lead) == F.col("wanted"))
+        else:
+            # a chunk without the field meets all values of it
+            own = own.withColumn("wanted", F.explode(F.array(F.concat(F.lit("="), "wanted"), F.lit("none"))))
+            met = chunks.withColumn("has", F.coalesce(F.concat(F.lit("="), F.col(lead).cast("string")), F.lit("none"))).join(own, F.col("has") == F.col("wanted"))
+        for f in fields:
+            if f != lead:
+                value, same = F.element_at("filters", F.lit(f)), F.col(f).cast("string") == F.element_at("filters", F.lit(f))
+                free = ~F.map_contains_key("filters", F.lit(f)) if f in STRICT else ~F.map_contains_key("filters", F.lit(f)) | F.col(f).isNull()
+                met = met.where(free | F.coalesce(same & value.isNotNull(), F.lit(False)))
+        met = met.select("request_id", key, _dot(vector, "query_vector", dim).alias("raw_score"))
+        out = met if out is None else out.unionByName(met)
+    if out is None:
+        return index.select(F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), key, F.lit(0.0).alias("raw_score")).where("false")
+    return out
+
+
+def _best_of_blocks(queries, k: int, least: float, kind: pa.DataType):
+    """Best k rows of a task for each query, by blocks of rows whose largest weights bound their scores."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = queries.value
+        floor = np.full(len(ids), least)
+        held: list[list] = [[] for _ in ids]
+        for batch in batches:
+            keys, vectors = batch.column(0), batch.column(1)
+            ok = np.flatnonzero(np.diff(vectors.offsets.to_numpy()) == q.shape[1])
+            if not len(ok) or not len(ids):
+                continue
+            x = vectors.take(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ok), -1)
+            # rows of one main bucket stand together, so a block's largest weights say more
+            order = np.argsort(x.argmax(1), kind="stable")
+            x, names = x[order], keys.take(pa.array(ok[order])).to_pylist()
+            for at in range(0, len(x), BLOCK):
+                rows = x[at:at + BLOCK]
+                top, low = rows.max(0), rows.min(0)
+                bound = np.where(q > 0, q * top, q * low).sum(1)
+                may = np.flatnonzero(np.minimum(np.maximum(np.round(bound, 8), 0), 1) + 2e-8 >= floor)
+                if not len(may):
+                    continue
+                scores = np.round(np.clip(rows @ q[may].T, 0, 1), 8)
+                reach = scores >= floor[may]
+                for j in np.flatnonzero(reach.any(0)).tolist():
+                    i, some = may[j], np.flatnonzero(reach[:, j])
+                    best = held[i] + [(-float(scores[r, j]), names[at + r]) for r in some.tolist()]
+                    best.sort()
+                    held[i] = best[:k]
+                    if len(best) >= k:
+                        floor[i] = max(least, -held[i][-1][0])
+        rows = [(i, n, -s) for i, best in zip(ids, held) for s, n in best]
+        columns = list(zip(*rows)) if rows else ([], [], [])
+        yield pa.record_batch({"place": pa.array(columns[0], pa.int64()), "key": pa.array(columns[1], kind), "raw_score": pa.array(columns[2], pa.float64())})
+
+    return run
+
+
+def search_all(index: DataFrame, requests: DataFrame, k: int = 5, least: float = -1.0, key: str = "evidence_id", vector: str = "embedding") -> DataFrame:
+    """(request_id, key, raw_score): best k of all chunks for every request, of those with ``least`` or more. Equal queries are searched once."""
+    spark = index.sparkSession
+    asked = requests.select("request_id", "query_vector", F.xxhash64("query_vector").alias("place"))
+    distinct = Staging(spark).keep(asked.groupBy("query_vector").agg(F.min("place").alias("place")), "queries")
+    size = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query_vector")).alias("dim"), F.count_distinct("place").alias("places")).first()
+    if not size["n"]:
+        return index.select(F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), key, F.lit(0.0).alias("raw_score")).where("false")
+    if size["places"] < size["n"]:
+        raise ValueError("two queries share a hash")
+    groups, group = 1, lambda n: F.pmod("place", F.lit(n))
+    # as many groups as keep each within what is sent at once
+    while size["n"] * size["dim"] > SENT and distinct.groupBy(group(groups).alias("g")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] * size["dim"] > SENT:
+        groups *= 2
+    kind = spark.createDataFrame([], index.select(key).schema).toArrow().schema.field(key).type
+    out = None
+    for g in range(groups):
+        rows = distinct.where(group(groups) == g).select("place", "query_vector").collect()
+        if not rows:
+            continue
+        sent = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
+        best = index.select(key, vector).mapInArrow(_best_of_blocks(sent, k, least, kind), f"place long, key {index.schema[key].dataType.simpleString()}, raw_score double")
+        out = best if out is None else out.unionByName(best)
+    w = Window.partitionBy("place").orderBy(*_order("key"))
+    out = out.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
+    return out.join(asked.select("request_id", "place"), "place").select("request_id", F.col("key").alias(key), "raw_score")
+
+
+def search_requests(index: DataFrame, requests: DataFrame, k: int = 5, metadata: tuple[str, ...] = (), fallback: bool = False, least: float = -1.0, dim: int = 128,
+                    key: str = "evidence_id", vector: str = "embedding") -> DataFrame:
+    """(request_id, key, score, rank, is_fallback): best k chunks of every request, equal scores by key.
+
+    ``requests(request_id, query, filters)``; an empty query finds nothing. With ``fallback``, a request whose filters match no chunk searches all.
+    ``index`` is read several times, so it should be a stored table (see ``ChunkIndex``)."""
+    spark = index.sparkSession
+    asked = Staging(spark).keep(with_query_vector(requests, dim), "requests")
+    scored = filtered_scores(index, asked, metadata, dim, key, vector)
+    lowest = least - 0.5 * 10 ** -SCORE_DIGITS  # rounded, it may reach the least score
+    best = Staging(spark).keep(top_k(scored, k, ["request_id"], key, digits=None), "best")
+    free = asked.where(_leading(_known(index, metadata)).isNull())
+    best = best.withColumn("is_fallback", F.lit(False))
+    every = top_k(search_all(index, free, k, lowest, key, vector), k, ["request_id"], key, digits=None).withColumn("is_fallback", F.lit(False))
+    if fallback:
+        missed = asked.where(_leading(_known(index, metadata)).isNotNull()).join(best.select("request_id").distinct(), "request_id", "left_anti")
+        back = top_k(search_all(index, missed, k, lowest, key, vector), k, ["request_id"], key, digits=None).withColumn("is_fallback", F.lit(True))
+        every = every.unionByName(back)
+    return best.unionByName(every).withColumn("score", F.round("raw_score", SCORE_DIGITS)).where(F.col("score") >= least).select("request_id", key, "score", "rank", "is_fallback")
+
+
+def chunks_of(hits: DataFrame, index: DataFrame, key: str = "evidence_id") -> DataFrame:
+    """Found chunks with all their columns but the vector."""
+    return hits.join(index.drop("embedding"), key)
+
+
+def search_batch(chunks: DataFrame, requests: list[Request], k: int = 5, dim: int = 128, vector: str = "embedding", tie: str = "evidence_id") -> DataFrame:
+    """Filtered top-k of requests given one by one."""
+    hits = search_requests(chunks, request_table(chunks.sparkSession, requests), k, _asked_fields(requests), False, dim=dim, key=tie, vector=vector)
+    return hits.drop("is_fallback").join(chunks.drop(vector), tie)
+
+
+def search_with_fallback(chunks: DataFrame, requests: list[Request], k: int = 5, dim: int = 128, vector: str = "embedding", tie: str = "evidence_id") -> DataFrame:
+    """As :func:`search_batch`; requests whose filters match nothing search everything."""
+    hits = search_requests(chunks, request_table(chunks.sparkSession, requests), k, _asked_fields(requests), True, dim=dim, key=tie, vector=vector)
+    return hits.join(chunks.drop(vector), tie)
+
+
+def _asked_fields(requests: list[Request]) -> tuple[str, ...]:
+    return tuple(sorted({f for r in requests for f in r.filters} - set(STRICT)))
 
 
 def spec_requests(queries=vocab.SPEC_QUERIES) -> list[tuple[int, str, str]]:
-    flat = [(attribute, phrase) for attribute, phrases in queries.items() for phrase in phrases]
+    """(number, attribute, question) of all attributes that a chunk can answer."""
+    flat = [(attribute, phrase) for attribute, phrases in queries.items() for phrase in phrases if attribute == "material" or attribute in vocab.EVIDENCE_PATTERNS]
     return [(i, attribute, phrase) for i, (attribute, phrase) in enumerate(flat)]
 
 
@@ -152,24 +287,17 @@ def spec_evidence(index: DataFrame, k: int = 4, dim: int = 128, queries=vocab.SP
 ASKED = "technical specifications voltage current frequency mounting poles dimensions standards"
 
 
-def product_queries(products: DataFrame, dim: int = 128) -> DataFrame:
-    """(product_id, query, query_vector) from each product's own fields; empty ones are left out."""
+def product_requests(products: DataFrame) -> DataFrame:
+    """A request of every product for its own chunks, from its own fields; empty ones are left out."""
     own = [F.when(F.col(f) != "", F.col(f)) for f in ("brand", "part_number", "category", "description")]
-    d = products.select("product_id", F.trim(F.concat_ws(" ", *own, F.lit(ASKED))).alias("query"))
-    return d.withColumn("query_vector", dense_vector(F.col("query"), dim))
+    query = F.concat_ws(" ", *own, F.lit(ASKED))
+    return products.select(F.col("product_id").alias("request_id"), query.alias("query"), F.create_map(F.lit("product_id"), F.col("product_id").cast("string")).alias("filters"))
 
 
 def retrieve_for_products(index: DataFrame, products: DataFrame, k: int = 5, minimum: float = 0.05, dim: int = 128) -> DataFrame:
     """Top-k chunks of every product for its own query, weak ones dropped; a product without a chunk searches all of them."""
-    queries = product_queries(products, dim)
-    dot = F.aggregate(F.zip_with("embedding", "query_vector", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    own = index.join(queries, "product_id")
-    without = queries.join(index.select("product_id").distinct(), "product_id", "left_anti")
-    every = index.drop("product_id").crossJoin(without)
-    scored = [d.withColumn("raw_score", dot).drop("embedding", "query_vector", "query") for d in (own, every)]
-    # each is ranked by itself, so an unfiltered search moves at most k rows per task and product
-    best = [top_k(d, k, ["product_id"]) for d in scored]
-    return best[0].unionByName(best[1]).filter(F.col("score") >= minimum)
+    hits = search_requests(index, product_requests(products), k, fallback=True, least=minimum, dim=dim)
+    return chunks_of(hits.withColumnRenamed("request_id", "product_id"), index.drop("product_id"))
 
 
 def retrieve_and_extract(index: DataFrame, products: DataFrame, attributes=vocab.REPORTED_ATTRIBUTES, k: int = 5,

@@ -65,7 +65,7 @@ def discover(identified: DataFrame, rules: Rules) -> DataFrame:
         F.col("tax.confidence").alias("taxonomy_confidence"), F.col("tax.status").alias("taxonomy_status"))
 
 
-def gather_claims(products: DataFrame, rules: Rules, documents: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+def gather_claims(products: DataFrame, rules: Rules, documents: DataFrame | None, stage: Staging) -> tuple[DataFrame, DataFrame | None]:
     """Claims from the description and, where a product has documents, from them too.
 
     ``documents(document_id, document_name, product_id, page_number, text)``."""
@@ -75,7 +75,8 @@ def gather_claims(products: DataFrame, rules: Rules, documents: DataFrame | None
     index = None
     if documents is not None:
         own = documents.join(products.select("product_id"), "product_id", "left_semi")
-        index = retrieve.index_chunks(line_chunks(own), rules.dim)
+        # read for its vectors, for its texts and as a result
+        index = stage.keep(retrieve.index_chunks(line_chunks(own), rules.dim), "index")
         parts.append(retrieve.spec_evidence(index, dim=rules.dim))
     return cl.union_claims(*parts), index
 
@@ -95,7 +96,7 @@ def enrich(feed: DataFrame, rules: Rules, documents: DataFrame | None = None, st
     spark = feed.sparkSession
     stage = staging or Staging(spark)
     base = stage.keep(discover(identify(feed, rules), rules), "base")
-    raw_claims, index = gather_claims(base, rules, documents)
+    raw_claims, index = gather_claims(base, rules, documents, stage)
     claims = stage.keep(cl.with_canonical(raw_claims), "claims")
 
     found = best_attributes(claims).drop("similarity").withColumn("status", F.lit("VERIFIED"))

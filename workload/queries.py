@@ -13,6 +13,7 @@ from shelfmark.operators import (catalog, claims as cl, classify, delivery, desc
 from shelfmark.sources import documents as docs
 from shelfmark.sources import feed as fd
 from shelfmark.sources import sinks, store
+from shelfmark.sources.chunk_index import ChunkIndex
 from workload import sql_views as sv
 from workload import views
 
@@ -691,13 +692,48 @@ def _(spark, sf):
     return extract.without_evidence(views.products(spark, sf), views.documents(spark, sf))
 
 
-def _index(spark, sf):
-    return retrieve.index_chunks(docs.line_chunks(views.documents(spark, sf)), DIM)
+def _kept_index(spark, sf) -> ChunkIndex:
+    """The lines of all documents in a stored index."""
+    index = ChunkIndex(spark, f"{scratch(spark)}/index", DIM)
+    index.add(docs.line_chunks(views.documents(spark, sf)))
+    return index
 
 
-@query("ext_retrieve_extract")
+def _bucket(t: str, dim: int) -> str:
+    return f"CAST(('0x' || right(md5({t}), 8))::BIGINT % {dim} AS INT)"
+
+
+# Unit vectors of texts, in long form and as lists, of what has a key.
+def vector_views(name: str, source: str, key: str, text: str) -> None:
+    sv.VIEWS[f"{name}_tokens"] = rf"SELECT {key}, regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+') AS w FROM {source}"
+    sv.VIEWS[f"{name}_sparse"] = f"""SELECT {key}, bucket, sum(wt) AS w FROM (
+        SELECT {key}, {_bucket('tok', DIM)} AS bucket, wt FROM (SELECT {key}, unnest(w) AS tok, 1.0::DOUBLE AS wt FROM {name}_tokens
+          UNION ALL SELECT {key}, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || '_' || z[2])) AS tok, 1.5::DOUBLE FROM {name}_tokens WHERE len(w) > 1)) GROUP BY 1, 2"""
+    sv.VIEWS[f"{name}_vec"] = f"SELECT {key}, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS weight FROM {name}_sparse"
+    sv.VIEWS[f"{name}_dense"] = f"SELECT {key}, list_transform(range({DIM}), lambda b: coalesce(list_extract(map_extract(m, b), 1), 0.0)) AS v FROM (SELECT {key}, map(list(bucket::BIGINT), list(weight)) AS m FROM {name}_vec GROUP BY 1)"
+
+
+sv.VIEWS["line_ids"] = "SELECT *, 'ev_' || left(sha256(document_id || '|' || page_number || '|' || chunk_index), 24) AS evidence_id FROM lines"
+vector_views("line", "line_ids", "evidence_id", "text")
+_fields = "concat_ws(' ', nullif(brand, ''), nullif(part_number, ''), nullif(category, ''), nullif(description, ''), " + sv.lit(retrieve.ASKED) + ")"
+sv.VIEWS["product_asks"] = f"SELECT product_id AS ask_id, {_fields} AS ask FROM products"
+vector_views("product", "product_asks", "ask_id", "ask")
+
+
+def _reported_value(text: str) -> str:
+    known = " ".join(f"WHEN {sv.lit(a)} THEN {_evidence_value_sql(text, a)}" for a in vocab.REPORTED_ATTRIBUTES if a in vocab.EVIDENCE_PATTERNS)
+    return f"CASE attribute {known} WHEN 'material' THEN CASE " + " ".join(f"WHEN {sv.has(text, p)} THEN {sv.lit(v)}" for p, v in vocab.MATERIALS) + " END END"
+
+
+@query("ext_retrieve_extract", f"""SELECT product_id, attribute, arg_min(value, rank) AS value, arg_min(score, rank) AS similarity FROM (
+    SELECT product_id, attribute, rank, score, {_reported_value('text')} AS value FROM (
+        SELECT ask_id AS product_id, evidence_id, round(raw, 4) AS score, row_number() OVER (PARTITION BY ask_id ORDER BY round(raw, 8) DESC, evidence_id) AS rank FROM (
+            SELECT a.ask_id, l.evidence_id, least(1.0, list_dot_product(a.v, l.v)) AS raw FROM product_dense a, (SELECT evidence_id, product_id, v FROM line_ids JOIN line_dense USING (evidence_id)) l
+            WHERE l.product_id = a.ask_id OR a.ask_id NOT IN (SELECT doc_id FROM documents)) QUALIFY rank <= 5) h
+    JOIN (SELECT evidence_id, text FROM line_ids) USING (evidence_id), (VALUES {", ".join(f"({sv.lit(a)})" for a in vocab.REPORTED_ATTRIBUTES)}) r(attribute) WHERE score >= 0.05)
+    WHERE value <> '' GROUP BY 1, 2""")
 def _(spark, sf):
-    found = retrieve.retrieve_and_extract(_index(spark, sf), views.products(spark, sf), dim=DIM)
+    found = retrieve.retrieve_and_extract(_kept_index(spark, sf).read(), views.products(spark, sf), dim=DIM)
     return found.select("product_id", "attribute", "value", "similarity")
 
 
@@ -800,18 +836,6 @@ def _(spark, sf):
 # ---------------------------------------------------------------- retrieval
 
 
-def _bucket(t: str, dim: int) -> str:
-    return f"CAST(('0x' || right(md5({t}), 8))::BIGINT % {dim} AS INT)"
-
-
-sv.VIEWS["line_ids"] = "SELECT *, 'ev_' || left(sha256(document_id || '|' || page_number || '|' || chunk_index), 24) AS evidence_id FROM lines"
-sv.VIEWS["line_tokens"] = r"SELECT evidence_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM line_ids"
-sv.VIEWS["line_sparse"] = f"""SELECT evidence_id, bucket, sum(wt) AS w FROM (
-    SELECT evidence_id, {_bucket('tok', DIM)} AS bucket, wt FROM (SELECT evidence_id, unnest(w) AS tok, 1.0::DOUBLE AS wt FROM line_tokens
-      UNION ALL SELECT evidence_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || '_' || z[2])) AS tok, 1.5::DOUBLE FROM line_tokens WHERE len(w) > 1)) GROUP BY 1, 2"""
-sv.VIEWS["line_vec"] = "SELECT evidence_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY evidence_id)) AS weight FROM line_sparse"
-
-
 def _line_score(phrase: str) -> str:
     q = embedding.query_vector(phrase, DIM)
     cases = " ".join(f"WHEN {b} THEN {w!r}::DOUBLE" for b, w in q.items())
@@ -825,9 +849,25 @@ def _(spark, sf):
     return embedding.sparse_vectors(d, "evidence_id", "text", DIM).select("evidence_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
-@query("ret_index")
+# every seventh document comes again with other text, and toxic documents go
+sv.VIEWS["revised_lines"] = "SELECT * EXCLUDE (text), CASE WHEN document_id % 7 = 0 THEN 'Revised ' || text ELSE text END AS text FROM line_ids WHERE document_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+vector_views("revised", "revised_lines", "evidence_id", "text")
+
+
+def _toxic(spark, sf):
+    return views.table(spark, sf, "labels").filter("toxic = 1").select(c("doc_id").alias("document_id"))
+
+
+@query("ret_index", """SELECT evidence_id, document_id, product_id, CAST(length(text) AS INT) AS char_count, CAST(coalesce(n, 0) AS INT) AS n_buckets, round(coalesce(total, 0), 6) AS total
+    FROM revised_lines LEFT JOIN (SELECT evidence_id, count(*) AS n, sum(weight) AS total FROM revised_vec GROUP BY 1) USING (evidence_id)""")
 def _(spark, sf):
-    return _index(spark, sf).select("evidence_id", "document_id", "product_id", "char_count", F.size("embedding").alias("dim"))
+    index = _kept_index(spark, sf)
+    again = docs.line_chunks(views.documents(spark, sf).filter("document_id % 7 = 0")).withColumn("text", F.concat(F.lit("Revised "), "text"))
+    index.add(again)
+    index.delete(_toxic(spark, sf))
+    index.compact()
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6)
+    return index.read().select("evidence_id", "document_id", "product_id", "char_count", F.size(F.filter("embedding", lambda x: x > 0)).alias("n_buckets"), total.alias("total"))
 
 
 # a fixed search vector; the table of vectors is what grows
@@ -840,10 +880,34 @@ def _(spark, sf):
     return retrieve.search(views.table(spark, sf, "embeddings"), QUERY_VEC, 20, tie="vec_id").select("vec_id", "label", "score", "rank")
 
 
-@query("ret_filter", f"SELECT vec_id, label, round(raw, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(raw, 8) DESC, vec_id) AS rank FROM (SELECT vec_id, label, least(1.0, greatest(0.0, {_dot})) AS raw FROM embeddings)) WHERE rank <= 5")
+# A request of every part: by product, by document and name, by product and source; a few by name or source alone, and some that nothing meets.
+FILTER_ASKS = {
+    "product_id": "CASE WHEN p_partkey % 4 = 0 AND p_partkey % 400 <> 0 OR p_partkey % 4 = 3 AND p_partkey % 400 <> 3 THEN CAST(p_partkey AS {s}) END",
+    "document_id": "CASE WHEN p_partkey % 4 = 1 THEN CAST(p_partkey AS {s}) END",
+    "document_name": "CASE WHEN p_partkey % 8 = 1 OR p_partkey % 400 = 0 THEN concat('src', CAST(p_partkey % 20 AS {s}), ' manual.pdf') WHEN p_partkey % 4 = 2 THEN concat('src', CAST(p_partkey AS {s}), ' manual.pdf') END",
+    "source": "CASE WHEN p_partkey % 4 = 3 THEN concat('src', CAST(p_partkey % 20 AS {s})) END",
+    "no_such_field": "CASE WHEN p_partkey % 8 = 0 THEN 'x' END",
+}
+sv.VIEWS["part_asks"] = "SELECT p_partkey AS ask_id, p_name AS ask, " + ", ".join(f"{x.format(s='VARCHAR')} AS {k}" for k, x in FILTER_ASKS.items()) + " FROM part"
+vector_views("part", "part_asks", "ask_id", "ask")
+_met = " AND ".join(f"(a.{f} IS NULL OR a.{f} = CAST(l.{f} AS VARCHAR))" for f in ("document_id", "document_name", "source"))
+sv.VIEWS["part_pairs"] = (f"SELECT a.ask_id, l.evidence_id FROM part_asks a JOIN line_ids l ON a.product_id = CAST(l.product_id AS VARCHAR) WHERE {_met}"
+                          f" UNION ALL SELECT a.ask_id, l.evidence_id FROM part_asks a JOIN line_ids l ON a.document_id = CAST(l.document_id AS VARCHAR) WHERE a.product_id IS NULL AND {_met}"
+                          f" UNION ALL SELECT a.ask_id, l.evidence_id FROM part_asks a JOIN line_ids l ON a.document_name = l.document_name WHERE a.product_id IS NULL AND a.document_id IS NULL AND {_met}"
+                          f" UNION ALL SELECT a.ask_id, l.evidence_id FROM part_asks a JOIN line_ids l ON a.source = l.source WHERE a.product_id IS NULL AND a.document_id IS NULL AND a.document_name IS NULL")
+
+
+def _part_requests(spark, sf):
+    filters = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k), F.expr(x.format(s="STRING")).alias("v")) for k, x in FILTER_ASKS.items()]), lambda e: e["v"].isNotNull()))
+    return views.table(spark, sf, "part").select(c("p_partkey").alias("request_id"), c("p_name").alias("query"), filters.alias("filters"))
+
+
+@query("ret_filter", """SELECT ask_id AS request_id, evidence_id, round(raw, 4) AS score, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY round(raw, 8) DESC, evidence_id) AS rank FROM (
+        SELECT p.ask_id, p.evidence_id, least(1.0, coalesce(list_dot_product(a.v, l.v), 0.0)) AS raw FROM part_pairs p LEFT JOIN part_dense a USING (ask_id) LEFT JOIN line_dense l USING (evidence_id))) WHERE rank <= 5""")
 def _(spark, sf):
-    scored_ = views.table(spark, sf, "embeddings").withColumn("raw_score", embedding.similarity(c("embedding"), QUERY_VEC)).drop("embedding")
-    return retrieve.top_k(scored_, 5, ["label"], "vec_id").select("vec_id", "label", "score", "rank")
+    hits = retrieve.search_requests(_kept_index(spark, sf).read(), _part_requests(spark, sf), 5, ("source",), dim=DIM)
+    return hits.select("request_id", "evidence_id", "score", "rank")
 
 
 @query("ret_get_ids", "SELECT evidence_id, document_id, chunk_index FROM line_ids WHERE document_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -857,16 +921,24 @@ def _(spark, sf):
 
 @query("ret_delete_doc", "SELECT document_id, count(*) AS n_chunks FROM lines WHERE document_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1")
 def _(spark, sf):
-    gone = views.table(spark, sf, "labels").filter("toxic = 1").select(c("doc_id").alias("document_id"))
-    left = retrieve.without_documents(docs.line_chunks(views.documents(spark, sf)), gone)
-    return left.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
+    index = _kept_index(spark, sf)
+    index.delete(_toxic(spark, sf))
+    return index.read().groupBy("document_id").agg(F.count("*").alias("n_chunks"))
 
 
-@query("ret_count_clear", "SELECT count(*) AS n_chunks, count(DISTINCT document_id) AS n_documents, 0 AS after_clear FROM lines")
+@query("ret_count_clear", """SELECT 'added' AS step, count(*) AS n_chunks, count(DISTINCT document_id) AS n_documents FROM lines
+    UNION ALL SELECT 'deleted', count(*), count(DISTINCT document_id) FROM lines WHERE document_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+    UNION ALL SELECT 'cleared', 0, 0 UNION ALL SELECT 'added again', count(*), count(DISTINCT document_id) FROM lines WHERE document_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
 def _(spark, sf):
-    d = docs.line_chunks(views.documents(spark, sf))
-    return retrieve.index_size(d).withColumn("after_clear", F.lit(0)).unionByName(
-        retrieve.cleared(d).select(F.lit(0).cast("bigint").alias("n_chunks"), F.lit(0).cast("bigint").alias("n_documents"), F.lit(0).alias("after_clear")))
+    index = _kept_index(spark, sf)
+    told = lambda step: index.counts().select(F.lit(step).alias("step"), "n_chunks", "n_documents")
+    out = told("added")
+    index.delete(_toxic(spark, sf))
+    out = out.unionAll(told("deleted"))
+    index.clear()
+    out = out.unionAll(told("cleared"))
+    index.add(docs.line_chunks(views.documents(spark, sf).join(_toxic(spark, sf), "document_id", "left_semi")))
+    return out.unionAll(told("added again"))
 
 
 REQUESTS = [retrieve.Request(1, "rated voltage of the unit", {"source": "src3"}), retrieve.Request(2, "der die und", {"source": "no such source"}),
@@ -882,12 +954,21 @@ def _request_sql(r: retrieve.Request) -> str:
 
 @query("ret_fallback", " UNION ALL ".join(_request_sql(r) for r in REQUESTS))
 def _(spark, sf):
-    return retrieve.search_with_fallback(_index(spark, sf), REQUESTS, 5, DIM).select("request_id", "evidence_id", "score", "rank", "is_fallback")
+    return retrieve.search_with_fallback(_kept_index(spark, sf).read(), REQUESTS, 5, DIM).select("request_id", "evidence_id", "score", "rank", "is_fallback")
+
+
+_asks = [(q, a, [embedding.query_vector(p, DIM).get(b, 0.0) for b in range(DIM)]) for q, a, p in retrieve.spec_requests()]
+_spec_value = "CASE attribute " + " ".join(f"WHEN {sv.lit(a)} THEN {_evidence_value_sql('text', a)}" for a in vocab.SPEC_QUERIES if a in vocab.EVIDENCE_PATTERNS) + " WHEN 'material' THEN CASE " + " ".join(
+    f"WHEN {sv.has('text', p)} THEN {sv.lit(v)}" for p, v in vocab.MATERIALS) + " END END"
 
 
-@query("ret_multi_query")
+@query("ret_multi_query", f"""SELECT product_id, attribute, value, arg_min(evidence_id, (q, rank)) AS evidence_id, arg_min(score, (q, rank)) AS similarity FROM (
+    SELECT *, {_spec_value} AS value FROM (
+        SELECT product_id, evidence_id, text, q, attribute, round(raw, 4) AS score, row_number() OVER (PARTITION BY product_id, q ORDER BY round(raw, 8) DESC, evidence_id) AS rank FROM (
+            SELECT product_id, evidence_id, text, q, attribute, least(1.0, coalesce(list_dot_product(d.v, s.v), 0.0)) AS raw FROM line_ids LEFT JOIN line_dense d USING (evidence_id),
+                (VALUES {", ".join(f"({q}, {sv.lit(a)}, {[*map(float, v)]}::DOUBLE[])" for q, a, v in _asks)}) s(q, attribute, v)) QUALIFY rank <= 4)) WHERE value <> '' GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    return retrieve.spec_evidence(_index(spark, sf), dim=DIM).select("product_id", "attribute", "value", "evidence_id", "similarity")
+    return retrieve.spec_evidence(_kept_index(spark, sf).read(), dim=DIM).select("product_id", "attribute", "value", "evidence_id", "similarity")
 
 
 # ---------------------------------------------------------------- claims and conflicts
