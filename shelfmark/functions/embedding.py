@@ -1,7 +1,7 @@
 """Hashed bag-of-words vectors.
 
-Tokenising and hashing run in the JVM; one Arrow UDF packs the hashed buckets of
-a whole batch into unit vectors with a single numpy bincount.
+Tokenising runs in the JVM. One Arrow UDF hashes each different word and pair of a batch once and adds up
+their buckets in a single numpy bincount. Weights are multiples of a half, so vectors can be kept as small whole numbers.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from collections import defaultdict
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,30 +63,56 @@ def sparse_vectors(df: DataFrame, key: str, text: str, dim: int = 128) -> DataFr
     return summed.join(norms, key).select(key, "bucket", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def _pack(words: pd.Series, pairs: pd.Series, dim: int) -> np.ndarray:
-    total = np.zeros((len(words), dim))
-    for column, weight in ((words, WORD_WEIGHT), (pairs, PAIR_WEIGHT)):
-        sizes = column.map(lambda a: 0 if a is None else len(a)).to_numpy()
-        if sizes.sum() == 0:
-            continue
-        flat = np.concatenate([np.asarray(a, dtype=np.int64) for a in column if a is not None and len(a)])
-        rows = np.repeat(np.arange(len(column)), sizes)
-        total += weight * np.bincount(rows * dim + flat, minlength=len(column) * dim).reshape(-1, dim)
-    norm = np.linalg.norm(total, axis=1, keepdims=True)
-    return np.divide(total, norm, out=total, where=norm > 0)
+def _buckets(tokens: list[str], dim: int) -> np.ndarray:
+    return np.fromiter((int.from_bytes(hashlib.md5(t.encode()).digest(), "big") % dim for t in tokens), np.int64, len(tokens))
+
+
+def _counts(words: pa.Array, dim: int) -> np.ndarray:
+    """Twice the weight of each bucket, a row for each list of words."""
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(words), 0).to_numpy().astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    known, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(words)), sizes)
+    out = np.bincount(row * dim + _buckets(known, dim)[code], minlength=len(words) * dim) * int(2 * WORD_WEIGHT)
+    i = np.flatnonzero(row[1:] == row[:-1])
+    pair, at = np.unique(code[i] * max(len(known), 1) + code[i + 1], return_inverse=True)
+    told = [f"{known[p // len(known)]}_{known[p % len(known)]}" for p in pair.tolist()]
+    out += np.bincount(row[i] * dim + _buckets(told, dim)[at], minlength=len(words) * dim) * int(2 * PAIR_WEIGHT)
+    return out.reshape(-1, dim)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def hashed_counts(text: Column, dim: int = 128) -> Column:
+    """Twice the weights of a text's buckets, before they are made a unit vector."""
+
+    @F.arrow_udf("array<int>")
+    def count(words: pa.Array) -> pa.Array:
+        return _lists(_counts(words, dim).astype(np.int32))
+
+    return count(tokens(text))
+
+
+def length_of(counts: Column) -> Column:
+    return F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+
+
+def unit_vector(counts: Column, length: Column) -> Column:
+    return F.transform(counts, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
 
 
 def dense_vector(text: Column, dim: int = 128, element: str = "double") -> Column:
     """Unit vector of a text as an array column."""
 
-    @F.pandas_udf(f"array<{element}>")
-    def pack(words: pd.Series, pairs: pd.Series) -> pd.Series:
-        kind = np.float32 if element == "float" else np.float64
-        return pd.Series(list(_pack(words, pairs, dim).astype(kind)))
+    @F.arrow_udf(f"array<{element}>")
+    def pack(words: pa.Array) -> pa.Array:
+        total = _counts(words, dim).astype(np.float64)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        return _lists(np.divide(total, norm, out=total, where=norm > 0).astype(np.float32 if element == "float" else np.float64))
 
-    words = tokens(text)
-    return pack(F.transform(words, lambda t: bucket(t, dim)),
-                F.transform(word_pairs(words), lambda t: bucket(t, dim)))
+    return pack(tokens(text))
 
 
 def query_vector(text: str, dim: int = 128) -> dict[int, float]:

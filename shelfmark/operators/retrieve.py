@@ -40,14 +40,17 @@ def evidence_id(document_id: Column, page: Column, index: Column) -> Column:
     return F.concat(F.lit("ev_"), F.substring(F.sha2(key, 256), 1, 24))
 
 
-def index_chunks(chunks: DataFrame, dim: int = 128, element: str = "double") -> DataFrame:
-    """Non-blank chunks with id, length and embedding, ready to be written."""
+def named_chunks(chunks: DataFrame) -> DataFrame:
+    """Non-blank chunks with id and length."""
     d = chunks.withColumn("text", strip(F.col("text"))).filter(F.col("text") != "")
     own = F.col("evidence_id") if "evidence_id" in chunks.columns else F.lit(None).cast("string")
     made = evidence_id(F.col("document_id"), F.col("page_number"), F.col("chunk_index"))
-    return (d.withColumn("evidence_id", F.coalesce(own, made))
-            .withColumn("char_count", F.length("text"))
-            .withColumn("embedding", dense_vector(F.col("text"), dim, element)))
+    return d.withColumn("evidence_id", F.coalesce(own, made)).withColumn("char_count", F.length("text"))
+
+
+def index_chunks(chunks: DataFrame, dim: int = 128, element: str = "double") -> DataFrame:
+    """Non-blank chunks with id, length and embedding, ready to be written."""
+    return named_chunks(chunks).withColumn("embedding", dense_vector(F.col("text"), dim, element))
 
 
 def _order(*tie: str):
@@ -81,7 +84,7 @@ def _filtered(chunks: DataFrame, filters: dict) -> DataFrame:
 
 #: Fields of a chunk that a filter must match; others are matched where a chunk has them.
 STRICT = ("product_id", "document_id", "document_name")
-#: Query vectors sent to the tasks at once, in numbers, and chunks whose weights are bounded together.
+#: Query vectors sent to the tasks at once, in numbers, and chunks whose weights are bounded together. Up to SENT, filtered requests are sent too.
 SENT, BLOCK = 1 << 22, 64
 
 
@@ -119,18 +122,20 @@ def filtered_scores(index: DataFrame, requests: DataFrame, metadata: tuple[str,
     fields = _known(index, metadata)
     asked = requests.withColumn("lead", _leading(fields))
     # few rows whatever the input: names of fields
-    used = [r[0] for r in asked.where("lead IS NOT NULL").select("lead").distinct().collect()]
+    used = {r["lead"]: r["n"] for r in asked.where("lead IS NOT NULL").groupBy("lead").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = None
     for lead in sorted(used):
+        # so few requests that they go to the chunks; of more, both sides are shuffled
+        near = F.broadcast if used[lead] * (dim + 64) <= SENT else lambda d: d
         own = asked.where(F.col("lead") == lead).select("request_id", "query_vector", "filters", F.element_at("filters", F.lit(lead)).alias("wanted"))
         chunks = index.select(key, vector, *fields)
         if lead in STRICT:
             own = own.withColumn("wanted", F.col("wanted").try_cast(index.schema[lead].dataType))
-            met = chunks.join(own, F.col(lead) == F.col("wanted"))
+            met = chunks.join(near(own), F.col(lead) == F.col("wanted"))
         else:
             # a chunk without the field meets all values of it
             own = own.withColumn("wanted", F.explode(F.array(F.concat(F.lit("="), "wanted"), F.lit("none"))))
-            met = chunks.withColumn("has", F.coalesce(F.concat(F.lit("="), F.col(lead).cast("string")), F.lit("none"))).join(own, F.col("has") == F.col("wanted"))
+            met = chunks.withColumn("has", F.coalesce(F.concat(F.lit("="), F.col(lead).cast("string")), F.lit("none"))).join(near(own), F.col("has") == F.col("wanted"))
         for f in fields:
             if f != lead:
                 value, same = F.element_at("filters", F.lit(f)), F.col(f).cast("string") == F.element_at("filters", F.lit(f))

@@ -1,10 +1,10 @@
 """A maintained index of chunks with their vectors, in a folder all executors see.
 
-Every change is a numbered step. ``add`` writes a part, partitioned by a hash of the product, with vectors computed once;
-``delete`` writes the documents that go as tombstones; ``clear`` writes a step that ends everything before it. Files are never changed, a step counts once
-its folder is complete, and a reader sees the steps there are when it starts. Reading merges them: of chunks with one id the last step
-stays, and chunks of steps before a tombstone of their document are left out. ``compact`` writes what is read as a new base and ends what came before,
-so reads stay as cheap as the number of steps since. One writer at a time."""
+Every change is a numbered step. ``add`` writes a part where the chunks are, without a shuffle, their vectors computed once and kept as whole
+numbers and a length; ``delete`` writes the documents that go as tombstones; ``clear`` writes a step that ends everything before it.
+Files are never changed, a step counts once its folder is complete, and a reader sees the steps there are when it starts. Reading merges them: of chunks
+with one id the last step stays, and chunks of steps before a tombstone of their document are left out. ``compact`` writes what is read as a new base in
+files of even size and ends what came before, so reads stay as cheap as the number of steps since. One writer at a time."""
 
 from __future__ import annotations
 
@@ -14,16 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shelfmark.operators.retrieve import index_chunks
-
-BUCKETS = 64
+from shelfmark.functions.embedding import hashed_counts, length_of, unit_vector
+from shelfmark.operators.retrieve import named_chunks
 
 
 class ChunkIndex:
     """Index of chunk rows (evidence_id, document_id, product_id, text, embedding, ...) below ``folder``."""
 
-    def __init__(self, spark: SparkSession, folder: str, dim: int = 128, element: str = "double", buckets: int = BUCKETS):
-        self.spark, self.folder, self.dim, self.element, self.buckets = spark, folder, dim, element, buckets
+    def __init__(self, spark: SparkSession, folder: str, dim: int = 128):
+        self.spark, self.folder, self.dim = spark, folder, dim
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -46,20 +45,19 @@ class ChunkIndex:
     def _write(self, rows: DataFrame, kind: str) -> None:
         path = self._next(kind)
         if kind in ("add", "base"):
-            rows = rows.withColumn("bucket", F.pmod(F.xxhash64("product_id"), F.lit(self.buckets)).cast("int"))
             known = self._schema()
             if known is None:
                 self.spark.createDataFrame([(rows.schema.json(),)], "schema string").coalesce(1).write.text(f"{self.folder}/schema")
             else:
                 rows = rows.select(*known.names)
-            # a bucket is one file, or as many as a very large one needs
-            rows.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(path)
+            (rows if kind == "add" else rows.hint("rebalance")).write.parquet(path)
         else:
             rows.write.parquet(path)
 
     def add(self, chunks: DataFrame) -> None:
         """Chunks with their vectors; blank ones are left out, known ids replaced."""
-        self._write(index_chunks(chunks, self.dim, self.element), "add")
+        d = named_chunks(chunks).withColumn("counts", hashed_counts(F.col("text"), self.dim))
+        self._write(d.withColumn("length", length_of(F.col("counts"))), "add")
 
     def delete(self, documents: DataFrame) -> None:
         """All chunks of ``documents(document_id)`` that are there now go."""
@@ -71,7 +69,7 @@ class ChunkIndex:
     def compact(self) -> None:
         """The same content as one step."""
         if self._schema() is not None:
-            self._write(self.read(), "base")
+            self._write(self._merged(), "base")
 
     def _schema(self) -> StructType | None:
         path = f"{self.folder}/schema"
@@ -80,7 +78,11 @@ class ChunkIndex:
         return StructType.fromJson(json.loads(self.spark.read.text(path).first()[0]))
 
     def read(self) -> DataFrame:
-        """The chunks there are. """
+        """The chunks there are, with unit vectors."""
+        d = self._merged()
+        return d.withColumn("embedding", unit_vector(F.col("counts"), F.col("length"))).drop("counts", "length")
+
+    def _merged(self) -> DataFrame:
         schema = self._schema()
         if schema is None:
             raise ValueError(f"no chunk was ever added to {self.folder}")
@@ -91,7 +93,7 @@ class ChunkIndex:
             part = self.spark.read.schema(schema).parquet(f"{self.folder}/{n:09d}-{kind}").withColumn("step", F.lit(n))
             rows = part if rows is None else rows.unionByName(part)
         if rows is None:
-            return self.spark.createDataFrame([], schema).drop("bucket")
+            return self.spark.createDataFrame([], schema)
         if len(parts) > 1:
             # the step that holds an id last; only ids are shuffled for that, rows of replaced chunks are few
             last = rows.groupBy("evidence_id").agg(F.max("step").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("evidence_id", "last")
@@ -103,11 +105,11 @@ class ChunkIndex:
                 gone = some if gone is None else gone.unionByName(some)
         if gone is not None:
             rows = rows.join(gone, (F.col("document_id") == F.col("gone")) & (F.col("step") < F.col("gone_at")), "left_anti")
-        return rows.drop("step", "bucket")
+        return rows.drop("step")
 
     def counts(self) -> DataFrame:
         """One row: n_chunks, n_documents."""
         if self._schema() is None:
             return self.spark.sql("SELECT 0L AS n_chunks, 0L AS n_documents")
-        d = self.read().groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+        d = self._merged().groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
         return d.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_chunks"), F.count("document_id").alias("n_documents"))

@@ -30,7 +30,7 @@ def table(spark, some):
 
 @pytest.fixture
 def index(spark):
-    return ChunkIndex(spark, "file://" + tempfile.mkdtemp(prefix="index-", dir="/tmp"), 32, buckets=4)
+    return ChunkIndex(spark, "file://" + tempfile.mkdtemp(prefix="index-", dir="/tmp"), 32)
 
 
 def content(index):
