@@ -37,7 +37,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_in = str(folder)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes staged tables whose readers are all written."""
+    for t in tables:
+        spark = t.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.staged_in)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def freed(spark) -> None:
@@ -79,7 +89,8 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
                  .select("e.*").where("a <> b").distinct())
-        now = stage(small, "links")
+        last, now = now, stage(small, "links")
+        discard(last)
         freed(spark)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import KEY, row_key, stage
+from shelfmark.llm.common import KEY, discard, freed, row_key, stage
 from shelfmark.llm.tokens import ODD, Reader, mixed, signed
 
 WINDOW, ANCHOR = 35, 8
@@ -123,7 +123,9 @@ SAME = ["anchor", "content"]
 
 
 def graded(pieces: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds to pieces with a shared anchor the ``mask`` of their windows that repeat, and ``whole`` if all do as one content."""
+    """Adds to pieces with a shared anchor the ``mask`` of their windows that repeat, and ``whole`` if all do as one content.
+
+    What is known of contents has a row for each and is written, so the join with the pieces can split a content that very many of them have."""
     per = pieces.groupBy(*SAME).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEY, "start", "n")).alias("at"))
     per = stage(per, "contents")
     several = per.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
@@ -132,13 +134,18 @@ def graded(pieces: DataFrame, docs: DataFrame) -> DataFrame:
     parts = stage(parts, "parts")
     twice = parts.groupBy("d1", "d2").agg(F.sum("copies").alias("c")).where("c > 1").select("d1", "d2")
     masks = parts.join(twice, ["d1", "d2"]).groupBy(*SAME).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("part"))
-    known = per.drop("at").join(masks, SAME, "left").where("copies > 1 OR part IS NOT NULL")
-    return pieces.join(known, SAME).withColumn("whole", F.col("copies") > 1).withColumn(
+    known = stage(per.drop("at").join(masks, SAME, "left").where("copies > 1 OR part IS NOT NULL"), "known")
+    discard(per, parts)
+    out = pieces.join(known.hint("merge"), SAME).withColumn("whole", F.col("copies") > 1).withColumn(
         "mask", F.when(F.col("whole"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("part"))).drop("part", "copies")
+    out = stage(out, "graded")
+    discard(known)
+    freed(docs.sparkSession)
+    return out
 
 
-def compacted(pieces: DataFrame) -> DataFrame:
-    """Adds ``head``: the piece starts a nonbranching path, so doesn't follow always and only the piece before it."""
+def compacted(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Adds ``head``: the piece starts a nonbranching path, so doesn't follow always and only the piece before it. With it, the nodes it reads."""
     at = Window.partitionBy(*KEY).orderBy("start")
     beside = lambda f, ok: F.when(ok, F.struct(f("anchor", 1).over(at), f("content", 1).over(at)))
     nodes = pieces.where("whole").dropDuplicates([*KEY, "start"])
@@ -151,7 +158,7 @@ def compacted(pieces: DataFrame) -> DataFrame:
     up = one("after").select(F.col("anchor").alias("a0"), F.col("content").alias("c0"), F.col("min_after.col1").alias("anchor"), F.col("min_after.col2").alias("content"))
     down = one("before").select(*SAME, F.col("min_before.col1").alias("a0"), F.col("min_before.col2").alias("c0"))
     inner = down.join(up, [*SAME, "a0", "c0"]).select(*SAME, F.lit(False).alias("head"))
-    return pieces.join(inner, SAME, "left").withColumn("head", F.coalesce("head", F.lit(True)))
+    return pieces.join(inner, SAME, "left").withColumn("head", F.coalesce("head", F.lit(True))), s
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -161,13 +168,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     shared = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
     pieces = stage(cut.join(shared, "anchor"), "pieces")
     while True:
-        marked = compacted(stage(graded(pieces, keyed), "graded"))
+        marks = graded(pieces, keyed)
+        marked, nodes = compacted(marks)
         held = marked.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("start", "n", *SAME, "mask", "whole", "head"))).alias("pieces"))
         found = stage(keyed.join(held.hint("merge"), KEY, "left").select("doc_id", *KEY, "text", "pieces").mapInArrow(removed, RESULT), "found")
         alone = (found.select(F.explode("paths").alias("p")).groupBy("p.anchor", "p.content", "p.words", "p.digest").agg(F.count(F.lit(1)).alias("c"))
                  .where("c = 1").select(*SAME).distinct())
         alone = stage(alone, "alone")
         if alone.isEmpty():
+            discard(pieces, marks, nodes, alone)
             return found.drop(*KEY, "paths")
         # a collision: every occurrence on the path's contents becomes a content of its own and is compared window by window
         odd = marked.join(alone.withColumn("odd", F.lit(True)), SAME, "left")
