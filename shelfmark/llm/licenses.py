@@ -1,13 +1,14 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with notice templates. DataFrame functions only.
 
-A block is a line, or what stands around a line's end: as many words before and after it as the longest template has, less one, so a
-notice wrapped over lines stands whole in one, however short its lines are. For every template, all blocks are found that hold at least ``CONTAINED`` of the template's distinct words.
+A block is ``2 * REACH`` consecutive words of a text, wherever its lines end; one starts every ``REACH`` words, where ``REACH`` is the length of the
+longest template. So every run of up to ``REACH`` words, wrapped or not, stands whole in a block, and words that are further apart than a block never meet. For every template, all blocks are found
+that hold at least ``CONTAINED`` of the template's distinct words.
 Template words are ordered by how many blocks of the corpus hold them, rarest first; a block that meets the threshold must hold
 one of the first (length - needed + 1) words of the template (prefix filter), must hold as many template words as are needed
 (length filter), and from the place of its first shared word on enough words must be left in both (positional filter). Survivors
 are counted exactly. Only words of the templates are ever exploded, so the join's input is a small part of the text.
 
-Cases: null and empty texts have no words and no blocks; a very long line is one block; repeated rows get equal results; null and
+Cases: null and empty texts have no words and no blocks; a text of any length is cut into blocks; repeated rows get equal results; null and
 repeated ids do no harm; an empty table gives no rows; other columns of the input are ignored.
 """
 
@@ -32,7 +33,7 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
 ]
-START = "\ue000"  # marks the first word of a line
+REACH = max(len(t.split(" ")) for _, t in TEMPLATES)
 CONTAINED = 80  # per cent of a template's distinct words
 
 
@@ -65,27 +66,14 @@ def phrase_places(rows: DataFrame) -> DataFrame:
     return at.select(*KEY, "i", found.alias("label")).where("label IS NOT NULL")
 
 
-def around_ends(text: Column, vocabulary: Column) -> Column:
-    """Template words that stand around each end of a line, as arrays."""
-    reach = max(len(t.split(" ")) for _, t in TEMPLATES) - 1
-    # the first word after an end is marked; unmarked, the words are the same, so places agree
-    marked = words_between(F.regexp_replace(text, "\n" + MARKS[:-1] + "*", " " + START), MARKS)
-    ends = F.filter(F.transform(marked, lambda w, k: F.when(w.startswith(START), k)), lambda k: k.isNotNull())
-    start = lambda k: F.greatest(k - reach, F.lit(0))
-    return F.transform(ends, lambda k: F.array_intersect(F.slice(F.col("all_words"), start(k) + 1, k + reach - start(k)), vocabulary))
-
-
 def blocks(rows: DataFrame) -> DataFrame:
-    """(key, line, held): template words that each line holds, and those around each end of a line (counted from -1 down)."""
-    vocabulary = sorted({w for _, t in TEMPLATES for w in t.split(" ")})
-    lines = rows.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line", "block"))
-    held = F.array_intersect(F.split("block", MARKS), F.array(*map(F.lit, vocabulary)))
+    """(key, block, held): template words that each block holds."""
+    vocabulary = F.array(*map(F.lit, sorted({w for _, t in TEMPLATES for w in t.split(" ")})))
     need = min(needed(len(set(t.split(" ")))) for _, t in TEMPLATES)
-    lines = lines.select(*KEY, "line", held.alias("held"))
     # a generator, so that the words are cut once
-    several = rows.where(F.col("text").contains("\n")).select(*KEY, "text", F.explode(F.array(words_between(F.col("text"), MARKS))).alias("all_words"))
-    ends = several.select(*KEY, F.posexplode(around_ends(F.col("text"), F.array(*map(F.lit, vocabulary)))).alias("at", "held"))
-    return lines.unionByName(ends.select(*KEY, (-1 - F.col("at")).alias("line"), "held")).where(F.size("held") >= need)
+    words = rows.select(*KEY, F.explode(F.array(words_between(F.col("text"), MARKS))).alias("words")).where("size(words) > 0")
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"(size(words) - 1) div {REACH}")), lambda k: F.array_intersect(F.slice("words", (k * REACH + 1).cast("int"), 2 * REACH), vocabulary))
+    return words.select(*KEY, F.posexplode(cut).alias("block", "held")).where(F.size("held") >= need)
 
 
 def needed(size: int, per_cent: int = CONTAINED) -> int:
@@ -93,7 +81,7 @@ def needed(size: int, per_cent: int = CONTAINED) -> int:
 
 
 def similar_blocks(held: DataFrame) -> DataFrame:
-    """(key, line, label, contained): every block that meets a template's threshold.
+    """(key, block, label, contained): every block that meets a template's threshold.
 
     The counts that set the order are of all blocks; there is one for each template word, so they are few whatever the input.
     """
@@ -108,14 +96,14 @@ def similar_blocks(held: DataFrame) -> DataFrame:
         prefix += [(r, k, label, place, need, ranks) for place, r in enumerate(ranks[:len(ranks) - need + 1])]
     first = spark.createDataFrame(prefix, "rank int, template int, label string, place int, need int, ranks array<int>")
     to_rank = F.create_map(*(F.lit(x) for w, k in rank.items() for x in (w, k)))
-    own = held.select(*KEY, "line", F.array_sort(F.transform("held", lambda w: F.element_at(to_rank, w))).alias("own"))
+    own = held.select(*KEY, "block", F.array_sort(F.transform("held", lambda w: F.element_at(to_rank, w))).alias("own"))
     rare = F.array(*map(F.lit, sorted({p[0] for p in prefix})))
     met = own.select("*", F.explode(F.array_intersect("own", rare)).alias("rank")).join(first, "rank")
     # from this shared word on, enough words must be left in the block and in the template
     left = F.size("own") - F.array_position("own", F.col("rank")) + 1
     met = met.where((F.size("own") >= F.col("need")) & (left >= F.col("need") - F.col("place")) & (F.size("ranks") - F.col("place") >= F.col("need") - F.col("place")))
     met = met.withColumn("shared", F.size(F.array_intersect("own", "ranks"))).where("shared >= need")
-    return met.select(*KEY, "line", "label", (F.col("shared") / F.size("ranks")).alias("contained")).distinct()
+    return met.select(*KEY, "block", "label", (F.col("shared") / F.size("ranks")).alias("contained")).distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -143,7 +131,7 @@ x AS (SELECT r, doc_id, t, {words('t')} AS w FROM d),
 p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM x WHERE t LIKE '%license%'),
 b AS (SELECT r, count(*) AS n, min(i)::BIGINT AS f, max(i)::BIGINT AS l, list_sort(list(DISTINCT label)) AS base FROM ({test}) GROUP BY r),
 t AS (SELECT * FROM (VALUES {ts}) AS v(label, words)),
-l AS (SELECT r, list_distinct({words('block')}) AS held FROM (SELECT r, unnest(string_split(t, chr(10))) AS block FROM d)),
+l AS (SELECT r, list_distinct(w[k + 1:k + {2 * REACH}]) AS held FROM (SELECT r, w, unnest(range(0, len(w), {REACH})) AS k FROM x)),
 s AS (SELECT r, label, len(list_intersect(held, words)) / len(words) AS c FROM l, t WHERE 100 * len(list_intersect(held, words)) >= {CONTAINED} * len(words)),
 m AS (SELECT r, list(DISTINCT label) AS more, max(c) AS c FROM s GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f AS first_word, l AS last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
