@@ -88,14 +88,14 @@ def index(keyed: DataFrame, terms: DataFrame) -> DataFrame:
     return stage(rows if held is not None else rows.join(terms, "term"), "postings")
 
 
-def rarest(windows: DataFrame, keyed: DataFrame, by: str = "phrase") -> DataFrame:
-    """Adds ``anchors``: up to ``ANCHORS`` different terms as (n, term, offset), rarest in the corpus first."""
+def rarest(windows: DataFrame, keyed: DataFrame, by: str = "phrase", present: bool = False) -> DataFrame:
+    """Adds ``anchors``: up to ``ANCHORS`` different terms as (n, term, offset), rarest in the corpus first; with ``present``, of those that occur in it."""
     every = windows.select(by, F.posexplode("terms").alias("offset", "term"))
     terms = stage(every.select("term").distinct(), "terms")
     held = _held(keyed.sparkSession, terms)
     often = _scan(keyed, held, True)
     often = (often if held is not None else often.join(terms, "term")).groupBy("term").agg(F.sum("n").alias("n"))
-    once = every.groupBy(by, "term").agg(F.min("offset").alias("offset")).join(often, "term", "left")
+    once = every.groupBy(by, "term").agg(F.min("offset").alias("offset")).join(often, "term", "inner" if present else "left")
     best = once.groupBy(by).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))), 1, ANCHORS).alias("anchors"))
     return windows.join(best, by)
 
@@ -175,11 +175,13 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 2 * WINDOW) -> DataFrame:
-    """(doc_id, item_id, first, last): the item's ``ANCHORS`` rarest terms stand, in any order, within ``slop`` words of the rarest."""
+    """(doc_id, item_id, first, last): the item's ``ANCHORS`` rarest terms stand, in any order, within ``slop`` words of the rarest.
+
+    Terms that no document holds are left out, so an item with a new name or number can still be found."""
     keyed = _keyed(docs)
     w = stage(windows_of(benchmark), "windows")
     items = w.select(F.explode("items").alias("item_id"), "terms").groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    items = stage(rarest(items, keyed, "item_id"), "anchored").where(F.col("anchors")[0]["n"] > 0).select("item_id", "anchors")
+    items = stage(rarest(items, keyed, "item_id", present=True), "anchored").where(F.col("anchors")[0]["n"] > 0).select("item_id", "anchors")
     postings = index(keyed, items.select(F.explode("anchors.term").alias("term")).distinct())
     near = items.withColumn("term", F.col("anchors")[0]["term"]).join(postings, "term").select("item_id", "anchors", *KEY, F.col("place").alias("at"), F.col("place").alias("first"), F.col("place").alias("last"))
     for k in range(1, ANCHORS):

@@ -63,7 +63,8 @@ def families(means: dict[str, np.ndarray]) -> list[list[str]]:
 
 def learn(rows: DataFrame) -> tuple[list[list[str]], dict[tuple, np.ndarray]]:
     """Families, and weights by ("family", k) and (language, language). ``rows``: lang and text to learn from."""
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    different = rows.select("lang", F.xxhash64("text", "lang").alias("h")).distinct()
+    counts = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], {}
     of = F.element_at(F.create_map(*(F.lit(x) for kv in counts.items() for x in kv)), F.col("lang"))
@@ -75,8 +76,8 @@ def learn(rows: DataFrame) -> tuple[list[list[str]], dict[tuple, np.ndarray]]:
                 yield pa.record_batch({"lang": batch.column("lang").slice(at, len(x)), "place": batch.column("place").slice(at, len(x)),
                                        "x": pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())})
 
-    # about PER_LANG rows a language: a hash of the row below the wanted share
-    some = rows.withColumn("place", F.pmod(F.xxhash64("text", "lang"), of)).where(F.col("place") < PER_LANG)
+    # about PER_LANG different texts a language: a hash of the text below the wanted share; copies of one count once
+    some = rows.withColumn("place", F.pmod(F.xxhash64("text", "lang"), of)).where(F.col("place") < PER_LANG).groupBy("lang", "place", "text").agg(F.count(F.lit(1)).alias("copies"))
     some = stage(some.select("lang", "place", "text").mapInArrow(vectors, "lang string, place long, x binary"), "vectors")
     unpack = lambda x: np.frombuffer(b"".join(x), np.float32).reshape(-1, BUCKETS)
 

@@ -49,7 +49,11 @@ def vote(z: np.ndarray, labelled: np.ndarray, labels: np.ndarray, k: int = NEIGH
     """Similarity-weighted share of label 1 among the k nearest; ties go to the earlier labelled vector."""
     near = z @ labelled.T
     k = min(k, near.shape[1])
-    at = np.argsort(-near, axis=1, kind="stable")[:, :k] if near.shape[1] <= k else np.argpartition(-near, k - 1, axis=1)[:, :k]
+    at = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(near, at, 1).min(1, keepdims=True)
+    # rows where more vectors are as similar as the last one than were taken
+    for row in np.flatnonzero((near >= last).sum(1) > k):
+        at[row] = np.argsort(-near[row], kind="stable")[:k]
     weight = np.maximum(np.take_along_axis(near, at, 1), 1e-6)
     return np.clip((weight * labels[at]).sum(1) / weight.sum(1), 0, 1)
 
@@ -72,6 +76,8 @@ def learn(docs: DataFrame, labels: DataFrame):
     of = F.element_at(F.create_map(*(F.lit(x) for kv in counts.items() for x in kv)), F.col("label"))
     some = marks.where("label IN (0, 1)").withColumn("h", F.xxhash64("doc_id")).where(F.pmod("h", of) < PER_LABEL)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("label", "h", "text")  # some: about 2 * PER_LABEL rows
+    # a document that comes several times counts once
+    rows = rows.groupBy("label", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = sorted((r["label"], r["h"], bytes(r["x"])) for r in rows.mapInArrow(vectors, "label int, h long, x binary").collect())
     if not got:
         return None

@@ -30,9 +30,9 @@ TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)"
 
 
 def canonical_url(uri: Column) -> Column:
-    """host/path?query: no scheme, user, default port, fragment, leading ``www.`` or ``m.``, trailing slash or tracking fields; sorted query."""
+    """host/path?query: no scheme, user, default port, fragment, leading ``www.`` or ``m.`` labels while two others are left, trailing slash or tracking fields; sorted query."""
     part = lambda k: F.regexp_extract(uri, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(:\d+)?([^?#]*)(?:\?([^#]*))?", k)
-    host = F.regexp_replace(lower_ascii(part(1)), r"^((www|m)\.)+", "")
+    host = F.regexp_replace(lower_ascii(part(1)), r"^(?:(?:www|m)\.)+([^.]+\..*)$", "$1")
     port = F.when(part(2).isin(":80", ":443"), "").otherwise(part(2))
     fields = F.array_sort(F.filter(F.split(part(4), "&"), lambda x: (x != "") & ~x.rlike(TRACKING)))
     query = F.when(F.size(fields) > 0, F.concat(F.lit("?"), F.array_join(fields, "&"))).otherwise("")
@@ -113,7 +113,7 @@ WITH p AS (SELECT page_id, html, url, '"' || substr(md5(coalesce(html, '')), 1,
 c AS (SELECT page_id, html, tag, size, CASE WHEN u.host <> '' THEN lower(u.host) END AS host, CASE WHEN u.port IN (':80', ':443') THEN '' ELSE u.port END || regexp_replace(u.path, '/+$', '') ||
     CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS rest
     FROM (SELECT *, list_sort(list_filter(string_split(u.query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{TRACKING}'))) AS q FROM p)),
-r AS (SELECT page_id, html, tag, size, regexp_replace(host, '^((www|m)\\.)+', '') || rest AS url FROM c),
+r AS (SELECT page_id, html, tag, size, regexp_replace(host, '^(?:(?:www|m)\\.)+([^.]+\\..*)$', '\\1') || rest AS url FROM c),
 v AS (SELECT page_id, tag, page_id + {LATER} AS seen, url FROM r),
 j AS (SELECT v.*, r.page_id AS source, r.tag AS stored, r.size AS size, r.html AS html FROM v ASOF LEFT JOIN r ON v.url = r.url AND v.seen > r.page_id)
 SELECT page_id * 2 + 1 AS record_id, url, CASE WHEN url IS NULL THEN 'no_url' WHEN source IS NULL THEN 'missing' WHEN tag = stored THEN 'resolved' ELSE 'changed' END AS outcome, source * 2 AS response_id,
