@@ -1,9 +1,10 @@
 """Entity resolution: raw names against alias masters.
 
 Masters are tables ``(ord, key, canonical[, code])``; ``ord`` breaks ties, lowest
-first.  Exact look-ups are equi joins.  Prefix look-ups are equi joins as well:
-the master side is expanded to its prefixes, or the distinct open names to theirs,
-so no name is ever compared with every alias.
+first.  Names are resolved once each: the different names of all columns are looked
+up by all their keys in one dictionary of aliases, their starts and codes, by one
+equi join, and rows take the result of their name.  No name is ever compared with
+every alias.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import vocab
-from shelfmark.functions.text import is_placeholder, null_if_blank, squeeze, strip, title_if_flat
+from shelfmark.functions.text import is_placeholder, squeeze, strip, title_if_flat
+from shelfmark.sources.store import Staging
 
 NAME_WITH_CODE = r"^(.*?)\s*\(([^)]+)\)\s*$"
 MIN_PREFIX = 4
@@ -72,17 +74,7 @@ def name_parts(df: DataFrame, raw: str) -> DataFrame:
     return out.withColumn("r_bare", strip_suffixes(F.col("r_key")))
 
 
-def _lookup(df: DataFrame, master: DataFrame, left: str, prefix: str) -> DataFrame:
-    """Left equi join that spreads null keys instead of piling them on one task."""
-    side = master.select([F.col(c).alias(f"{prefix}_{c}") for c in master.columns])
-    probe = f"{prefix}_probe"
-    # content hash, so a recomputed task sends each row to the same place again
-    spread = F.concat(F.lit("\ue000"), F.xxhash64(*df.columns).cast("string"))
-    out = df.withColumn(probe, F.coalesce(F.col(left), spread))
-    return out.join(side, F.col(probe) == F.col(f"{prefix}_key"), "left").drop(probe)
-
-
-def prefix_index(master: DataFrame, shortest: int, key_at_least: int = 1) -> DataFrame:
+def prefix_index(master: DataFrame, shortest: int, key_at_least: int = 1, keep_ord: bool = False) -> DataFrame:
     """Every prefix of every alias with the first-ranked alias behind it."""
     usable = master.filter(F.length("key") >= F.greatest(F.lit(shortest), F.lit(key_at_least)))
     lengths = F.sequence(F.lit(shortest), F.length("key"))
@@ -90,21 +82,68 @@ def prefix_index(master: DataFrame, shortest: int, key_at_least: int = 1) -> Dat
     spread = usable.select("ord", *values, F.explode(lengths).alias("n"), F.col("key").alias("full"))
     return (spread.select(F.expr("left(full, n)").alias("key"), "ord", *values)
             .groupBy("key").agg(F.min_by(F.struct("ord", *values), F.col("ord")).alias("v"))
-            .select("key", "v.*"))
-
-
-def two_way_prefix(open_keys: DataFrame, master: DataFrame) -> DataFrame:
-    """First alias that starts with a name or that a name starts with.
-
-    Works on distinct open names; both directions need four characters."""
-    values = [c for c in master.columns if c not in ("ord", "key")]
-    names = open_keys.select("key").filter(F.length("key") >= MIN_PREFIX).distinct()
-    forward = names.join(prefix_index(master, MIN_PREFIX), "key").select("key", "ord", *values)
-    spread = names.select("key", F.explode(F.sequence(F.lit(MIN_PREFIX), F.length("key"))).alias("n"))
-    cut = spread.select(F.col("key").alias("name"), F.expr("left(key, n)").alias("key"))
-    backward = cut.join(master, "key").select(F.col("name").alias("key"), "ord", *values)
-    return (forward.unionByName(backward).groupBy("key")
-            .agg(F.min_by(F.struct("ord", *values), F.col("ord")).alias("v")).select("key", "v.*"))
+            .select("key", *(["v.ord"] if keep_ord else []), *[f"v.{c}" for c in values]))
+
+
+BRAND, MAKER = "brand", "manufacturer"
+#: Least length of a name that an alias may continue.
+SHORTEST = {BRAND: 3, MAKER: MIN_PREFIX}
+
+
+def name_dictionary(masters: dict[str, DataFrame]) -> DataFrame:
+    """(kind, way, key, ord, canonical, code): everything a name can be found by, one row for each key of a prefix or code.
+
+    ``way`` is k for an alias, p for the start of one, c for a code."""
+    out = None
+    for kind, master in masters.items():
+        m = master.select("ord", "key", "canonical", (F.col("code") if "code" in master.columns else F.lit(None)).cast("string").alias("code"))
+        parts = [m.withColumn("way", F.lit("k")), prefix_index(m, SHORTEST[kind], keep_ord=True).withColumn("way", F.lit("p"))]
+        if kind == MAKER:
+            coded = m.filter(F.col("code") != "").groupBy(F.lower("code").alias("key")).agg(F.min_by(F.struct("ord", "canonical", "code"), F.col("ord")).alias("v"))
+            parts.append(coded.select("key", "v.*", F.lit("c").alias("way")))
+        for part in parts:
+            part = part.select(F.lit(kind).alias("kind"), "way", "key", "ord", "canonical", "code")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _probes(kind: str) -> Column:
+    """(step, way, key) in order of trust; of one step the first-ranked alias counts."""
+    probe = lambda step, way, key: F.struct(F.lit(step).alias("step"), F.lit(way).alias("way"), key.alias("key"))
+    name = F.col("r_key")
+    known = [probe(1, "k", name), probe(2, "k", F.col("r_bare"))]
+    if kind == BRAND:
+        return F.array(*known, probe(3, "p", F.when(F.length(name) >= SHORTEST[BRAND], name)))
+    known += [probe(3, "c", F.when(~F.col("r_void"), F.lower("r_code"))), probe(4, "p", F.when(F.length(name) >= MIN_PREFIX, name))]
+    # aliases that the name continues
+    starts = F.when(F.length(name) >= MIN_PREFIX, F.transform(F.sequence(F.lit(MIN_PREFIX), F.length(name)), lambda n: probe(4, "k", F.left(name, n))))
+    return F.concat(F.array(*known), F.coalesce(starts, F.array().cast("array<struct<step:int,way:string,key:string>>")))
+
+
+def resolved_names(names: DataFrame, masters: dict[str, DataFrame]) -> DataFrame:
+    """(kind, raw, res) of distinct ``names(kind, raw)``: one look-up of all their probes in one dictionary."""
+    d = name_parts(names, "raw")
+    probes = None
+    for kind in masters:
+        probes = F.when(F.col("kind") == kind, _probes(kind)) if probes is None else probes.when(F.col("kind") == kind, _probes(kind))
+    parts = ["kind", "raw", "r_name", "r_code", "r_key", "r_void"]
+    d = d.select(*parts, F.explode_outer(F.filter(probes, lambda p: p["key"].isNotNull())).alias("p")).select(*parts, "p.*")
+    met = d.join(name_dictionary(masters), ["kind", "way", "key"], "left")
+    order = F.when(F.col("ord").isNotNull(), F.struct("step", "ord"))
+    best = met.groupBy(*parts).agg(F.min_by(F.struct("step", "canonical", "code"), order).alias("hit"),
+                                   F.min_by("code", F.when(F.col("code").isNotNull() & (F.col("step") <= 2), F.struct("step", "ord"))).alias("alias_code"))
+    step, title = F.col("hit.step"), title_if_flat(F.col("r_name"))
+    exact, bare, third, near = (step == k for k in (1, 2, 3, 4))
+    identical = exact & (F.col("r_name") == F.col("hit.canonical"))
+    maker = F.col("kind") == MAKER
+    confidence = (F.when(maker, F.when(exact | bare, 0.95).when(third, 0.90).when(near, 0.78).otherwise(0.40))
+                  .otherwise(F.when(identical, 0.98).when(exact, 0.95).when(bare, 0.90).when(third, 0.75).otherwise(0.40)))
+    match_type = (F.when(maker, F.when(exact | bare | third, "NORMALIZED").when(near, "FUZZY").otherwise("UNRESOLVED"))
+                  .otherwise(F.when(identical, "EXACT").when(exact | bare, "NORMALIZED").when(third, "FUZZY").otherwise("UNRESOLVED")))
+    status = (F.when(maker, F.when(exact | bare | third, "RESOLVED").when(near, "LOW_CONFIDENCE").otherwise("UNRESOLVED"))
+              .otherwise(F.when(exact | bare, "RESOLVED").when(third, "LOW_CONFIDENCE").otherwise("UNRESOLVED")))
+    code = F.when(maker, F.coalesce("r_code", "alias_code", F.when(near, F.col("hit.code")))).otherwise(F.col("r_code"))
+    return best.select("kind", "raw", _result("raw", F.coalesce("hit.canonical", title), confidence, match_type, status, code).alias("res"))
 
 
 def _result(raw: str, canonical, confidence, match_type, status, code) -> Column:
@@ -121,52 +160,34 @@ def _result(raw: str, canonical, confidence, match_type, status, code) -> Column
     )
 
 
+def resolve_columns(df: DataFrame, columns: dict[str, tuple[str, str]], masters: dict[str, DataFrame]) -> DataFrame:
+    """Adds a result struct for each of ``columns {out: (kind, raw column)}``.
+
+    The different names of all columns are resolved once; each column then takes its results by one join on the name. Rows
+    without a name don't meet anywhere: they carry a key of their own."""
+    pairs = [F.struct(F.lit(kind).alias("kind"), F.col(raw).alias("raw")) for kind, raw in columns.values()]
+    names = df.select(F.explode(F.array(*pairs)).alias("n")).select("n.*").where("raw IS NOT NULL").distinct()
+    found = resolved_names(names, masters)
+    none = F.struct(*[F.lit(None).cast("string").alias(c) for c in ("raw_value", "raw_name", "raw_code", "normalized_value", "canonical_value")],
+                    F.lit(0.0).alias("confidence"), F.lit("UNRESOLVED").alias("match_type"), F.lit("UNRESOLVED").alias("status"))
+    # content hash, so a recomputed task sends each row to the same place again
+    alone = F.concat(F.lit("\ue000"), F.xxhash64(*df.columns).cast("string"))
+    out = df
+    for name, (kind, raw) in columns.items():
+        side = found.select(F.concat(F.lit("="), "kind", F.lit("="), "raw").alias("r_at"), F.col("res").alias("r_res"))
+        d = out.withColumn("r_probe", F.coalesce(F.concat(F.lit(f"={kind}="), F.col(raw)), alone))
+        out = d.join(side, F.col("r_probe") == F.col("r_at"), "left").withColumn(name, F.coalesce("r_res", none)).drop("r_probe", "r_at", "r_res")
+    return out
+
+
 def resolve_brand(df: DataFrame, master: DataFrame, raw: str = "brand", out: str = "brand_res") -> DataFrame:
     """Adds a struct: exact key, then suffix-free key, then prefix, then title case."""
-    m = master.select("ord", "key", "canonical")
-    d = name_parts(df, raw)
-    d = _lookup(d, m, "r_key", "x")
-    d = _lookup(d, m, "r_bare", "s")
-    # an alias starting with the name; one row per prefix, so this stays a plain look-up
-    open_key = F.when(F.col("x_key").isNull() & F.col("s_key").isNull() & (F.length("r_key") >= 3), F.col("r_key"))
-    d = _lookup(d.withColumn("r_open", open_key), prefix_index(m, 3), "r_open", "p")
-    exact, bare, near = (F.col(f"{p}_key").isNotNull() for p in "xsp")
-    identical = exact & (F.col("r_name") == F.col("x_canonical"))
-    res = _result(
-        raw,
-        F.coalesce("x_canonical", "s_canonical", "p_canonical", title_if_flat(F.col("r_name"))),
-        F.when(identical, 0.98).when(exact, 0.95).when(bare, 0.90).when(near, 0.75).otherwise(0.40),
-        F.when(identical, "EXACT").when(exact | bare, "NORMALIZED").when(near, "FUZZY").otherwise("UNRESOLVED"),
-        F.when(exact | bare, "RESOLVED").when(near, "LOW_CONFIDENCE").otherwise("UNRESOLVED"),
-        F.col("r_code"),
-    )
-    return d.select(*df.columns, res.alias(out))
+    return resolve_columns(df, {out: (BRAND, raw)}, {BRAND: master})
 
 
 def resolve_manufacturer(df: DataFrame, master: DataFrame, raw: str = "manufacturer", out: str = "mfr_res") -> DataFrame:
     """Adds a struct: key or suffix-free key, then code, then two-way prefix, then title case."""
-    m = master.select("ord", "key", "canonical", "code")
-    by_code = (m.filter(F.col("code") != "").groupBy(F.lower("code").alias("key"))
-               .agg(F.min_by(F.struct("canonical", "code"), F.col("ord")).alias("v")).select("key", "v.*"))
-    d = name_parts(df, raw)
-    d = _lookup(d, m, "r_key", "x")
-    d = _lookup(d, m, "r_bare", "s")
-    known = F.col("x_key").isNotNull() | F.col("s_key").isNotNull()
-    d = d.withColumn("r_seek", F.when(~known & ~F.col("r_void"), F.lower("r_code")))
-    d = _lookup(d, by_code, "r_seek", "c")
-    d = d.withColumn("r_open", F.when(~known & F.col("c_key").isNull(), F.col("r_key")))
-    near = two_way_prefix(d.select(F.col("r_open").alias("key")), m)
-    d = _lookup(d, near, "r_open", "p")
-    exact, coded, close = known, F.col("c_key").isNotNull(), F.col("p_key").isNotNull()
-    res = _result(
-        raw,
-        F.coalesce("x_canonical", "s_canonical", "c_canonical", "p_canonical", title_if_flat(F.col("r_name"))),
-        F.when(exact, 0.95).when(coded, 0.90).when(close, 0.78).otherwise(0.40),
-        F.when(exact | coded, "NORMALIZED").when(close, "FUZZY").otherwise("UNRESOLVED"),
-        F.when(exact | coded, "RESOLVED").when(close, "LOW_CONFIDENCE").otherwise("UNRESOLVED"),
-        F.coalesce("r_code", "x_code", "s_code", "p_code"),
-    )
-    return d.select(*df.columns, res.alias(out))
+    return resolve_columns(df, {out: (MAKER, raw)}, {MAKER: master})
 
 
 def brand_aliases(master: DataFrame) -> DataFrame:
@@ -176,34 +197,27 @@ def brand_aliases(master: DataFrame) -> DataFrame:
     return both.filter(F.col("alias") != "").groupBy("alias").agg(F.min("canonical").alias("canonical"))
 
 
-MAX_ALIAS_WORDS = 4
-
-
 def candidate_brand(df: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, candidate_brand)``: longest alias found as whole words in a text.
 
-    Texts are cut into the word runs an alias can have, made distinct per row and
-    equi-joined; ties in length go to the alphabetically first alias.  Aliases of
-    more words than any run are matched by a second, containment-checked join on
-    their first word, so long aliases are not lost."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORDISH), F.lit(0))
-    alias = aliases.withColumn("form", _form(F.col("alias"))).withColumn(
-        "n_words", F.size(F.split("form", " ")))
-    runs = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.lit(MAX_ALIAS_WORDS)),
-        lambda n: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))),
-            lambda i: F.array_join(F.slice(words, i, n), " ")))))
-    short = alias.filter(F.col("n_words") <= MAX_ALIAS_WORDS).groupBy("form").agg(
-        F.max_by(F.struct("alias", "canonical"), _alias_rank()).alias("hit")).select("form", "hit.*")
-    found = df.select(key, F.explode(runs).alias("form")).join(short, "form").select(key, "alias", "canonical")
-    long = alias.filter(F.col("n_words") > MAX_ALIAS_WORDS).withColumn("first", F.split("form", " ")[0])
-    tokens = df.select(key, F.array_join(words, " ").alias("line"), F.explode(F.array_distinct(words)).alias("first"))
-    found_long = (tokens.join(long, "first")
-                  .filter(F.concat(F.lit(" "), "line", F.lit(" ")).contains(F.concat(F.lit(" "), "form", F.lit(" "))))
-                  .select(key, "alias", "canonical"))
-    return (found.unionByName(found_long).groupBy(key)
-            .agg(F.max_by("canonical", _alias_rank()).alias("candidate_brand")))
+    Texts become postings (key, word, place) of the words that aliases have, written once. An alias is looked up by the word of it that
+    is rarest in the texts; its other words must then stand at their offsets, which is another look-up in the postings. So no
+    text is copied, and aliases may have any number of words. Ties in length go to the alphabetically first alias."""
+    spark = df.sparkSession
+    parts = aliases.select("alias", "canonical", F.split(_form(F.col("alias")), " ").alias("words"))
+    own = parts.select("alias", F.posexplode("words").alias("offset", "word")).where("word <> ''")
+    words = df.select(key, F.posexplode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORDISH), F.lit(0))).alias("place", "word"))
+    postings = Staging(spark).keep(words.join(own.select("word").distinct(), "word", "left_semi"), "postings")
+    often = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    anchor = own.join(often, "word").groupBy("alias").agg(F.min(F.struct("n", "offset", "word")).alias("a"), F.count(F.lit(1)).alias("held"))
+    # an alias with a word that no text has can't be found
+    anchor = anchor.join(parts, "alias").where("held = size(words)").select("alias", "canonical", "words", "a.word", "a.offset")
+    met = postings.join(anchor, "word").select(key, "alias", "canonical", "words", "offset", (F.col("place") - F.col("offset")).alias("start"))
+    others = met.where("size(words) > 1").select(key, "alias", "canonical", "offset", "start", F.size("words").alias("n"), F.posexplode("words").alias("nth", "word")).where("nth <> offset")
+    others = others.withColumn("place", F.col("start") + F.col("nth")).join(postings, [key, "word", "place"], "left_semi")
+    whole = others.groupBy(key, "alias", "canonical", "start", "n").agg(F.count(F.lit(1)).alias("held")).where("held = n - 1")
+    found = met.where("size(words) = 1").select(key, "alias", "canonical").unionByName(whole.select(key, "alias", "canonical"))
+    return found.groupBy(key).agg(F.max_by("canonical", _alias_rank()).alias("candidate_brand"))
 
 
 WORDISH = r"[\p{L}\p{N}_]+"
@@ -223,12 +237,11 @@ _DESCENDING = _ASCENDING[::-1]
 
 
 def brand_with_fallback(df: DataFrame, master: DataFrame, brand: str = "brand", candidate: str = "candidate_brand",
-                        out: str = "brand_res") -> DataFrame:
+                        out: str = "brand_res", more: tuple[dict, dict] | None = None) -> DataFrame:
     """Resolve the entered brand; where that fails try the one named in the text.
 
-    One look-up chain: the better-known of the two names is chosen first by key."""
-    first = resolve_brand(df, master, brand, "b_first")
-    second = resolve_brand(first, master, candidate, "b_second")
+    Names of both columns are resolved together; ``more`` adds other columns to the same look-up, as in ``resolve_columns``."""
+    columns, others = more or ({}, {})
+    d = resolve_columns(df, {"b_first": (BRAND, brand), "b_second": (BRAND, candidate)} | columns, {BRAND: master} | others)
     use_second = (F.col("b_first.status") == "UNRESOLVED") & F.col(candidate).isNotNull()
-    return second.withColumn(out, F.when(use_second, F.col("b_second")).otherwise(F.col("b_first"))).drop(
-        "b_first", "b_second")
+    return d.withColumn(out, F.when(use_second, F.col("b_second")).otherwise(F.col("b_first"))).drop("b_first", "b_second")

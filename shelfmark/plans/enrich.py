@@ -44,8 +44,8 @@ def identify(feed: DataFrame, rules: Rules) -> DataFrame:
     text = extract.mined_text(F.col("part_number"), F.col("description"))
     found = resolve.candidate_brand(d.select("product_id", text.alias("text")), resolve.brand_aliases(rules.brands), "product_id", "text")
     d = d.join(found, "product_id", "left")
-    d = resolve.brand_with_fallback(d, rules.brands)
-    return resolve.resolve_manufacturer(d, rules.manufacturers)
+    more = {"mfr_res": (resolve.MAKER, "manufacturer")}, {resolve.MAKER: rules.manufacturers}
+    return resolve.brand_with_fallback(d, rules.brands, more=more)
 
 
 def discover(identified: DataFrame, rules: Rules) -> DataFrame:

@@ -373,10 +373,14 @@ _slice("er_title_fallback", _makers, "mfr_res", "confidence = 0.4", "raw_name, c
 _slice("er_placeholder_null", _makers, "mfr_res", "confidence = 0.0", "raw_value, raw_name, normalized_value, canonical_value, status")
 
 
+def _both_names(spark, feed):
+    masters = {resolve.BRAND: views.brand_master(spark), resolve.MAKER: views.maker_master(spark)}
+    return resolve.resolve_columns(feed, {"b": (resolve.BRAND, "brand"), "m": (resolve.MAKER, "manufacturer")}, masters)
+
+
 @query("er_clean_value", "SELECT b.product_id, b.canonical_value AS brand, m.canonical_value AS manufacturer FROM brand_res b JOIN mfr_res m USING (product_id)")
 def _(spark, sf):
-    d = resolve.resolve_brand(views.feed(spark, sf), views.brand_master(spark), "brand", "b")
-    d = resolve.resolve_manufacturer(d, views.maker_master(spark), "manufacturer", "m")
+    d = _both_names(spark, views.feed(spark, sf))
     return d.select("product_id", c("b.canonical_value").alias("brand"), c("m.canonical_value").alias("manufacturer"))
 
 
@@ -1199,8 +1203,7 @@ sv.VIEWS["quality"] = f"""SELECT product_id, {sv.score('least(100.0, greatest(0.
 def _quality(spark, sf):
     a = views.attributes(spark, sf).groupBy("product_id").agg(F.count("*").alias("n_attr"), F.sum("n_claims").alias("n_ev"))
     clash = views.conflicts(spark, sf).filter("status = 'OPEN'").select("product_id").distinct().withColumn("clash", F.lit(True))
-    d = resolve.resolve_brand(views.feed(spark, sf), views.brand_master(spark), "brand", "b")
-    d = resolve.resolve_manufacturer(d, views.maker_master(spark), "manufacturer", "m").select("product_id", c("b.status").alias("bs"), c("m.status").alias("ms"))
+    d = _both_names(spark, views.feed(spark, sf)).select("product_id", c("b.status").alias("bs"), c("m.status").alias("ms"))
     t = _taxed(spark, sf).select("product_id", c("tax.status").alias("ts"))
     d = d.join(t, "product_id").join(a, "product_id", "left").join(clash, "product_id", "left").fillna(0, ["n_attr", "n_ev"]).fillna(False, ["clash"])
     return d.select("product_id", score.quality_score(c("ms"), c("bs"), c("ts"), c("n_attr"), c("n_ev"), c("clash")).alias("quality"))
@@ -1522,8 +1525,7 @@ sv.VIEWS["evaluated"] = f"""SELECT p.product_id, coalesce(m.status = 'RESOLVED'
 def _evaluated(spark, sf):
     """Stored products joined with resolution and taxonomy of their raw feed rows."""
     f = views.feed(spark, sf)
-    d = resolve.resolve_brand(f, views.brand_master(spark), "brand", "b")
-    d = resolve.resolve_manufacturer(d, views.maker_master(spark), "manufacturer", "m")
+    d = _both_names(spark, f)
     d = d.select("product_id", c("description").alias("feed_description"), c("brand").alias("source_brand"), c("manufacturer").alias("source_manufacturer"),
                  c("b.status").alias("brand_status"), c("b.match_type").alias("brand_match_type"), c("b.canonical_value").alias("brand_name"),
                  c("m.status").alias("manufacturer_status"), c("m.match_type").alias("manufacturer_match_type"), c("m.canonical_value").alias("maker_name"))
