@@ -120,11 +120,15 @@ def duplicate_rule(raw_attributes: DataFrame) -> DataFrame:
 def grounded_rule(attributes: DataFrame, evidence: DataFrame, text: str = "evidence_text") -> DataFrame:
     """Does any evidence text of the product contain the value?
 
-    ``evidence(product_id, evidence_text)`` may hold many rows per product."""
+    ``evidence(product_id, evidence_text)`` may hold many rows per product. What is asked of a product, a few grounded attributes,
+    goes to each of its texts as one list, so a text is read once and only what it holds leaves it."""
     checked = attributes.filter(F.col("name").isin(*vocab.GROUNDED_ATTRIBUTES) & (F.col("value") != "") & (F.upper("value") != "UNKNOWN"))
-    seen = F.lower(text).contains(F.lower("value"))
-    d = checked.select("product_id", F.col("name").alias("attribute"), "value").join(evidence, "product_id")
-    hit = d.groupBy("product_id", "attribute", "value").agg(F.coalesce(F.max(seen), F.lit(False)).alias("hit"))
+    wanted = checked.select("product_id", F.col("name").alias("attribute"), "value").distinct()
+    asked = wanted.groupBy("product_id").agg(F.collect_list(F.struct("attribute", "value")).alias("asked"))
+    held = F.filter("asked", lambda a: F.lower(text).contains(F.lower(a["value"])))
+    found = evidence.join(asked, "product_id").select("product_id", F.explode(held).alias("a")).select("product_id", "a.*").distinct().withColumn("hit", F.lit(True))
+    known = wanted.join(evidence.select("product_id").distinct(), "product_id", "left_semi")
+    hit = known.join(found, ["product_id", "attribute", "value"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     spec = F.concat(_quoted(F.col("attribute")), F.lit(" specification "), _quoted(F.col("value")), F.lit(" is grounded in evidence."))
     missing = F.concat(F.lit("No evidence support for "), _quoted(F.col("attribute")), F.lit(" value "), _quoted(F.col("value")), F.lit("."))
     return hit.select("product_id", "attribute", verdict(

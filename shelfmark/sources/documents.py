@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from shelfmark.functions import vocab
 from shelfmark.functions.text import strip
 from shelfmark.operators.retrieve import index_chunks
+from shelfmark.sources.store import Staging
+
+PAGES_A_RANGE = 1000
 
 
 def file_gate(spark: SparkSession, path: str, limit: int = vocab.MAX_FILE_BYTES) -> DataFrame:
@@ -53,13 +56,21 @@ def split_text(text: Column, limit: int = vocab.CHUNK_MAX_CHARS) -> Column:
 def chunk_pages(pages: DataFrame, limit: int = vocab.CHUNK_MAX_CHARS, shortest: int = vocab.CHUNK_MIN_CHARS) -> DataFrame:
     """Chunks of ``pages(document_id, page_number, text, ...)`` with a running index per document.
 
-    The index comes from page-level chunk counts, so no chunk is sorted; tables of a
-    page belong in front of its text with a lower ``unit`` number when present."""
+    The index comes from chunk counts of pages, summed in two levels: inside ranges of ``PAGES_A_RANGE`` pages and over a document's ranges. No
+    text is in a window, and a document of very many pages is spread over its ranges. Tables of a page belong in front of
+    its text with a lower ``unit`` number when present; a page (and unit) stands once in a document."""
     order = ["page_number"] + (["unit"] if "unit" in pages.columns else [])
     d = pages.withColumn("text", strip(F.col("text"))).filter(F.length("text") >= shortest)
-    d = d.withColumn("parts", split_text(F.col("text"), limit)).drop("text")
-    w = Window.partitionBy("document_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("base", F.coalesce(F.sum(F.size("parts")).over(w), F.lit(0)))
+    d = Staging(pages.sparkSession).keep(d.withColumn("parts", split_text(F.col("text"), limit)).drop("text"), "pages")
+    counts = d.select("document_id", *order, F.floor(F.coalesce("page_number", F.lit(-1)) / PAGES_A_RANGE).alias("range"), F.size("parts").alias("n"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy("document_id", "range").agg(F.sum("n").alias("n")).select("document_id", "range", F.coalesce(F.sum("n").over(before("document_id").orderBy("range")), F.lit(0)).alias("carried"))
+    inside = counts.withColumn("inside", F.coalesce(F.sum("n").over(before("document_id", "range").orderBy(*order)), F.lit(0)))
+    bases = inside.join(ranges, ["document_id", "range"]).select(*[F.col(c).alias(f"b_{c}") for c in ("document_id", *order)], (F.col("inside") + F.col("carried")).alias("base"))
+    same = F.lit(True)
+    for c in ("document_id", *order):
+        same = same & F.col(c).eqNullSafe(F.col(f"b_{c}"))
+    d = d.join(bases, same).drop(*[f"b_{c}" for c in ("document_id", *order)])
     keep = [c for c in d.columns if c not in ("parts", "base", "unit")]
     d = d.select(*keep, "base", F.posexplode("parts").alias("pos", "text"))
     return (d.withColumn("chunk_index", (F.col("base") + F.col("pos")).cast("int"))
