@@ -7,6 +7,9 @@ with a heap and counts how often each partner occurs; the count, its long lists
 the required overlap. Survivors are binary-probed: every shingle of one is looked up in the other's sorted
 shingles, long lists included, and the overlap is exact.
 
+Most near copies never meet as candidates: each list votes for its least set as a hub, each set is probed against the hub of most of its lists, and sets
+connected by that are not paired again. Hubs only save work; what they miss is found by the lists.
+
 Sets with more long lists than ``SPARE`` are indexed whole, in a second index of their own, where their rarer shingles tell. Those
 that have too many long lists even there (large groups of near copies) meet through the long lists: each is first compared with the
 set of the list that has the largest share of long lists, and only sets that are not yet connected are paired after that. The same holds for all pairs: those
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import KEY, connected, freed, row_key, stage
+from shelfmark.llm.common import KEY, connected, discard, freed, row_key, stage
 from shelfmark.llm.tokens import ODD, Reader, mixed, signed
 
 SHINGLE, SIMILAR, LONG, SPARE = 5, 75, 256, 16
@@ -124,8 +127,9 @@ def _merged(batches, whole: bool = False):
     for batch in batches:
         left, right, lack = [], [], []
         for k in range(len(batch)):
-            own, n, most, ranks, others, places = (batch.column(c)[k].as_py() for c in ("s", "n", "long", "ranks", "others", "places"))
-            lists = [list(zip(x, y, [r] * len(x))) for r, x, y in zip(ranks, others, places)]
+            own, n, most, group, ranks, others, places, groups = (batch.column(c)[k].as_py() for c in ("s", "n", "long", "g", "ranks", "others", "places", "groups"))
+            # partners connected already have nothing to prove
+            lists = [[(x, y, r) for x, y, g in zip(xs, ys, gs) if g != group] for r, xs, ys, gs in zip(ranks, others, places, groups)]
             for other, met in groupby(heapq.merge(*lists), key=lambda x: x[0]):
                 met = list(met)
                 m = met[0][1] >> 32
@@ -137,8 +141,7 @@ def _merged(batches, whole: bool = False):
                     left.append(own)
                     right.append(other)
                     lack.append(need)
-        pairs = pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64()), "lack": pa.array(lack, pa.int32())})
-        yield pairs
+        yield pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64()), "lack": pa.array(lack, pa.int32())})
 
 
 def _probed(batches):
@@ -178,28 +181,50 @@ def unpacked() -> tuple[Column, Column, Column]:
     return size, F.expr("cast(at & 4294967295 as int)"), F.ceil(size * SIMILAR / 100).cast("int")
 
 
-def candidates(posted: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs the index can't rule out; its long lists; the sets with more of these than their places in the index allow."""
-    size, _, least = unpacked()
+def shared_lists(posted: DataFrame) -> DataFrame:
+    """Postings of shingles in several sets, with the length of their list and its least set, the hub."""
     # dealt out by token once, for the counts and for the join with them
     posted = posted.repartition("token")
-    often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("token", "c")
-    shared = stage(posted.join(often.hint("shuffle_hash"), "token"), "shared")
+    often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("hub"), F.max("s").alias("y")).where("hub <> y").select("token", "c", "hub")
+    out = stage(posted.join(often.hint("shuffle_hash"), "token"), "shared")
     freed(posted.sparkSession)
-    short, long = shared.where(F.col("c") <= LONG), stage(shared.where(F.col("c") > LONG).select("token", "s", "at").distinct(), "long")
+    return out
+
+
+def hubs(shared: DataFrame) -> DataFrame:
+    """(a, b): each set b with the hub a of most of its lists, where these are half of its index or more."""
+    size, _, least = unpacked()
+    votes = shared.where("s <> hub").groupBy("s", "hub").agg(F.count_distinct("token").alias("v"), F.min(size - least + 1 + SPARE).alias("places"))
+    best = votes.groupBy("s").agg(F.max(F.struct("v", "hub")).alias("v"), F.min("places").alias("places"))
+    return best.where("2 * v.v >= places").select(F.col("v.hub").alias("a"), F.col("s").alias("b"))
+
+
+def long_lists(shared: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """Postings of the long lists; of each set in any, their shingles, their share of the set, and whether they are more than its places in the index allow."""
+    size, _, least = unpacked()
+    long = stage(shared.where(F.col("c") > LONG).select("token", "s", "at").distinct(), "long")
     allowed = least - 1 if whole else F.least(F.lit(SPARE), least - 1)
-    mine = stage(long.groupBy("s").agg(F.collect_set("token").alias("tokens"), (F.count(F.lit(1)) > F.min(allowed)).alias("over"), (F.count(F.lit(1)) / F.min(size)).alias("share")), "mine")
-    lists = short.groupBy("token").agg(F.array_sort(F.collect_set(F.struct("s", "at"))).alias("list")).where("size(list) > 1")
+    mine = long.groupBy("s").agg(F.collect_set("token").alias("tokens"), (F.count(F.lit(1)) > F.min(allowed)).alias("over"), (F.count(F.lit(1)) / F.min(size)).alias("share"))
+    return long, stage(mine, "mine")
+
+
+def candidates(shared: DataFrame, mine: DataFrame, groups: DataFrame, whole: bool) -> DataFrame:
+    """Pairs of sets of different ``groups`` that the index can't rule out."""
+    known = groups.select(F.col("node").alias("s"), "component")
+    short = shared.where(F.col("c") <= LONG).join(known, "s", "left").withColumn("g", F.coalesce("component", "s"))
+    lists = short.groupBy("token").agg(F.array_sort(F.collect_set(F.struct("s", "at", "g"))).alias("list"), F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y")
     each = lists.select(F.posexplode("list").alias("k", "e"), "list").where("k < size(list) - 1")
-    each = each.select("e.s", F.expr("cast(e.at >> 32 as int)").alias("n"), F.expr("cast(e.at & 4294967295 as int)").alias("rank"), F.expr("slice(list, k + 2, size(list))").alias("others"))
-    query = each.groupBy("s", "n").agg(F.collect_list(F.struct("rank", F.col("others.s").alias("s"), F.col("others.at").alias("at"))).alias("l")).join(mine.select("s", F.size("tokens").alias("long")), "s", "left")
-    query = query.select("s", "n", F.coalesce("long", F.lit(0)).alias("long"), F.col("l.rank").alias("ranks"), F.col("l.s").alias("others"), F.col("l.at").alias("places"))
-    met = query.mapInArrow(lambda batches: _merged(batches, whole), "a long, b long, lack int")
+    each = each.select("e.s", "e.g", F.expr("cast(e.at >> 32 as int)").alias("n"), F.expr("cast(e.at & 4294967295 as int)").alias("rank"), F.expr("slice(list, k + 2, size(list))").alias("others"))
+    query = each.groupBy("s", "n").agg(F.min("g").alias("g"), F.collect_list(F.struct("rank", F.col("others.s").alias("s"), F.col("others.at").alias("at"), F.col("others.g").alias("g"))).alias("l"))
+    query = query.join(mine.select("s", F.size("tokens").alias("long")), "s", "left")
+    query = query.select("s", "n", F.coalesce("long", F.lit(0)).alias("long"), "g", F.col("l.rank").alias("ranks"), F.col("l.s").alias("others"), F.col("l.at").alias("places"), F.col("l.g").alias("groups"))
+    # written once: what lacks nothing and what has to look at its long lists read the same pairs
+    met = stage(query.mapInArrow(lambda batches: _merged(batches, whole), "a long, b long, lack int"), "met")
+    freed(shared.sparkSession)
     # the long lists of a pair are probed for those both are in
     side = lambda c: mine.select(F.col("s").alias(c), F.col("tokens").alias(f"t{c}"))
-    met = met.where("lack <= 0").select("a", "b").unionAll(
+    return met.where("lack <= 0").select("a", "b").unionAll(
         met.where("lack > 0").join(side("a"), "a").join(side("b"), "b").where("size(array_intersect(ta, tb)) >= lack").select("a", "b"))
-    return stage(met, "pairs"), long, mine.where("over").select("s", "share")
 
 
 def similar_sets(keyed: DataFrame, sets: DataFrame) -> DataFrame:
@@ -213,17 +238,30 @@ def similar_sets(keyed: DataFrame, sets: DataFrame) -> DataFrame:
         freed(spark)
         return out
 
-    pairs, _, over = candidates(keyed.select("text").mapInArrow(_postings, "token long, s long, at long"), False)
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("s"))
+    shared = shared_lists(keyed.select("text").mapInArrow(_postings, "token long, s long, at long"))
+    first_long, mine = long_lists(shared, False)
+    over = mine.where("over").select("s")
+    starts = stage(hubs(shared), "hubs")
+    members = shingles(ends(starts).unionAll(over))
+    links = [verified(starts, members)]
+    groups = _groups(links)
+    pairs = stage(candidates(shared, mine, groups, False), "pairs")
+    discard(shared, first_long)
     # sets with too many long lists are indexed whole, among themselves; near copies of one text have little else even then
-    more, long, near = candidates(shingles(over.select("s")).mapInArrow(_all_postings, "token long, s long, at long"), True)
+    shared = shared_lists(members.join(over, "s", "left_semi").mapInArrow(_all_postings, "token long, s long, at long"))
+    long, mine = long_lists(shared, True)
+    more = stage(candidates(shared, mine, groups, True), "pairs")
+    discard(shared)
     pairs = pairs.unionAll(more)
     size, rank, least = unpacked()
-    full = stage(long.join(near, "s").where(rank < size - least + 1).select("token", "s", "share", size.alias("n"), rank.alias("rank")), "full")
-    members = shingles(pairs.select(F.explode(F.array("a", "b")).alias("s")).unionAll(full.select("s")))
+    full = stage(long.join(mine.where("over").select("s", "share"), "s").where(rank < size - least + 1).select("token", "s", "share", size.alias("n"), rank.alias("rank")), "full")
+    # sets of full lists are indexed whole, so they are members already
+    members = members.unionAll(shingles(ends(pairs).join(members.select("s"), "s", "left_anti")))
     # first each set with the least of its partners, and of each long list; then what is not connected by that
-    links = [verified(pairs.groupBy("b").agg(F.min("a").alias("a")), members)]
-    first = full.join(full.groupBy("token").agg(F.max_by("s", F.struct("share", "s")).alias("a")), "token")
-    links.append(verified(first.where("a <> s").select("a", F.col("s").alias("b")).distinct(), members))
+    first = full.join(full.groupBy("token").agg(F.max_by("s", F.struct("share", "s")).alias("a")), "token").where("a <> s").select("a", F.col("s").alias("b")).distinct()
+    least_partner = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links.append(verified(_apart(least_partner.unionAll(first), groups).distinct(), members))
     freed(spark)
     groups = _groups(links)
     own = full.join(groups.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("g", F.coalesce("component", "s")).drop("component")
