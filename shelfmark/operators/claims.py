@@ -124,39 +124,63 @@ def conflict_lists(heads: DataFrame, canonical_claims: DataFrame) -> DataFrame:
     values = gathered(claim_values(held), KEYS, ["first_ord"], F.col("first_raw"), "values")
     names = held.groupBy(*KEYS, "source_name").agg(F.min("claim_ord").alias("first_ord"))
     sources = gathered(names, KEYS, ["first_ord"], F.col("source_name"), "sources")
-    ids = held.filter(F.col("evidence_id") != "").groupBy(*KEYS, "evidence_id").agg(F.min("claim_ord").alias("first_ord"))
-    evidence = gathered(ids, KEYS, ["first_ord"], F.col("evidence_id"), "evidence_ids")
+    evidence = gathered(supporting_evidence(held), KEYS, ["first_ord"], F.col("evidence_id"), "evidence_ids")
     return heads.join(values, KEYS, "left").join(sources, KEYS, "left").join(evidence, KEYS, "left")
 
 
-def compare_sources(claims: DataFrame, fold_milliamps: bool = True) -> DataFrame:
-    """One cross-source verdict per attribute with a readable message.
+def source_statements(claims: DataFrame, fold_milliamps: bool = True) -> DataFrame:
+    """One row per attribute, canonical value and source: how often it says so, where first, and in which spelling.
 
-    Blank and UNKNOWN claims count here.  One aggregate to (value), one to the
-    attribute; a message names the source of every claim, in order."""
+    Blank and UNKNOWN claims count here; a claim without a source is of an unknown one."""
     c = with_canonical(claims, fold_milliamps).withColumn("canonical", F.coalesce("canonical", F.lit("")))
-    names = F.transform(F.array_sort(F.collect_list(F.struct("claim_ord", "source_name"))), lambda x: x["source_name"])
-    per_value = c.groupBy(*KEYS, "canonical").agg(
-        F.min("claim_ord").alias("g_first"), F.array_join(names, ", ").alias("who"), F.min_by("value", "claim_ord").alias("raw"),
-        F.count("*").alias("n"))
-    part = F.struct("g_first", F.concat(F.lit("'"), "canonical", F.lit("' ("), "who", F.lit(")")).alias("text"),
-                    F.col("who").alias("who"), F.col("raw").alias("raw"), F.col("canonical").alias("canonical"))
-    d = per_value.groupBy(*KEYS).agg(F.sum("n").alias("n_claims"), F.count("*").alias("n_values"), F.array_sort(F.collect_list(part)).alias("parts"))
+    return (c.withColumn("source_name", F.coalesce("source_name", F.lit("Unknown Source"))).groupBy(*KEYS, "canonical", "source_name")
+            .agg(F.min("claim_ord").alias("first_ord"), F.min_by("value", "claim_ord").alias("raw"), F.count("*").alias("n_claims")))
+
+
+def supporting_evidence(claims: DataFrame) -> DataFrame:
+    """One row per attribute and evidence id, with the place of its first claim: the long form of ``evidence_ids``."""
+    return claims.filter(F.col("evidence_id") != "").groupBy(*KEYS, "evidence_id").agg(F.min("claim_ord").alias("first_ord"))
+
+
+def compare_sources(claims: DataFrame, fold_milliamps: bool = True) -> DataFrame:
+    """One cross-source verdict per attribute, with a readable message and what it rests on.
+
+    Claims are reduced to (value, source) with a count before anything is gathered, so lists and messages grow with the different
+    sources of an attribute, never with its claims: a source that repeats a value is named once, as ``A x3``.  ``sources`` holds a
+    struct for each of these, ``conflicting_values`` every canonical value of a conflict, both in the order of the first claim.
+    Evidence ids are one for each claim, so they stay long: :func:`supporting_evidence`, or :func:`with_evidence_ids` for lists."""
+    said = source_statements(claims, fold_milliamps)
+    name = F.when(F.col("n_claims") > 1, F.concat("source_name", F.lit(" x"), F.col("n_claims").cast("string"))).otherwise(F.col("source_name"))
+    entry = F.struct("first_ord", "source_name", name.alias("shown"), "raw", "canonical", "n_claims")
+    per_value = said.groupBy(*KEYS, "canonical").agg(F.array_sort(F.collect_list(entry)).alias("by"), F.sum("n_claims").alias("n"))
+    per_value = per_value.select(*KEYS, F.struct(F.col("by")[0]["first_ord"].alias("at"), "canonical", "by",
+                                                 F.array_join(F.transform("by", lambda s: s["shown"]), ", ").alias("who")).alias("part"), "n")
+    d = per_value.groupBy(*KEYS).agg(F.sum("n").alias("n_claims"), F.count("*").alias("n_values"), F.array_sort(F.collect_list("part")).alias("parts"))
     attr = F.concat(F.lit("'"), F.col("attribute"), F.lit("'"))
     first = F.col("parts")[0]
     one = F.concat(F.lit("Single source '"), first["who"], F.lit("' supports "), attr, F.lit(" with value '"),
-                   F.coalesce(first["raw"], F.lit("None")), F.lit("'."))
-    agree = F.concat(F.lit("Value '"), first["canonical"], F.lit("' consistently verified across "), F.col("n_claims").cast("string"),
+                   F.coalesce(first["by"][0]["raw"], F.lit("None")), F.lit("'."))
+    agree = F.concat(F.lit("Value '"), first["canonical"], F.lit("' consistently verified across "), F.size(first["by"]).cast("string"),
                      F.lit(" sources ("), first["who"], F.lit(")."))
     clash = F.concat(F.lit("Conflicting values detected for "), attr, F.lit(" across sources: "),
-                     F.array_join(F.transform("parts", lambda p: p["text"]), " vs "), F.lit("."))
+                     F.array_join(F.transform("parts", lambda p: F.concat(F.lit("'"), p["canonical"], F.lit("' ("), p["who"], F.lit(")"))), " vs "), F.lit("."))
     conflict = F.col("n_values") > 1
+    every = F.array_sort(F.flatten(F.transform("parts", lambda p: p["by"])))
     return d.select(
         *KEYS, conflict.alias("is_conflict"),
         F.when(conflict, "CONFLICT").otherwise("PASSED").alias("status"),
         F.when(conflict, "HIGH").otherwise("LOW").alias("severity"),
         "n_claims", "n_values",
-        F.when(F.col("n_claims") == 1, one).when(conflict, clash).otherwise(agree).alias("message"))
+        F.when(F.col("n_claims") == 1, one).when(conflict, clash).otherwise(agree).alias("message"),
+        F.transform(every, lambda s: F.struct(s["source_name"].alias("source_name"), s["raw"].alias("raw_value"), s["canonical"].alias("normalized_value"),
+                                              s["n_claims"].alias("n_claims"))).alias("sources"),
+        F.when(conflict, F.transform("parts", lambda p: p["canonical"])).otherwise(F.array().cast("array<string>")).alias("conflicting_values"))
+
+
+def with_evidence_ids(compared: DataFrame, claims: DataFrame) -> DataFrame:
+    """Adds ``evidence_ids``: each id behind an attribute once, in the order of the first claim; an empty list without any."""
+    ids = gathered(supporting_evidence(claims), KEYS, ["first_ord", "evidence_id"], F.col("evidence_id"), "evidence_ids")
+    return compared.join(ids, KEYS, "left").withColumn("evidence_ids", F.coalesce("evidence_ids", F.array().cast("array<string>")))
 
 
 def listed(found: DataFrame, product_id=None, status: str | None = None) -> DataFrame:

@@ -36,6 +36,20 @@ def test_hot_group_keeps_every_source(spark):
     assert len(cl.conflict_lists(cl.conflict_headers(cl.claim_values(said)), said).first().sources) == 5000
 
 
+def test_repeated_claims_of_a_source_are_counted(spark):
+    """A group of many claims by few sources stays small: one entry for each value and source."""
+    c = _claims(spark, [(1, "current", f"{(i % 2) * 2 + 10} A", "Sheet" if i < 20000 else "Site") for i in range(20001)]
+                + [(2, "poles", "3P", "B"), (2, "poles", "3P", "B"), (2, "poles", "3P", None), (3, "voltage", None, "A")])
+    got = {r.product_id: r for r in cl.with_evidence_ids(cl.compare_sources(c), c).collect()}
+    hot = got[1]
+    assert hot.n_claims == 20001 and hot.n_values == 2 and len(hot.sources) == 3 and hot.conflicting_values == ["10 A", "12 A"]
+    assert hot.message == "Conflicting values detected for 'current' across sources: '10 A' (Sheet x10000, Site) vs '12 A' (Sheet x10000)."
+    assert [(s.source_name, s.raw_value, s.n_claims) for s in hot.sources] == [("Sheet", "10 A", 10000), ("Sheet", "12 A", 10000), ("Site", "10 A", 1)]
+    assert "across 2 sources (B x2, Unknown Source)" in got[2].message and not got[2].conflicting_values
+    assert got[3].message == "Single source 'A' supports 'voltage' with value 'None'."
+    assert all(len(r.evidence_ids) == len(set(r.evidence_ids)) for r in got.values())
+
+
 def test_validation_severities(spark):
     a = spark.createDataFrame([(1, "voltage", "400 kg", "400 V", "kg", "VERIFIED", 0), (1, "frequency", "5000 Hz", "5000 Hz", "Hz", "VERIFIED", 1),
                                (1, "current", "10-16 A", "10-16 A", "A", "VERIFIED", 2)],

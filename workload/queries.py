@@ -1025,20 +1025,30 @@ def _(spark, sf):
     return cl.listed(views.conflicts(spark, sf), status="open").select("product_id", "attribute", "severity", "n_values")
 
 
+sv.VIEWS["said"] = """SELECT product_id, attribute, canonical, source_name, count(*) AS n, min(claim_ord) AS o, arg_min(coalesce(value, 'None'), claim_ord) AS raw,
+    source_name || CASE WHEN count(*) > 1 THEN ' x' || count(*) ELSE '' END AS shown
+    FROM (SELECT product_id, attribute, coalesce(canonical, '') AS canonical, coalesce(source_name, 'Unknown Source') AS source_name, value, claim_ord FROM claims_z) GROUP BY 1, 2, 3, 4"""
 sv.VIEWS["xsr"] = """SELECT product_id, attribute, n_values > 1 AS is_conflict, CASE WHEN n_values > 1 THEN 'CONFLICT' ELSE 'PASSED' END AS status,
     CASE WHEN n_values > 1 THEN 'HIGH' ELSE 'LOW' END AS severity, n_claims, n_values,
     CASE WHEN n_claims = 1 THEN 'Single source ''' || who || ''' supports ''' || attribute || ''' with value ''' || raw || '''.'
       WHEN n_values > 1 THEN 'Conflicting values detected for ''' || attribute || ''' across sources: ' || parts || '.'
-      ELSE 'Value ''' || matched || ''' consistently verified across ' || n_claims || ' sources (' || who || ').' END AS message FROM (
-    SELECT product_id, attribute, count(*) AS n_values, CAST(sum(n) AS BIGINT) AS n_claims, arg_min(canonical, o) AS matched, arg_min(who, o) AS who, arg_min(raw, o) AS raw,
-      string_agg('''' || canonical || ''' (' || who || ')', ' vs ' ORDER BY o, canonical) AS parts FROM (
-      SELECT product_id, attribute, canonical, count(*) AS n, min(claim_ord) AS o, arg_min(value, claim_ord) AS raw, string_agg(source_name, ', ' ORDER BY claim_ord) AS who FROM claims_z GROUP BY 1, 2, 3)
+      ELSE 'Value ''' || matched || ''' consistently verified across ' || n_sources || ' sources (' || who || ').' END AS message, CASE WHEN n_values > 1 THEN listed ELSE '' END AS conflicting_values FROM (
+    SELECT product_id, attribute, count(*) AS n_values, CAST(sum(n) AS BIGINT) AS n_claims, arg_min(canonical, o) AS matched, arg_min(who, o) AS who, arg_min(raw, o) AS raw, arg_min(n_sources, o) AS n_sources,
+      string_agg('''' || canonical || ''' (' || who || ')', ' vs ' ORDER BY o, canonical) AS parts, string_agg(canonical, '|' ORDER BY o, canonical) AS listed FROM (
+      SELECT product_id, attribute, canonical, sum(n) AS n, min(o) AS o, arg_min(raw, o) AS raw, count(*) AS n_sources, string_agg(shown, ', ' ORDER BY o, source_name) AS who FROM said GROUP BY 1, 2, 3)
     GROUP BY 1, 2)"""
+sv.VIEWS["xsr_sources"] = """SELECT product_id, attribute, string_agg(source_name || '=' || raw || '=' || canonical || '=' || n, '|' ORDER BY o, source_name) AS sources FROM said GROUP BY 1, 2"""
+sv.VIEWS["xsr_evidence"] = """SELECT product_id, attribute, string_agg(evidence_id, '|' ORDER BY o, evidence_id) AS evidence_ids FROM (
+    SELECT product_id, attribute, evidence_id, min(claim_ord) AS o FROM claims WHERE evidence_id <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2"""
 
 
-@query("xsr_compare", "SELECT product_id, attribute, is_conflict, severity, n_claims, n_values, message FROM xsr")
+@query("xsr_compare", """SELECT product_id, attribute, is_conflict, severity, n_claims, n_values, message, conflicting_values, sources, coalesce(evidence_ids, '') AS evidence_ids
+    FROM xsr JOIN xsr_sources USING (product_id, attribute) LEFT JOIN xsr_evidence USING (product_id, attribute)""")
 def _(spark, sf):
-    return cl.compare_sources(views.claims(spark, sf)).drop("status")
+    claims = views.claims(spark, sf)
+    out = cl.with_evidence_ids(cl.compare_sources(claims), claims).drop("status")
+    shown = F.transform("sources", lambda s: F.concat_ws("=", s["source_name"], F.coalesce(s["raw_value"], F.lit("None")), s["normalized_value"], s["n_claims"].cast("string")))
+    return out.withColumns({"sources": F.array_join(shown, "|"), "conflicting_values": F.array_join("conflicting_values", "|"), "evidence_ids": F.array_join("evidence_ids", "|")})
 
 
 @query("xsr_all", "SELECT product_id, attribute, 'CrossSourceConsistencyCheck' AS rule, NOT is_conflict AS passed, status, severity, message FROM xsr")
