@@ -40,10 +40,36 @@ def fold(decisions: DataFrame) -> DataFrame:
         F.count("*").alias("n_decisions"))
 
 
+def partial_fold(usable: DataFrame) -> DataFrame:
+    """``fold`` in a form that merges: each effect with its place in the log.
+
+    Merging is a maximum or minimum, so it takes parts in any order and the same decision any number of times. An id that comes
+    again with other content counts by its greatest content."""
+    order = F.struct("ts", "decision_id", "action", "selected_value")
+    return usable.groupBy(*KEYS).agg(
+        F.max(F.when(F.col("action").isin("SELECT_ALTERNATIVE", "MARK_UNKNOWN"), order)).alias("set"),
+        F.max(F.when(F.col("action") != "DISMISS_CONFLICT", order)).alias("move"),
+        F.min(order).alias("first"))
+
+
+def merge_folds(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*KEYS).agg(F.max("set").alias("set"), F.max("move").alias("move"), F.min("first").alias("first"))
+
+
+def folded(state: DataFrame) -> DataFrame:
+    """Net effects as ``fold`` gives them, without the number of decisions."""
+    return state.select(*KEYS, F.struct("set.action", "set.selected_value").alias("set"), F.col("move.action").alias("last_move"),
+                        F.col("first.action").alias("first_action"))
+
+
 def apply_decisions(attributes: DataFrame, decisions: DataFrame) -> DataFrame:
     """Attributes after replay.  ``attributes(product_id, name, value, normalized_value, unit, confidence, status)``."""
     usable, _ = split_decisions(decisions)
-    f = fold(usable).select("product_id", F.col("attribute").alias("name"), "set", "last_move")
+    return apply_folded(attributes, fold(usable))
+
+
+def apply_folded(attributes: DataFrame, effects: DataFrame) -> DataFrame:
+    f = effects.select("product_id", F.col("attribute").alias("name"), "set", "last_move")
     d = attributes.join(f, ["product_id", "name"], "left")
     chosen = F.col("set.action") == "SELECT_ALTERNATIVE"
     voided = F.col("set.action") == "MARK_UNKNOWN"
@@ -63,7 +89,11 @@ def apply_decisions(attributes: DataFrame, decisions: DataFrame) -> DataFrame:
 def close_conflicts(conflicts: DataFrame, decisions: DataFrame) -> DataFrame:
     """Open conflicts of reviewed attributes closed by the first decision on them."""
     usable, _ = split_decisions(decisions)
-    d = conflicts.join(fold(usable).select(*KEYS, "first_action"), KEYS, "left")
+    return close_folded(conflicts, fold(usable))
+
+
+def close_folded(conflicts: DataFrame, effects: DataFrame) -> DataFrame:
+    d = conflicts.join(effects.select(*KEYS, "first_action"), KEYS, "left")
     closing = (F.col("status") == "OPEN") & F.col("first_action").isNotNull()
     new = F.when(F.col("first_action") == "DISMISS_CONFLICT", "DISMISSED").otherwise("RESOLVED")
     return d.withColumn("status", F.when(closing, new).otherwise(F.col("status"))).drop("first_action")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfmark.functions import vocab
@@ -38,6 +38,43 @@ class Rules:
         return Rules(defaults.brand_master(spark), defaults.manufacturer_master(spark))
 
 
+class RunLog:
+    """What the eight stages of a run did, by figures observed while their tables were written.
+
+    A stage is COMPLETED once the table it makes is written, FAILED if the run broke before that (with the error), and PENDING after one that failed.
+    Figures are counted right below the write, so a task that is done again counts once."""
+
+    def __init__(self):
+        self.figures: dict[int, dict[str, int]] = {}
+        self.error: str | None = None
+
+    def keep(self, stage: Staging, df: DataFrame, name: str, figures: dict[int, dict[str, Column]]) -> DataFrame:
+        """``df`` written; ``figures`` by stage number and name."""
+        seen = Observation()
+        columns = [c.cast("bigint").alias(f"{no} {k}") for no, of in figures.items() for k, c in of.items()]
+        out = stage.keep(df.observe(seen, *columns), name)
+        got = seen.get
+        for no, of in figures.items():
+            self.figures[no] = {k: got[f"{no} {k}"] or 0 for k in of}
+        return out
+
+    def fail(self, error: Exception) -> None:
+        self.error = f"{type(error).__name__}: {str(error).strip().splitlines()[0] if str(error).strip() else ''}"
+
+    def table(self, spark) -> DataFrame:
+        """(stage_no, stage, status, figure, n, message): a row per figure, one without a figure for a stage that has none."""
+        rows, broken = [], False
+        for no, name in enumerate(vocab.STAGES, 1):
+            if no in self.figures:
+                rows += [(no, name, "COMPLETED", k, n, None) for k, n in self.figures[no].items()]
+            elif self.error is not None and not broken:
+                broken = True
+                rows.append((no, name, "FAILED", None, None, self.error))
+            else:
+                rows.append((no, name, "PENDING", None, None, None))
+        return spark.createDataFrame(rows, "stage_no int, stage string, status string, figure string, n bigint, message string")
+
+
 def identify(feed: DataFrame, rules: Rules) -> DataFrame:
     """Cleaned feed with resolved brand and manufacturer."""
     d = clean_feed(feed)
@@ -91,31 +128,57 @@ def best_attributes(claims: DataFrame) -> DataFrame:
                     F.coalesce("norm.is_ambiguous", F.lit(False)).alias("is_ambiguous"), "attr_ord", "n_claims", "similarity")
 
 
-def enrich(feed: DataFrame, rules: Rules, documents: DataFrame | None = None, staging: Staging | None = None) -> dict[str, DataFrame]:
-    """All stages over a feed: products, attributes, claims, conflicts, validation, scores, stage log."""
-    spark = feed.sparkSession
-    stage = staging or Staging(spark)
-    base = stage.keep(discover(identify(feed, rules), rules), "base")
+def enrich(feed: DataFrame, rules: Rules, documents: DataFrame | None = None, staging: Staging | None = None, log: RunLog | None = None) -> dict[str, DataFrame]:
+    """All stages over a feed: products, attributes, claims, conflicts, validation, scores, stage log.
+
+    With a ``log``, the tables of every stage are written here and their figures observed; without, some are left to their readers."""
+    try:
+        return _enrich(feed, rules, documents, staging or Staging(feed.sparkSession), log)
+    except Exception as error:
+        if log is not None:
+            log.fail(error)
+        raise
+
+
+def _enrich(feed: DataFrame, rules: Rules, documents: DataFrame | None, stage: Staging, log: RunLog | None) -> dict[str, DataFrame]:
+    def keep(df: DataFrame, name: str, figures: dict[int, dict[str, Column]], always: bool = True) -> DataFrame:
+        if log is not None:
+            return log.keep(stage, df, name, figures)
+        return stage.keep(df, name) if always else df
+
+    every, when = F.count("*"), F.count_if
+    base = keep(discover(identify(feed, rules), rules), "base", {
+        1: {"products": every, "without_text": when(F.col("part_number").isNull() & F.col("description").isNull()),
+            "brands_resolved": when(F.col("brand_status") == "RESOLVED"), "manufacturers_resolved": when(F.col("manufacturer_status") == "RESOLVED")},
+        2: {"taxonomy_resolved": when(F.col("taxonomy_status") == "RESOLVED"), "taxonomy_heuristic": when(F.col("taxonomy_status") == "HEURISTIC")}})
     raw_claims, index = gather_claims(base, rules, documents, stage)
-    claims = stage.keep(cl.with_canonical(raw_claims), "claims")
+    claims = keep(cl.with_canonical(raw_claims), "claims", {
+        3: {"claims": every, "from_documents": when(F.col("source_type").isin("PDF", "DOCUMENT"))},
+        4: {"normalized": F.count("norm.normalized_value"), "ambiguous": when(F.col("norm.is_ambiguous"))}})
 
     found = best_attributes(claims).drop("similarity").withColumn("status", F.lit("VERIFIED"))
     values = cl.claim_values(cl.stated(claims))
-    open_conflicts = cl.conflict_headers(values)
+    open_conflicts = keep(cl.conflict_headers(values), "conflicts", {5: {"conflicts": every}}, always=False)
     compared = cl.compare_sources(claims)
-    checks = validate.all_results(
+    conflicts_seen = log.figures.pop(5, {}) if log is not None else {}
+    checks = keep(validate.all_results(
         validate.required_rule(base, found, rules.required),
         validate.row_rules(found, *rules.checks),
-        validate.cross_source_results(compared))
+        validate.cross_source_results(compared)), "validation", {5: {
+            "checks": every, "passed": when(F.col("status") == "PASSED"), "failed": when(F.col("status") == "FAILED")}}, always=False)
+    if log is not None:
+        log.figures[5] |= conflicts_seen
     evidence = claims.select("product_id", "attribute", "source_name", F.col("source_name").alias("document_name"),
                              "similarity", "source_type", "evidence_id", "page_number", "snippet")
     # the cross-source verdict is already the conflict factor; it must not count twice
     scored = score.score_attributes(found, evidence, checks.filter(F.col("rule") != "CrossSourceConsistencyCheck"), open_conflicts)
     final = scored.select("product_id", F.col("attribute").alias("name"), "confidence_score", "confidence_band", "is_blocked",
                           "evidence_count", score.attribute_status(F.col("has_conflict"), F.col("confidence_band")).alias("status"))
-    attributes = stage.keep(
+    attributes = keep(
         found.drop("status").join(final, ["product_id", "name"]).withColumn("confidence", F.round(F.col("confidence_score") / 100.0, 4)),
-        "attributes")
+        "attributes", {
+            6: {"attributes": every, "high": when(F.col("confidence_band") == "HIGH"), "blocked": when(F.col("is_blocked"))},
+            7: {"to_review": when(score.needs_review(F.col("status"))), "in_conflict": when(F.col("status") == "CONFLICT")}})
 
     totals = attributes.groupBy("product_id").agg(
         F.count("*").alias("n_attributes"), F.sum("n_claims").alias("evidence_count"),
@@ -128,7 +191,8 @@ def enrich(feed: DataFrame, rules: Rules, documents: DataFrame | None = None, st
         F.col("manufacturer_status"), F.col("brand_status"), F.col("taxonomy_status"), F.col("n_attributes"),
         F.col("evidence_count"), F.col("conflict_count") > 0))
     p = p.withColumn("status", score.product_status(F.col("review_count"), F.col("overall_quality_score")))
-    products = describe.describe(p, attributes)
+    products = keep(describe.describe(p, attributes), "products", {
+        8: {"products": every, "to_review": when(F.col("status") == "REQUIRES_REVIEW"), "reviewed": when(F.col("status") == "REVIEWED")}}, always=False)
     out = {"products": products, "attributes": attributes, "claims": claims, "evidence": evidence, "conflicts": open_conflicts,
            "conflict_values": values, "validation": checks, "reports": validate.report(checks), "scores": scored,
            "stage_log": stage_log(p)}

@@ -46,6 +46,27 @@ def shared_folder(spark, name: str) -> str:
     return path
 
 
+def _at(spark, path: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def path_exists(spark, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p)
+
+
+def subfolders(spark, path: str) -> list[str]:
+    """Names of the folders in ``path``; none if it does not exist."""
+    fs, p = _at(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()) if fs.exists(p) else []
+
+
+def remove_folder(spark, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
 class Staging:
     """Intermediate tables used by several consumers, written to the shared folder: a lost executor costs a read."""
 

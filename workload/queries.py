@@ -1622,14 +1622,44 @@ def _(spark, sf):
     return _enriched(spark, sf)["stage_log"]
 
 
-@query("job_chunked_batch")
+@query("job_run_log")
 def _(spark, sf):
+    from shelfmark.plans.enrich import RunLog, enrich
+
+    own = views.documents(spark, sf).select("document_id", "document_name", "product_id", "page_number", "text")
+    log = RunLog()
+    enrich(views.feed(spark, sf), _run_rules(spark), own, log=log)
+    return log.table(spark)
+
+
+# every part once, and again where its key divides by 31, in four files by key
+sv.VIEWS["delivered"] = """SELECT *, row_number() OVER (PARTITION BY part ORDER BY p_partkey, copy) AS feed_row,
+    row_number() OVER (PARTITION BY part ORDER BY p_partkey, copy) - copy AS first_row FROM (SELECT p_partkey, p_partkey % 4 AS part, unnest(CASE WHEN p_partkey % 31 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM part)"""
+sv.VIEWS["judged"] = """SELECT *, CASE WHEN p_partkey % 97 = 1 THEN 'Missing part number' WHEN copy = 1 THEN concat('Repeats row ', first_row, ' of part=', part) END AS reason FROM delivered"""
+
+
+@query("job_chunked_batch", """SELECT part, min(feed_row) AS first_row, max(feed_row) AS last_row, count(*) AS processed, count(*) - count(reason) AS succeeded, count(reason) AS failed, NULL AS message FROM judged GROUP BY part
+    UNION ALL SELECT part, feed_row, feed_row, NULL, NULL, NULL, concat('Row ', feed_row, ': ', reason, ', skipped') FROM judged WHERE reason IS NOT NULL""")
+def _(spark, sf):
+    """A feed of four files, two a batch: a ledger row per file, and each rejected row."""
     from shelfmark.streaming import batches
 
     folder = scratch(spark)
-    parts = spark.readStream.schema(views.table(spark, sf, "part").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/part*.parquet")
-    batches.run_batches(parts, f"{folder}/out", f"{folder}/checkpoint", _run_rules, views.feed_rows)
-    return batches.batch_status(spark, f"{folder}/out")
+    p = views.table(spark, sf, "part")
+    copies = F.when(c("p_partkey") % 31 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    part = (c("p_partkey") % 4).cast("int")
+    (p.withColumn("copy", F.explode(copies)).withColumn("part", part).repartition(4, "part").sortWithinPartitions("part", "p_partkey", "copy")
+     .write.partitionBy("part").parquet(f"{folder}/feed"))
+    feed = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/feed/part=*")
+    batches.run_batches(feed, f"{folder}/out", f"{folder}/checkpoint", _run_rules, views.feed_rows)
+    number = F.regexp_extract("feed_file", "part=(\\d+)", 1).cast("int").alias("part")
+    # a file is named after its folder here, as the writer's own names hold random ids
+    message = F.regexp_replace("message", r" of part-[^,]*,", F.concat(F.lit(" of part="), number.cast("string"), F.lit(",")))
+    counts = ["processed", "succeeded", "failed"]
+    done = batches.ledger(spark, f"{folder}/out").select(number, "first_row", "last_row", *counts, F.lit(None).cast("string").alias("message"))
+    bad = batches.errors(spark, f"{folder}/out").select(number, c("feed_row").alias("first_row"), c("feed_row").alias("last_row"),
+                                                        *(F.lit(None).cast("bigint").alias(x) for x in counts), message.alias("message"))
+    return done.unionByName(bad)
 
 
 @query("job_review_stream")
@@ -1639,9 +1669,12 @@ def _(spark, sf):
     folder = scratch(spark)
     a = store.Staging(spark).keep(views.attributes(spark, sf), "attributes")
     f = store.Staging(spark).keep(views.conflicts(spark, sf), "conflicts")
-    events = spark.readStream.schema(views.table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events*.parquet")
-    reviews.run_reviews(views.decision_rows(events), f"{folder}/out", f"{folder}/checkpoint", lambda: a, lambda: f)
-    return reviews.current(a, f"{folder}/out", "attributes", ["product_id", "name"]).select("product_id", "name", "value", "confidence", "status")
+    log = views.table(spark, sf, "events")
+    log.withColumn("turn", (c("event_id") % 3).cast("int")).repartition("turn").write.partitionBy("turn").parquet(f"{folder}/events")
+    events = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events/turn=*")
+    # buckets are compacted on the way
+    reviews.run_reviews(views.decision_rows(events), f"{folder}/out", f"{folder}/checkpoint", lambda: a, lambda: f, buckets=16, compact_after=1)
+    return reviews.current(a, f"{folder}/out", "attributes", 16).select("product_id", "name", "value", "confidence", "status")
 
 
 ORACLES["job_review_stream"] = "SELECT product_id, name, value, confidence, status FROM reviewed"

@@ -62,8 +62,10 @@ def feed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feed_rows(p: DataFrame) -> DataFrame:
-    d = p.select(*[F.expr(sql).alias(name) for name, sql in FEED_SQL.items()], "p_type")
+    place = [x for x in ("feed_file", "feed_row") if x in p.columns]
+    d = p.select(*[F.expr(sql).alias(name) for name, sql in FEED_SQL.items()], "p_type", *place)
     return d.select(
+        *place,
         "product_id", "part_number", "manufacturer", "category", "description",
         F.expr("CASE WHEN product_id % 3 = 0 THEN '-- No Brand --' ELSE variant END").alias("E1_Brand"),
         F.expr("CASE WHEN product_id % 6 = 0 THEN 'n/a' WHEN product_id % 2 = 0 THEN '' ELSE variant END").alias("Unilog_Brand"),
