@@ -115,7 +115,9 @@ def batch_writer(out: str, rules: Callable[[SparkSession], Rules], prepare=None,
                 if written.get["n"] != expected:
                     raise RuntimeError(f"batch {batch_id}: {expected} rows accepted, {written.get['n']} products written")
             _write(figures, out, "ledger", batch_id)
-        except Exception:
+        except Exception as error:
+            if log.error is None:
+                log.fail(error)
             _write(log.table(spark), out, "stages", batch_id)
             raise
         finally:

@@ -45,6 +45,8 @@ def test_ledger_over_files_after_a_kill(spark, tmp_path):
     run = lambda **k: batches.run_batches(stream(), out, str(tmp_path / "cp"), Rules.starter, **k)
     with pytest.raises(Exception, match="killed"):
         run(prepare=killed_at_second)
+    broken = spark.read.parquet(f"{out}/stages/batch_id=1").where("status = 'FAILED'").collect()
+    assert [(r.stage_no, "killed" in r.message) for r in broken] == [(1, True)]
     first = [("b.csv", 1, 5, 5, 2, 3)]
     figures = (NAME, "first_row", "last_row", "processed", "succeeded", "failed")
     assert _rows(batches.ledger(spark, out), *figures) == first
