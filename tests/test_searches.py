@@ -49,3 +49,21 @@ def test_questions_meet_chunks_without_a_row_for_each_pair(spark):
         k = (r["p"], r["a"], r["value"])
         want[k] = min(want.get(k, (9999,)), (r["q"], r["rank"], r["s"], r["e"]))
     assert got == {k: (e, 1_000_000 + q * 1000 + rank, s) for k, (q, rank, s, e) in want.items()}
+
+
+def test_equal_requests_are_searched_once(spark, monkeypatch):
+    """Requests of two texts for names that most chunks have; the number of scored pairs does not grow with the requests."""
+    index = retrieve.index_chunks(chunks(spark, range(12), 5), 32).cache()
+    asks = [retrieve.Request(i, "rated voltage" if i % 2 else "poles mounting", {"document_name": f"name {i % 4}", "unknown": str(i)}) for i in range(400)]
+    pairs = []
+    scores = retrieve.filtered_scores
+    monkeypatch.setattr(retrieve, "filtered_scores", lambda *a, **b: pairs.append(scores(*a, **b)) or pairs[-1])
+    for sent in (retrieve.SENT, 96):  # beyond it, requests for names that no chunk has go first
+        monkeypatch.setattr(retrieve, "SENT", sent)
+        got = retrieve.search_batch(index, asks, 3, 32).collect()
+        assert pairs.pop().count() <= 2 * 60
+        assert len(got) == 300 * 3
+        for i in (1, 2, 5, 398):
+            one = retrieve.search(index, asks[i].text, 3, {"document_name": f"name {i % 4}"}, dim=32).collect()
+            assert {(r["evidence_id"], r["rank"], r["score"]) for r in one} == {(r["evidence_id"], r["rank"], r["score"]) for r in got if r["request_id"] == i}
+        assert {r["request_id"] % 4 for r in got} == {0, 1, 2}
