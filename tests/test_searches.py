@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from shelfmark.functions import embedding
-from shelfmark.functions.embedding import query_vector
+from shelfmark.functions.embedding import query_vector, sparse_vectors
 from shelfmark.operators import retrieve
 
 rng = random.Random(3)
@@ -67,3 +67,37 @@ def test_equal_requests_are_searched_once(spark, monkeypatch):
             one = retrieve.search(index, asks[i].text, 3, {"document_name": f"name {i % 4}"}, dim=32).collect()
             assert {(r["evidence_id"], r["rank"], r["score"]) for r in one} == {(r["evidence_id"], r["rank"], r["score"]) for r in got if r["request_id"] == i}
         assert {r["request_id"] % 4 for r in got} == {0, 1, 2}
+
+
+def test_vectors_shuffle_texts_only(spark):
+    rows = [(k % 40 if k % 9 else None, " ".join(rng.choice(WORDS) for _ in range(k % 13))) for k in range(300)]
+    d = spark.createDataFrame([*rows, (41, None)], "k long, t string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        out = sparse_vectors(d, "k", "t", 32)
+        assert plan(out).split("== Physical Plan ==")[1].split("== Initial")[0].count("Exchange hashpartitioning") == 1
+        got = {(r["k"], r["bucket"]): r["weight"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for k in range(40):
+        v = np.zeros(32)
+        for key, t in rows:
+            if key == k:
+                # the unit vector of a text times its length
+                words = t.split()
+                n = np.sqrt(sum(x * x for x in raw(words).values()))
+                for b, w in query_vector(t, 32).items():
+                    v[b] += w * n
+        if v.any():
+            want |= {(k, b): w / np.linalg.norm(v) for b, w in enumerate(v) if w > 1e-12}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def raw(words):
+    import hashlib
+    out = {}
+    for token, w in [(w.lower(), 1.0) for w in words] + [(f"{a}_{b}".lower(), 1.5) for a, b in zip(words, words[1:])]:
+        b = int(hashlib.md5(token.encode()).hexdigest(), 16) % 32
+        out[b] = out.get(b, 0.0) + w
+    return out
