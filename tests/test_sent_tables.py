@@ -15,3 +15,11 @@ def test_a_small_file_is_not_taken_for_a_small_table(spark):
     assert "BroadcastExchange" not in told
     few = Staging(spark).keep(stored.where("id < 100"), "few")
     assert "BroadcastExchange" in large.join(few, "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_operators_of_training_data_keep_file_sizes(spark):
+    import __spark_entry__ as entry
+
+    for name, factor in (("op12_fill_in_middle", "1.0"), ("cln_flags", "10.0")):
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get("spark.sql.sources.fileCompressionFactor") == factor
