@@ -12,7 +12,8 @@ connected by that are not paired again. Hubs only save work; what they miss is f
 
 Sets with more long lists than ``SPARE`` are indexed whole, in a second index of their own, where their rarer shingles tell. Those
 that have too many long lists even there (large groups of near copies) meet through the long lists: each is first compared with the
-set of the list that has the largest share of long lists, and only sets that are not yet connected are paired after that. The same holds for all pairs: those
+set of the list that has the largest share of long lists, and only sets that are not yet connected are paired after that, by the shortest of their
+long lists: what is similar without a short list in common has its whole overlap in long ones, so few of them are read. The same holds for all pairs: those
 already connected by verified links need no proof, so copies are never expanded into all pairs. All pairs with the
 similarity are either linked or connected, so components are exact.
 
@@ -202,12 +203,21 @@ def hubs(shared: DataFrame) -> DataFrame:
 def long_lists(shared: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
     """Postings of the long lists; of each set in any, their shingles, their share of the set, and whether they are more than its places in the index allow."""
     size, _, least = unpacked()
-    long = stage(shared.where(F.col("c") > LONG).select("token", "s", "at").distinct(), "long")
+    long = stage(shared.where(F.col("c") > LONG).select("token", "s", "at", "c").distinct(), "long")
     allowed = least - 1 if whole else F.least(F.lit(SPARE), least - 1)
-    mine = long.groupBy("s").agg(F.collect_set("token").alias("tokens"), (F.count(F.lit(1)) > F.min(allowed)).alias("over"), (F.count(F.lit(1)) / F.min(size)).alias("share"))
+    mine = long.groupBy("s").agg(F.collect_set("token").alias("tokens"), (F.count(F.lit(1)) > F.min(allowed)).alias("over"), (F.count(F.lit(1)) / F.min(size)).alias("share"), F.count(F.lit(1)).cast("int").alias("many"))
     return long, stage(mine, "mine")
 
 
+def first_long_places(long: DataFrame, mine: DataFrame) -> DataFrame:
+    """(token, s, share, n, many, rank): of sets that may be similar by long lists alone, the first of their ``many`` long lists, shortest first.
+
+    Sets with a short list in common are candidates already, so all of a needed overlap is in long lists, and one of it in the first (many - needed + 1) of both."""
+    size, _, least = unpacked()
+    own = long.join(mine.where("over").select("s", "share", "many"), "s").withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy("c", "token")) - 1)
+    return own.where(F.col("rank") < F.col("many") - least + 1).select("token", "s", "share", size.alias("n"), "many", "rank")
+
+
 def candidates(shared: DataFrame, mine: DataFrame, groups: DataFrame, whole: bool) -> DataFrame:
     """Pairs of sets of different ``groups`` that the index can't rule out."""
     known = groups.select(F.col("node").alias("s"), "component")
@@ -254,8 +264,7 @@ def similar_sets(keyed: DataFrame, sets: DataFrame) -> DataFrame:
     more = stage(candidates(shared, mine, groups, True), "pairs")
     discard(shared)
     pairs = pairs.unionAll(more)
-    size, rank, least = unpacked()
-    full = stage(long.join(mine.where("over").select("s", "share"), "s").where(rank < size - least + 1).select("token", "s", "share", size.alias("n"), rank.alias("rank")), "full")
+    full = stage(first_long_places(long, mine), "full")
     # sets of full lists are indexed whole, so they are members already
     members = members.unionAll(shingles(ends(pairs).join(members.select("s"), "s", "left_anti")))
     # first each set with the least of its partners, and of each long list; then what is not connected by that
@@ -268,7 +277,7 @@ def similar_sets(keyed: DataFrame, sets: DataFrame) -> DataFrame:
     several = own.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
     own = stage(own.join(several, "token", "left_semi"), "own")
     cross = own.alias("x").join(own.alias("y"), "token").where(
-        f"x.g < y.g AND 1 + least(x.rank, y.rank) + least(x.n - x.rank, y.n - y.rank) - 1 >= ceil({SIMILAR} * (x.n + y.n) / {100 + SIMILAR})")
+        f"x.g < y.g AND least(x.rank, y.rank) + least(x.many - x.rank, y.many - y.rank) >= ceil({SIMILAR} * (x.n + y.n) / {100 + SIMILAR})")
     rest = _apart(pairs, groups).unionAll(cross.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")))
     rest = stage(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
     return _groups([*links, verified(rest, members)])
