@@ -26,6 +26,9 @@ from shelfmark.llm.tokens import Reader
 PER_LABEL, RANK, NEIGHBOURS, CUT, SHAPE_WEIGHT = 1000, 48, 15, 0.3, 0.5
 
 
+COLUMNS_AT_ONCE = 256
+
+
 def weighted(x: np.ndarray) -> np.ndarray:
     x = x.copy()
     x[:, BUCKETS:] *= SHAPE_WEIGHT
@@ -33,12 +36,21 @@ def weighted(x: np.ndarray) -> np.ndarray:
 
 
 def latent_space(x: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """(centre, projection) on the main singular directions, from the smaller Gram matrix."""
+    """(centre, projection) on the main singular directions, from the smaller Gram matrix.
+
+    It is summed over blocks of columns, so the driver holds no copy of ``x`` in double precision."""
     centre = x.mean(0)
-    c = (x - centre).astype(np.float64)
-    values, u = np.linalg.eigh(c @ c.T)
+    block = lambda at: (x[:, at:at + COLUMNS_AT_ONCE] - centre[at:at + COLUMNS_AT_ONCE]).astype(np.float64)
+    starts = range(0, x.shape[1], COLUMNS_AT_ONCE)
+    gram = np.zeros((len(x), len(x)))
+    for at in starts:
+        c = block(at)
+        gram += c @ c.T
+    values, u = np.linalg.eigh(gram)
+    del gram
     keep = [k for k in np.argsort(values)[::-1][:rank] if values[k] > 1e-9]
-    return centre, (c.T @ u[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+    u = u[:, keep] / np.sqrt(values[keep])
+    return centre, np.vstack([block(at).T @ u for at in starts]).astype(np.float32)
 
 
 def unit(z: np.ndarray) -> np.ndarray:
@@ -78,12 +90,20 @@ def learn(docs: DataFrame, labels: DataFrame):
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("label", "h", "text")  # some: about 2 * PER_LABEL rows
     # a document that comes several times counts once
     rows = rows.groupBy("label", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    got = sorted((r["label"], r["h"], bytes(r["x"])) for r in rows.mapInArrow(vectors, "label int, h long, x binary").collect())
+    got = rows.mapInArrow(vectors, "label int, h long, x binary").collect()
     if not got:
         return None
-    x = weighted(np.frombuffer(b"".join(r[2] for r in got), np.float32).reshape(-1, BUCKETS + SHAPE))
+    got.sort(key=lambda r: (r["label"], r["h"], r["x"]))
+    marks = np.array([r["label"] for r in got], np.float32)
+    x = np.empty((len(got), BUCKETS + SHAPE), np.float32)
+    # the driver holds the vectors once: a row goes as soon as it is taken over
+    for k in range(len(got)):
+        x[k] = np.frombuffer(got[k]["x"], np.float32)
+        got[k] = None
+    x[:, BUCKETS:] *= SHAPE_WEIGHT
     centre, project = latent_space(x)
-    return centre, project, unit((x - centre) @ project), np.array([r[0] for r in got], np.float32)
+    x -= centre
+    return centre, project, unit(x @ project), marks
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
